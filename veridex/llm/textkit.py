@@ -97,7 +97,7 @@ def minimisers(hashes: np.ndarray, width: int, n: int) -> np.ndarray:
     span = width - n + 1
     if len(grams) < span:
         return np.zeros(0, np.int64)
-    low = np.uint64((1 << 23) - 1)
+    low = np.uint64((1 << 30) - 1)
     if len(grams) > int(low):
         raise ValueError("too many words in one slice")
     least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
