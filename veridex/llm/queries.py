@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, sentencepiece_bpe, token_store, toxicity
+from . import decontaminate, host_rules, language_id, quality_fm, sentencepiece_bpe, token_store, toxicity
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,12 +36,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of every document."""
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, base_failed and kept of every document."""
     return host_rules.report(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return quality_fm.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted, hits of every document."""
