@@ -28,8 +28,8 @@ from .common import Shared, map_arrow, to_batch
 
 #: Labelled rows of each class that the lexicon is learned from, at most.
 SAMPLE = 15_000
-#: Entries of the lexicon, at most; documents that an entry needs; its least weight.
-ENTRIES, SUPPORT, LEAST = 20_000, 4, 2.0
+#: Entries of the lexicon, at most; toxic documents that an entry needs, as a number and as a share; its least weight.
+ENTRIES, SUPPORT, SUPPORT_SHARE, LEAST = 20_000, 3, 0.004, 3.0
 PREFIXES = (4, 5, 6)
 
 # Letters of other scripts that look like Latin ones.
@@ -162,10 +162,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Lexico
 
     sizes = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    odds = F.log((F.col("pos") + 0.1) / (pos + 0.2)) - F.log((F.col("neg") + 0.1) / (neg + 0.2))
+    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
+    support = max(SUPPORT, math.ceil(SUPPORT_SHARE * pos))
     found = (
         map_arrow(rows, offer, "entry string, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .filter(F.col("pos") >= SUPPORT).withColumn("weight", odds).filter(F.col("weight") >= LEAST)
+        .filter(F.col("pos") >= support).withColumn("weight", odds).filter(F.col("weight") >= LEAST)
         .orderBy(F.desc("pos"), "entry").limit(ENTRIES).collect()
     )
     lexicon = Lexicon({r.entry: float(r.weight) for r in found}, 1.0, 0.0)
