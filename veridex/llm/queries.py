@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, language_id, quality_fm, sentencepiece_bpe, substring_dedup, token_store, toxicity
+from . import decontaminate, host_rules, language_id, quality_fm, sentencepiece_bpe, substring_dedup, suffix_dedup, token_store, toxicity
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,3 +76,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document, for passages of 50 words and more."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
