@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, language_id, quality_fm, sentencepiece_bpe, substring_dedup, suffix_dedup, token_store, toxicity
+from . import decontaminate, host_rules, language_id, near_dedup, quality_fm, sentencepiece_bpe, substring_dedup, suffix_dedup, token_store, toxicity
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,6 +66,12 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.report(table(spark, sf_dir, "documents"), BYTES)
 
 
+@_query
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
