@@ -184,3 +184,26 @@ def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
 
     found = hits(docs, benchmark, block_bytes)
     return map_arrow(found, run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the contaminated ones; all columns of the others stay as they are."""
+    blocks = item_blocks(benchmark, block_bytes)
+    first = next(blocks, [])
+    if next(blocks, None) is not None:  # several blocks: a document's hits must meet first
+        bad = report(docs, benchmark, block_bytes).filter("contaminated").select(F.col("doc_id").alias("veridex_bad"))
+        return docs.join(bad, F.col("doc_id").cast("bigint") == F.col("veridex_bad"), "left_anti")
+    shared = Shared(docs.sparkSession, first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engines = _engines(shared)
+        for batch in batches:
+            good = []
+            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+                found = words(text)
+                spans, _ = search(found, engines)
+                hit = sum(spans[1::2]) - sum(spans[0::2])
+                good.append(not (hit and 20 * hit >= len(found)))
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

@@ -210,3 +210,20 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
             yield to_batch({"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}, schema)
 
     return map_arrow(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]), run, DIGESTS)
+
+
+def encoded(docs: DataFrame, model_file: str) -> DataFrame:
+    """Per document: doc_id, lang, source, n_tokens, ids, and the two digests: ready for training or for checking."""
+    kinds = [(c, docs.schema[c].dataType.simpleString()) for c in ("doc_id", "lang", "source")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(model_file)
+        name = [str(i) for i in range(enc.library.get_piece_size())].__getitem__
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        for batch in batches:
+            ids = [enc.encode(t) for t in batch.column(3).to_pylist()]
+            new = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([sha(",".join(map(name, i))) for i in ids]), pa.array([sha(enc.decode(i)) for i in ids])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], names=["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    schema = ", ".join(f"{c} {k}" for c, k in kinds) + ", n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return map_arrow(docs.select("doc_id", "lang", "source", "text"), run, schema)

@@ -5,7 +5,7 @@ minimiser at a fixed place in it, so it occurs at most as often as its minimiser
 few: the merged sketch overestimates every window's count, and no repeated window is lost. Pass two takes only windows
 whose estimate is two or more, and groups them exactly.
 
-The sketch has a fixed size, WIDTH x DEPTH bytes, whatever the input: beyond its capacity more windows pass the filter,
+The sketch (see sketches.py) has a fixed size, whatever the input: beyond its capacity more windows pass the filter,
 and results stay the same. Counters stop at 255; estimates of HOT or more go the way for hot keys.
 
 Edge cases: null and empty texts have no windows; texts under 35 words lose nothing; repeated rows are copies of one
@@ -23,75 +23,32 @@ from pyspark.sql import functions as F
 
 from .common import Shared, map_arrow, to_batch
 from .repeats import CANDIDATE_SCHEMA, CANDIDATES, candidate_rows, digests, encode, gram_keys, hash_words, removed, repeated_spans, runs, slices
+from .sketches import DEPTH, WIDTH, count_min, estimate
 
 WINDOW = 35
 GRAM = 6
-WIDTH, DEPTH, SEGMENT = 1 << 25, 2, 1 << 19
 HOT = 200
-#: Minimisers that a partition counts before it passes them on.
-FLUSH = 2_000_000
 
 
-def cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
-    return ((keys >> np.uint64(32 * row)) & np.uint64(width - 1)).astype(np.int64)
-
-
-def sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH, depth: int = DEPTH) -> np.ndarray:
-    """The merged sketch: uint8 counters of shape (depth, width)."""
-    segment = min(SEGMENT, width)
-    per_row = width // segment
-    part_schema = pa.schema([("segment", pa.int32()), ("cell", pa.binary()), ("n", pa.binary())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            keys = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            rows: dict[str, list] = {"segment": [], "cell": [], "n": []}
-            for row in range(depth):
-                cell, n = np.unique(cells(keys, row, width), return_counts=True)
-                at = np.searchsorted(cell, np.arange(per_row + 1) * segment)
-                for s in range(per_row):
-                    if at[s] < at[s + 1]:
-                        rows["segment"].append(row * per_row + s)
-                        rows["cell"].append((cell[at[s] : at[s + 1]] - s * segment).astype("<u4").tobytes())
-                        rows["n"].append(np.minimum(n[at[s] : at[s + 1]], 255).astype(np.uint8).tobytes())
-            return to_batch(rows, part_schema)
+def minimiser_keys(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The keys of all chosen minimisers, many to a row: what the sketch counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = hash_words(encode(part.column("text").to_pylist()))
                 _, _, places = runs(words, window, gram)
                 if len(places):
-                    held.append(gram_keys(words, places, gram))
-            if sum(map(len, held)) > FLUSH:
-                yield flush()
-                held = []
-        yield flush()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, cell, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = total.setdefault(s, np.zeros(segment, np.uint8))
-                at = np.frombuffer(cell, "<u4")
-                own[at] = np.minimum(own[at].astype(np.uint16) + np.frombuffer(n, np.uint8), 255)
-        for s, own in total.items():
-            yield to_batch({"segment": [s], "counters": [own.tobytes()]}, pa.schema([("segment", pa.int32()), ("counters", pa.binary())]))
+                    yield to_batch({"keys": [gram_keys(words, places, gram).tobytes()]}, pa.schema([("keys", pa.binary())]))
 
-    parts = map_arrow(docs.select("text"), count, "segment int, cell binary, n binary")
-    out = np.zeros((depth, per_row, segment), np.uint8)
-    for row in map_arrow(parts.repartition("segment"), merge, "segment int, counters binary").toLocalIterator():
-        out[row.segment // per_row, row.segment % per_row] = np.frombuffer(row.counters, np.uint8)
-    return out.reshape(depth, width)
+    return map_arrow(docs.select("text"), run, "keys binary")
 
 
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH, depth: int = DEPTH, hot: int = HOT, keep_first: bool = False) -> DataFrame:
     """(doc_id, a, b) of words in repeated windows."""
-    shared = Shared(docs.sparkSession, sketch(docs, window, gram, width, depth))
+    shared = Shared(docs.sparkSession, count_min(minimiser_keys(docs, window, gram), width, depth))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = shared.value
         for batch in batches:
             for part in slices(batch):
                 words = hash_words(encode(part.column("text").to_pylist()))
@@ -99,12 +56,10 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int =
                 if not len(first):
                     continue
                 keys = gram_keys(words, places, gram)
-                estimate = counters[0][cells(keys, 0, width)]
-                for row in range(1, depth):
-                    estimate = np.minimum(estimate, counters[row][cells(keys, row, width)])
-                on = np.flatnonzero(estimate >= 2)
+                most = estimate(shared.value, keys)
+                on = np.flatnonzero(most >= 2)
                 if len(on):
-                    yield to_batch(candidate_rows(words, part.column("doc_id").to_pylist(), window, first[on], count[on], keys[on], estimate[on] >= hot), CANDIDATE_SCHEMA)
+                    yield to_batch(candidate_rows(words, part.column("doc_id").to_pylist(), window, first[on], count[on], keys[on], most[on] >= hot), CANDIDATE_SCHEMA)
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return repeated_spans(map_arrow(source, choose, CANDIDATES), window, keep_first)
