@@ -59,25 +59,32 @@ def slug(x: Column, joiner: str = "_") -> Column:
 
 
 def norm_unit(x: Column) -> Column:
-    """Units in one spelling: micro signs as u, no blanks, "per" as "/", litre as l."""
-    out = F.regexp_replace(F.translate(F.lower(F.trim(F.coalesce(x, F.lit("")))), "µμ", "uu"), r"\s+", " ")
-    out = F.regexp_replace(F.regexp_replace(out, " per ", "/"), r"\s+", "")
-    return F.regexp_replace(out, "lit(?:re|er)s?", "l")
+    """Units in one spelling: lower case, micro signs as u, no blanks, "per" as "/", litre as l."""
+    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), "µμ", "uu"), r"\s+", "")
+    return F.regexp_replace(F.replace(bare, F.lit("per"), F.lit("/")), "lit(?:re|er)", "l")
+
+
+# Other names of identifier schemes.
+SCHEME_ALIASES = {"inchi_key": "inchikey", "inchi_key_27": "inchikey", "pubchem": "pubchem_cid", "chebi_id": "chebi", "hmdb_id": "hmdb", "lipid_maps": "lipidmaps"}
+UPPER_SCHEMES = ("inchikey", "hmdb", "chebi", "lipidmaps", "refmet")
+
+
+def norm_scheme(scheme: Column) -> Column:
+    bare = slug(scheme)
+    return reduce(lambda c, kv: F.when(bare == kv[0], F.lit(kv[1])).otherwise(c), SCHEME_ALIASES.items(), bare)
 
 
 def norm_identifier(scheme: Column, value: Column) -> Column:
-    """Identifiers in the case, prefix and width of their scheme."""
-    v = F.upper(F.trim(value))
-    digits = F.regexp_extract(v, r"(\d+)", 1)
-    return (
-        F.when(value.isNull() | (v == ""), F.lit(None).cast("string"))
-        .when(scheme == "chebi", F.concat(F.lit("CHEBI:"), digits))
-        .when(scheme == "hmdb", F.concat(F.lit("HMDB"), F.lpad(digits, 7, "0")))
-        .when(scheme == "pubchem", digits)
-        .when(scheme == "kegg", F.when(v.rlike(r"^C?\d{1,5}$"), F.concat(F.lit("C"), F.lpad(digits, 5, "0"))).otherwise(v))
-        .when(scheme == "refmet", norm_space(value))
-        .otherwise(v)
-    )
+    """An identifier without blanks, in the case of its scheme; bare ChEBI numbers get their prefix."""
+    kind, bare = norm_scheme(scheme), F.regexp_replace(value, r"\s+", "")
+    cased = F.when(kind.isin(*UPPER_SCHEMES), F.upper(bare)).otherwise(bare)
+    return F.when((kind == "chebi") & cased.rlike(r"^\d+$"), F.concat(F.lit("CHEBI:"), cased)).otherwise(cased)
+
+
+def compound_identifier(x: Column) -> Column:
+    """Accessions of compounds padded to their registry's width: HMDB to seven digits, KEGG to five."""
+    up, digits = F.upper(F.trim(x)), F.regexp_extract(x, r"(\d+)", 1)
+    return F.when(up.rlike(r"^HMDB\d+$"), F.concat(F.lit("HMDB"), F.lpad(digits, 7, "0"))).when(up.rlike(r"^C\d{1,5}$"), F.concat(F.lit("C"), F.lpad(digits, 5, "0"))).otherwise(F.trim(x))
 
 
 # Anchored identifier grammars; the first that matches names the namespace.
@@ -131,7 +138,11 @@ ACCESSIONS = (
 
 def accessions(text: Column, grammars=ACCESSIONS) -> Column:
     """All accessions of a text as sorted, distinct "namespace:accession" strings."""
-    found = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(0)), lambda m, n=n: F.concat(F.lit(f"{n}:"), m)) for n, p in grammars]
+    def tagged(name: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda m: F.concat(F.lit(f"{name}:"), m))
+
+    found = [tagged(n, p) for n, p in grammars]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
 
 
