@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 
 def adjust(df: DataFrame, p: str = "p_value", by=(), out: str = "q_value", floor: float | None = None) -> DataFrame:
     """q-values within each stratum ``by``; NULL and NaN p-values stay NULL and don't count.
@@ -32,11 +34,10 @@ def adjust_global(df: DataFrame, p: str = "p_value", out: str = "q_value") -> Da
     spark = df.sparkSession
     clean = F.when(~F.isnan(F.col(p)), F.col(p))
     counts = df.filter(clean.isNotNull()).groupBy(clean.alias("_p")).agg(F.count("*").alias("_n"))
-    ranged = counts.repartitionByRange("_p").withColumn("_part", F.spark_partition_id()).persist()
+    ranged = stage(counts.repartitionByRange("_p").withColumn("_part", F.spark_partition_id()), "p-values")
     sizes = {r._part: r.n for r in ranged.groupBy("_part").agg(F.sum("_n").alias("n")).collect()}
     total = sum(sizes.values())
     if not total:
-        ranged.unpersist()
         return df.withColumn(out, F.lit(None).cast("double"))
     before, at = [], 0
     for part in sorted(sizes):
