@@ -28,9 +28,9 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node on an edge (u, v); the component is its least node."""
-    now = edges.select("u", "v").filter("u <> v").distinct()
+    now = edges.select("u", "v").filter("u <> v")
     for _ in range(rounds):
-        now = stage(_small(_large(now).distinct()).distinct(), "edges")
+        now = stage(_small(_large(now)).distinct(), "edges")
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
         if ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down + up > 1").isEmpty():
             break
