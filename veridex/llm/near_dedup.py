@@ -8,8 +8,9 @@ and since values of step j are under those of step j + 1, a document stops at th
 2. Rows that share a band fall into a bucket. Each bucket compares its members with one pivot, the member that shares
    most buckets with others; links are confirmed on whole sets, and components are built.
 3. Buckets that still hold several components compare members across components. Most such pairs cannot link, and an
-   upper bound tells: shingles that no other member has (a count-min sketch may only understate their number) are not in
-   any intersection. Pairs over the bound are confirmed on whole sets, so no link of a bucket is lost.
+   upper bound tells before a pair is made: shingles that no other member has (a count-min sketch may only understate
+   their number) are in no intersection, nor are those whose place in a bitmap is empty on the other side. Pairs over
+   the bound are confirmed on whole sets, so no link of a bucket is lost.
 
 The number of rows in a band is the largest that misses a pair at the threshold with a probability under MISS.
 
@@ -34,6 +35,10 @@ from .textkit import encode, gram_hashes, hash_words, mix
 SHINGLE, PERCENT = 3, 85
 SLOTS = 252
 MISS = 1e-5
+#: Counters in a row of the sketch that tells which shingles of open buckets are shared.
+COUNTERS = 1 << 23
+#: 64-bit words of a member's shingle bitmap.
+BITMAP = 16
 _DENSE_FROM = 6
 
 
@@ -155,14 +160,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, measured: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(group, component): group has f1, f2, n and the least doc_id of equal sets; component has node and component."""
     group = measured.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = measured.join(group.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+    reps = measured.join(group.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     shared = reps.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
-    buckets = stage(reps.join(shared, "band"), "buckets")
+    buckets = stage(reps.join(shared.hint("merge"), "band"), "buckets")
 
     popular = buckets.groupBy("rep").agg(F.sum("c").alias("p"))
     weighed = buckets.join(popular, "rep")
     pivot = weighed.groupBy("band").agg(F.max_by("rep", F.struct("p", -F.col("rep"))).alias("pivot"))
-    pairs = buckets.join(pivot, "band").filter("rep <> pivot").select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
+    pivoted = stage(buckets.join(pivot, "band").select("band", "rep", "pivot"), "pivots")
+    pairs = pivoted.filter("rep <> pivot").select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,31 +177,45 @@ def links(docs: DataFrame, measured: DataFrame, shingle: int, percent: int) -> t
                 yield to_batch({"rep": part.column("rep"), "n": [len(s) for s in sets], "grams": [s.tobytes() for s in sets]}, pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())]))
 
     wanted = popular.select("rep")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted.hint("merge"), "rep", "left_semi")  # one plan for all sizes
     sets = stage(map_arrow(texts, grams, "rep bigint, n bigint, grams binary"), "sets")
     first = stage(confirm(pairs, sets, percent), "links")
     found = components(first)
 
-    placed = buckets.join(found, buckets["rep"] == found["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
-    mixed = placed.groupBy("band").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select("band")
-    open_ = stage(placed.join(mixed, "band", "left_semi"), "open")
+    placed = pivoted.join(found, pivoted["rep"] == found["node"], "left").select("band", "rep", "pivot", F.coalesce("component", "rep").alias("own"))
+    mixed = placed.groupBy("band").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.max(F.when(F.col("rep") == F.col("pivot"), F.col("own"))).alias("main")).filter("a <> b").select("band", "main")
+    # a pair across components has a member outside the pivot's component, which is mostly the largest
+    open_ = stage(placed.join(mixed, "band").select("band", "rep", "own", (F.col("own") != F.col("main")).alias("apart")), "open")
     members = sets.join(open_.select("rep").distinct(), "rep", "left_semi")
-    counters = Shared(docs.sparkSession, count_min(members.select("grams")))
+    counters = Shared(docs.sparkSession, count_min(members.select("grams"), COUNTERS))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("common", pa.int64())])
+        schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("common", pa.int64()), ("bits", pa.list_(pa.int64()))])
         for batch in batches:
-            common = [int((estimate(counters.value, np.frombuffer(g, np.uint64)) > 1).sum()) for g in batch.column("grams").to_pylist()]
+            common, bits = [], []
+            for g in batch.column("grams").to_pylist():
+                own = np.frombuffer(g, np.uint64)
+                own = own[estimate(counters.value, own) > 1]
+                place = ((own >> np.uint64(17)) % np.uint64(64 * BITMAP)).astype(np.int64)
+                words = np.zeros(BITMAP, np.uint64)
+                np.bitwise_or.at(words, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+                common.append(len(own))
+                bits.append(words.view(np.int64))
             keep = pa.array([100 * c >= percent * n for c, n in zip(common, batch.column("n").to_pylist())], pa.bool_())
-            yield to_batch({"rep": batch.column("rep"), "n": batch.column("n"), "common": common}, schema).filter(keep)
-
-    able = map_arrow(members, bound, "rep bigint, n bigint, common bigint")
-    sides = open_.join(able, "rep")
-    x = sides.select("band", *[F.col(c).alias(f"{c}_x") for c in ("rep", "own", "n", "common")])
-    y = sides.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "own", "n", "common")])
-    most = F.least("common_x", "common_y")
-    across = x.join(y, "band").filter((F.col("rep_x") < F.col("rep_y")) & (F.col("own_x") != F.col("own_y")) & (100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)))
-    rest = across.select(F.col("rep_x").alias("u"), F.col("rep_y").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+            yield to_batch({"rep": batch.column("rep"), "n": batch.column("n"), "common": common, "bits": bits}, schema).filter(keep)
+
+    able = map_arrow(members, bound, "rep bigint, n bigint, common bigint, bits array<bigint>")
+    places = [f"bits{i}" for i in range(BITMAP)]
+    # plain columns: the pair condition then compiles to a handful of machine instructions
+    sides = stage(open_.join(able, "rep").select("band", "rep", "own", "apart", "n", "common", *[F.col("bits")[i].alias(c) for i, c in enumerate(places)]), "sides")
+    x = sides.filter("apart").select("band", *[F.col(c).alias(f"{c}_x") for c in ("rep", "own", "n", "common", *places)])
+    y = sides.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "own", "apart", "n", "common", *places)])
+    lacks = lambda p, q: F.expr(" + ".join(f"bit_count({c}_{p} & ~{c}_{q})" for c in places))
+    most = F.least(F.col("common_x") - lacks("x", "y"), F.col("common_y") - lacks("y", "x"))
+    sizes = F.col("n_x") + F.col("n_y")
+    # intersection <= most, and union = sizes - intersection
+    across = x.join(y, "band").filter((F.col("own_x") != F.col("own_y")) & (~F.col("apart_y") | (F.col("rep_x") < F.col("rep_y"))) & ((100 + percent) * most >= percent * sizes))
+    rest = across.select(F.col("rep_x").alias("u"), F.col("rep_y").alias("v")).distinct()
     second = stage(confirm(rest, sets, percent), "links")
     if second.isEmpty():
         return group, found
@@ -207,7 +227,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     measured = stage(measure(docs, shingle, percent), "shingles")
     group, found = links(docs, measured, shingle, percent)
     placed = group.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    out = measured.select("doc_id", "n", "f1", "f2").join(placed, ["f1", "f2", "n"], "left")
+    out = measured.select("doc_id", "n", "f1", "f2").join(placed.hint("merge"), ["f1", "f2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
