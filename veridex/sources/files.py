@@ -16,7 +16,8 @@ from ..operators.constraints import ConstraintError, duplicates, enforce
 
 def scan_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """All cells as text, as they stand; empty cells are ''."""
-    return spark.read.options(header=True, sep=separator, inferSchema=False, multiLine=True, escape='"', emptyValue="", nullValue="\u0000").csv(path)
+    rows = spark.read.options(header=True, sep=separator, inferSchema=False, multiLine=True, escape='"').csv(path)
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
 
 
 def scan_csv_strict(spark: SparkSession, path: str, required: tuple[str, ...], exact: bool = False) -> DataFrame:
@@ -36,11 +37,11 @@ def scan_csv_strict(spark: SparkSession, path: str, required: tuple[str, ...], e
     if missing or (exact and len(names) != len(required)):
         raise ConstraintError(f"{path}: columns {names}, required {list(required)}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", multiLine=True, escape='"', emptyValue="", nullValue="\u0000", enforceSchema=True).csv(path).withColumn("_row", F.monotonically_increasing_id() + 2)
-    enforce(rows.filter("_bad is not null").select("_row", "_bad"), f"{path}: rows that are longer or shorter than the header")
+    rows = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", multiLine=True, escape='"', enforceSchema=True).csv(path).withColumn("_row", F.monotonically_increasing_id() + 2)
+    enforce(rows.filter("_bad is not null").select("_row", "_bad", names[0]), f"{path}: rows that are longer or shorter than the header")
     if rows.limit(1).count() == 0:
         raise ConstraintError(f"{path}: no rows")
-    return rows.drop("_bad", "_row")
+    return rows.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
 
 
 def scan_da_table(spark: SparkSession, path: str, contrast_like: str = "%pre%", floor: float = 1e-300) -> DataFrame:

@@ -13,20 +13,25 @@ def read_events(spark: SparkSession, folder: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark; event time without a zone is read in the session's zone, as watermarks need one."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts and sums per window and type; rows later than the watermark are dropped by the stream, not by a batch."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     return marked.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "2 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     return marked.groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "12 hours", late: str = "2 days") -> DataFrame:
     """Sessions of a user: activity without a gap of ``gap`` or more."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     return marked.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n", "total")
 
 
