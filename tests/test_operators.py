@@ -182,3 +182,31 @@ def test_aliases_and_packets(spark):
     assert {r.name: (r.resolved, r.deprecated, r.removed) for r in ledger.resolve_aliases(names, aliases).collect()} == {"old": ("new", True, True), "new": ("new", False, False)}
     packets = spark.createDataFrame([(1, '{"a":{"auto_accept":1}}'), (2, "oops"), (3, '{"t":"fine"}')], "k int, body string")
     assert {(r.k, r.violation) for r in ledger.packet_violations(packets, "k", "body").collect()} == {(1, "field:auto_accept"), (2, "not_json")}
+
+
+def test_typed_loads_stop_on_bad_rows(spark):
+    from veridex.operators import intake
+
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    flags = ", ".join(f"{f} string" for f in ("human", *intake.MODALITY_FLAGS))
+    good = df([("s1", "", *["true"] * 8)], f"study_id string, doi string, {flags}")
+    assert intake.publications(good, strict=True).first().doi == "not_reported"
+    with pytest.raises(ConstraintError):
+        intake.publications(df([("s1", "", "yes", *["true"] * 7)], f"study_id string, doi string, {flags}"), strict=True)
+    with pytest.raises(ConstraintError):
+        intake.publications(good.unionByName(good))
+    with pytest.raises(ConstraintError):
+        intake.mappings(df([("s", "v", "not_mapped", "accepted")], "source_study string, source_variable string, common_variable string, review_status string"))
+    with pytest.raises(ConstraintError):
+        intake.quality_scores(df([("s", None, None)], "study_id string, overall_score string, scope_status string"))
+    assert intake.quality_scores(df([("s", None, "out_of_scope_non_human")], "study_id string, overall_score string, scope_status string")).count() == 1
+    rows = df([("a", "c", "n", "1"), ("b", "c", "n", "2"), ("d", "c", "p", "3"), ("e", "c", "p", None)], "sample_id string, cohort_id string, y string, f string")
+    assert intake.model_rows(rows, ["f"], "y", ("n", "p"), complete=False).count() == 4
+    with pytest.raises(ConstraintError):
+        intake.model_rows(rows, ["f"], "y", ("n", "p"), complete=True)
+    with pytest.raises(ConstraintError):
+        intake.both_or_none(a=1, b=None)
+    with pytest.raises(ConstraintError):
+        intake.resolve("moon", intake.SCOPES, "scope")
+    assert intake.synthetic_cohort(spark, 4, 2).count() == 8
+    assert [r.a for r in df([("Open",), ("restricted",), ("odd",), (None,)], "x string").select(intake.availability(F.col("x")).alias("a")).collect()] == ["public", "restricted_metadata_only", None, "unknown"]
