@@ -7,14 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, language_id, near_dedup, quality_fm, sentencepiece_bpe, substring_dedup, suffix_dedup, token_store, toxicity
+from . import decontaminate, host_rules, language_id, near_dedup, oracles, quality_fm, sentencepiece_bpe, substring_dedup, suffix_dedup, token_store, toxicity
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
 
 
 def _query(fn):
@@ -27,7 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(oracles.SQL)
 
 
 @_query
