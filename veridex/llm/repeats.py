@@ -2,8 +2,9 @@
 
 Candidates are runs of consecutive windows that one minimiser n-gram stands for: (doc_id, start, gram, hot, windows).
 Equal windows have the same gram, so grouping by gram brings all occurrences of a window together. Grams of moderate
-count are grouped where they land; hot ones, which may stand in a third of all rows, are counted per window with partial
-aggregation before the shuffle and joined back, where adaptive execution splits large keys.
+count are grouped where they land. Of hot ones, which may stand in a third of all rows, equal runs are first reduced to
+one with partial aggregation; windows are counted over these, and the verdicts are joined back, where adaptive execution
+splits large keys.
 """
 
 from __future__ import annotations
@@ -109,22 +110,37 @@ def repeated_spans(candidates: DataFrame, width: int, keep_first: bool = False)
     usual = candidates.filter("not hot").repartition("gram").sortWithinPartitions("gram")
     spans = map_arrow(usual, cold, "doc_id bigint, a int, b int")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("gram", pa.int64()), ("value", pa.int64())])
+    frequent = candidates.filter("hot")
+    weights = [F.count("*").alias("c")] + ([F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else [])
+    kinds = frequent.groupBy("gram", "windows").agg(*weights)  # equal runs of windows, once each
+    numbered = kinds.withColumn("w", F.expr("explode(transform(sequence(0, cast(length(windows) div 8 as int) - 1), i -> struct(i as i, substring(windows, 8 * i + 1, 8) as value)))"))
+    numbered = numbered.select("gram", "windows", "w.i", "w.value", "c", *([F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("w.i")).alias("at")).alias("first")] if keep_first else []))
+    measures = [F.sum("c").alias("n")] + ([F.min("first").alias("least")] if keep_first else [])
+    known = numbered.groupBy("gram", "value").agg(*measures).filter("n > 1").drop("n")
+    verdict = numbered.select("gram", "windows", "i", "value").join(known, ["gram", "value"])
+    mark = F.struct("i", *(["least"] if keep_first else []))
+    found = frequent.join(verdict.groupBy("gram", "windows").agg(F.array_sort(F.collect_list(mark)).alias("marks")), ["gram", "windows"]).select("doc_id", "start", "marks")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of neighbouring windows as spans of words."""
         for batch in batches:
-            held = batch.column("windows").to_pylist()
-            count = np.fromiter((len(h) >> 3 for h in held), np.int64, len(held))
-            row = np.repeat(np.arange(len(held)), count)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + batch.column("start").to_numpy()[row]
-            yield to_batch({"doc_id": batch.column("doc_id").take(pa.array(row)), "at": at, "gram": batch.column("gram").to_numpy()[row], "value": np.frombuffer(b"".join(held), np.int64)}, single)
-
-    hot = map_arrow(candidates.filter("hot"), each, "doc_id bigint, at int, gram bigint, value bigint")
-    measures = [F.count("*").alias("n")] + ([F.min(F.struct("doc_id", "at")).alias("first")] if keep_first else [])
-    known = hot.groupBy("gram", "value").agg(*measures).filter("n > 1").drop("n")
-    found = hot.join(known, ["gram", "value"])
-    if keep_first:
-        found = found.filter(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
-    return spans.unionByName(found.select("doc_id", F.col("at").alias("a"), (F.col("at") + width).alias("b")))
+            rows: dict[str, list] = {"doc_id": [], "a": [], "b": []}
+            for doc, start, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                last = None
+                for m in marks:
+                    at = start + m["i"]
+                    if keep_first and m["least"] == {"doc_id": doc, "at": at}:
+                        continue
+                    if last == at - 1:
+                        rows["b"][-1] = at + width
+                    else:
+                        rows["doc_id"].append(doc)
+                        rows["a"].append(at)
+                        rows["b"].append(at + width)
+                    last = at
+            yield to_batch(rows, schema)
+
+    return spans.unionByName(map_arrow(found, merge, "doc_id bigint, a int, b int"))
 
 
 def collected(spans: DataFrame) -> DataFrame:
