@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, to_batch
 
 #: Counters of a row, rows, and counters of one shuffled segment; a counter is one byte and stops at 255.
-WIDTH, DEPTH, SEGMENT = 1 << 25, 2, 1 << 19
+WIDTH, DEPTH, SEGMENT = 1 << 24, 2, 1 << 19
 #: Keys that a partition holds before it passes their counts on.
 FLUSH = 2_000_000
 
