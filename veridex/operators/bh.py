@@ -20,7 +20,10 @@ def adjust(df: DataFrame, p: str = "p_value", by=(), out: str = "q_value", floor
     order = whole.orderBy(clean.asc_nulls_last())
     ranked = df.withColumn("_bh", F.when(clean.isNotNull(), clean * F.count(clean).over(whole) / F.count(clean).over(order.rangeBetween(Window.unboundedPreceding, 0))))
     # count over the range frame gives tied values the rank of their last: the smallest quotient among them
-    least = F.least(F.lit(1.0), F.min("_bh").over(order.rangeBetween(0, Window.unboundedFollowing)))
+    # the minimum of all that follow, as a running one from the other end: Spark grows frames that start at the first row,
+    # but computes frames that shrink anew for each row
+    falling = whole.orderBy(clean.desc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)
+    least = F.least(F.lit(1.0), F.min("_bh").over(falling))
     q = F.when(clean.isNotNull(), F.greatest(F.lit(floor), least) if floor is not None else least)
     return ranked.withColumn(out, q).drop("_bh")
 
@@ -52,7 +55,7 @@ def adjust_global(df: DataFrame, p: str = "p_value", out: str = "q_value") -> Da
         after.append((part, low))
         low = min(low, least[part])
     following = spark.createDataFrame(after, "_part int, _after double")
-    own = F.min("_quotient").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    own = F.min("_quotient").over(Window.partitionBy("_part").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
     q = ranked.join(F.broadcast(following), "_part").select("_p", F.least(own, F.col("_after")).alias(out))
     return df.join(q, clean == F.col("_p"), "left").drop("_p")
 

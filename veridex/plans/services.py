@@ -82,7 +82,7 @@ def release_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("quality_agreement", """
-WITH g AS (SELECT s_suppkey AS k, (s_suppkey % 90) / 100.0 AS s, CASE WHEN s_suppkey % 8 = 0 THEN 'out_of_scope_non_human' ELSE 'in_scope_human' END AS sc FROM supplier), p AS (SELECT s_suppkey AS k, (s_suppkey % 90) / 100.0 + (s_suppkey % 4) * 0.05 AS s FROM supplier WHERE s_suppkey % 5 <> 0)
+WITH g AS (SELECT s_suppkey AS k, CAST(round((s_suppkey % 90) / 100.0, 6) AS DECIMAL(10, 6)) AS s, CASE WHEN s_suppkey % 8 = 0 THEN 'out_of_scope_non_human' ELSE 'in_scope_human' END AS sc FROM supplier), p AS (SELECT s_suppkey AS k, CAST(round((s_suppkey % 90) / 100.0 + (s_suppkey % 4) * 0.05, 6) AS DECIMAL(10, 6)) AS s FROM supplier WHERE s_suppkey % 5 <> 0)
 SELECT count(*) FILTER (coalesce(abs(p.s - g.s) <= 0.15, false)) AS hits, count(*) AS total, round(count(*) FILTER (coalesce(abs(p.s - g.s) <= 0.15, false)) / CAST(count(*) AS DOUBLE), 6) AS value FROM g LEFT JOIN p USING (k) WHERE sc <> 'out_of_scope_non_human'""")
 def quality_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores within an inclusive decimal tolerance: 0.15 is a hit, which doubles would get wrong."""
