@@ -151,13 +151,13 @@ def paired_ci_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_PAIRS},
 c AS (SELECT event_type, count(*) AS complete_pairs, count(*) FILTER (log2fc > 0) AS positives, count(*) FILTER (log2fc < 0) AS negatives, count(*) FILTER (log2fc = 0) AS ties, avg(log2fc) AS mean FROM changes WHERE log2fc IS NOT NULL GROUP BY ALL)
 SELECT event_type, complete_pairs, positives, negatives, ties, round(mean, 9) AS mean_log2fc, round(pow(2, mean), 9) AS geometric_fold,
-  round((SELECT least(1.0, 2 * sum(exp(lgamma(positives + negatives + 1) - lgamma(k + 1) - lgamma(positives + negatives - k + 1) - (positives + negatives) * ln(2)))) FROM range(least(positives, negatives) + 1) t(k)), 9) AS p_value
+  round((SELECT least(1.0, 2 * sum(exp(lgamma(positives + negatives + 1) - lgamma(k + 1) - lgamma(positives + negatives - k + 1) - (positives + negatives) * ln(2)))) FROM range(least(positives, negatives) + 1) t(k)), 8) AS p_value
 FROM c""")
 def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete pairs, signs, geometric fold and the exact two-sided sign test."""
     c = event_pairs(spark, sf_dir).filter("log2fc is not null").groupBy("event_type").agg(
         F.count("*").alias("complete_pairs"), F.count_if(F.col("log2fc") > 0).alias("positives"), F.count_if(F.col("log2fc") < 0).alias("negatives"), F.count_if(F.col("log2fc") == 0).alias("ties"), F.avg("log2fc").alias("_m"))
-    return c.select("event_type", "complete_pairs", "positives", "negatives", "ties", F.round("_m", 9).alias("mean_log2fc"), F.round(F.pow(F.lit(2.0), F.col("_m")), 9).alias("geometric_fold"), F.round(sign_test_p(F.col("positives"), F.col("negatives")), 9).alias("p_value"))
+    return c.select("event_type", "complete_pairs", "positives", "negatives", "ties", F.round("_m", 9).alias("mean_log2fc"), F.round(F.pow(F.lit(2.0), F.col("_m")), 9).alias("geometric_fold"), F.round(sign_test_p(F.col("positives"), F.col("negatives")), 8).alias("p_value"))
 
 
 @query("sign_test_exact")
