@@ -119,7 +119,9 @@ def repeated_spans(candidates: DataFrame, width: int, keep_first: bool = False)
     known = numbered.groupBy("gram", "value").agg(*measures).filter("n > 1").drop("n")
     verdict = numbered.select("gram", "windows", "i", "value").join(known, ["gram", "value"])
     mark = F.struct("i", *(["least"] if keep_first else []))
-    found = frequent.join(verdict.groupBy("gram", "windows").agg(F.array_sort(F.collect_list(mark)).alias("marks")), ["gram", "windows"]).select("doc_id", "start", "marks")
+    # a staged table, so that both sides of the join are plain exchanges, and a key of many rows can be split
+    marks = stage(verdict.groupBy("gram", "windows").agg(F.array_sort(F.collect_list(mark)).alias("marks")), "marks")
+    found = frequent.join(marks, ["gram", "windows"]).select("doc_id", "start", "marks")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of neighbouring windows as spans of words."""
