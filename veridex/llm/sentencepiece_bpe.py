@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, to_batch
 
 SPACE = "▁"
-#: Distinct chunks that a worker remembers; beyond, it starts anew.
-CACHE = 400_000
+#: Distinct chunks, and pairs of tokens, that a worker remembers; beyond, it starts anew.
+CACHE = 200_000
 
 
 class Encoder:
@@ -76,7 +76,7 @@ class Encoder:
         pair = (left, right)
         found = self.fits.get(pair)
         if found is None:
-            if len(self.fits) > 4 * CACHE:
+            if len(self.fits) > CACHE:
                 self.fits.clear()
             found = self.fits[pair] = self.remerge(left + right) == [left, right]
         return found
