@@ -8,6 +8,7 @@ from veridex import registry
 #: The part of a registered SQL that drops rows.
 ROW_FILTERS = {
     "assay_scope_category": " WHERE l_partkey % 40 = 0 OR l_suppkey % 3 = 0",
+    "explode_matrix": " WHERE o_orderkey % 20 = 0",
 }
 
 

@@ -39,7 +39,7 @@ def explode_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metabolite-by-sample map as long rows; a value that is no number is NULL and stays."""
     p = F.col("o_totalprice")
     data = F.create_map(F.lit("S1"), p.cast("string"), F.lit("S2"), F.lit("below"), F.lit("S3"), (p * 3).cast("string"))
-    return responses.explode_matrix(table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0").withColumn("data", data), ["o_orderkey"], "data")
+    return responses.explode_matrix(table(spark, sf_dir, "orders").withColumn("data", data), ["o_orderkey"], "data")
 
 
 @query("retrieval_state", """
