@@ -1,13 +1,20 @@
 """Queries on all rows: against their SQL without the row filters that some of it carries."""
 
+import itertools
+import math
+
 import harness
+import numpy as np
 import pytest
 
 from veridex import registry
+from veridex.functions import kernels
+from veridex.operators import linalg
 
 #: The part of a registered SQL that drops rows.
 ROW_FILTERS = {
     "assay_scope_category": " WHERE l_partkey % 40 = 0 OR l_suppkey % 3 = 0",
+    "gram_matrix": " WHERE vec_id < 40",
     "explode_matrix": " WHERE o_orderkey % 20 = 0",
 }
 
@@ -17,3 +24,35 @@ def test_query_reads_all_rows(spark, sf_dir, name):
     whole = registry.oracles()[name].replace(ROW_FILTERS[name], "")
     rows, difference = harness.compare(spark, sf_dir, registry.queries()[name], whole)
     assert rows and not difference, difference
+
+
+def test_mann_whitney_counts_all_events(spark, sf_dir):
+    """Against pairs counted one by one, and the tie-corrected variance written out."""
+    events = [r for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect() if r.event_type in ("click", "purchase") and r.value is not None]
+    x, y = (np.array([r.value for r in events if r.event_type == t]) for t in ("click", "purchase"))
+    u = (x[:, None] > y).sum() + (x[:, None] == y).sum() / 2
+    _, t = np.unique(np.concatenate([x, y]), return_counts=True)
+    n, m = len(x) + len(y), len(x) * len(y)
+    sd = math.sqrt(m / 12 * (n + 1 - float((t.astype(float) ** 3 - t).sum()) / (n * (n - 1))))
+    got = registry.queries()["mann_whitney"](spark, sf_dir).first()
+    assert (got.positives, got.negatives) == (len(x), len(y)) and math.isclose(got.auroc, u / m, abs_tol=1e-9)
+    assert math.isclose(got.p_value, math.erfc(max(abs(u - m / 2) - 0.5, 0) / sd / math.sqrt(2)), rel_tol=1e-9)
+
+
+def test_mann_whitney_forms_agree():
+    assert kernels.mann_whitney_two_sided(3, 4, 5, 0) == kernels.mann_whitney_p(3, 4, 5)
+    n = kernels.MAX_EXACT
+    assert all(abs(kernels.mann_whitney_p(u, n, n) - kernels.mann_whitney_two_sided(u, n, n, 1e-9)) < 5e-3 for u in (100, 200, 250, 312))
+    assert kernels.mann_whitney_two_sided(2, 2, 2, 4**3 - 4) == 1.0 and math.isnan(kernels.mann_whitney_two_sided(0, 0, 3, 0))
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_gram_in_blocks(spark, block):
+    rows = [(k, [float(k), None if k % 3 == 0 else 2.0, -float(k)][: 3 - k % 2]) for k in range(8)] + [(8, None), (9, []), (10, [None])]
+    got = {(r.i, r.j): r.value for r in linalg.gram(spark.createDataFrame(rows, "k bigint, v array<double>"), "k", "v", block).collect()}
+    kept = [(k, v) for k, v in rows if v is not None]
+    want = {}
+    for (i, a), (j, b) in itertools.combinations_with_replacement(kept, 2):
+        terms = [p * q for p, q in zip(a, b) if p is not None and q is not None]
+        want[i, j] = sum(terms) if terms else None
+    assert got == want

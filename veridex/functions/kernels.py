@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FLOOR = 1e-300
+#: Members of a group up to which rank tests count orderings exactly.
+MAX_EXACT = 25
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
 
@@ -190,6 +192,19 @@ def mann_whitney_p(u: float, n1: int, n2: int) -> float:
     return min(1.0, 2 * sum(counts[: k + 1]) / sum(counts))
 
 
+def mann_whitney_two_sided(u: float, n1: int, n2: int, ties: float) -> float:
+    """Two-sided p of U: exact counts for groups of at most MAX_EXACT without ties, else the normal form with variance
+    corrected for ``ties``, the sum of t^3 - t over sets of t equal values, and a continuity correction. NaN for an empty group."""
+    if not n1 or not n2:
+        return math.nan
+    if not ties and max(n1, n2) <= MAX_EXACT:
+        return mann_whitney_p(u, n1, n2)
+    n = n1 + n2
+    variance = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))
+    away = max(abs(u - n1 * n2 / 2) - 0.5, 0.0)
+    return math.erfc(away / math.sqrt(2 * variance)) if variance > 0 else 1.0
+
+
 def _over(fn, *columns: Column) -> Column:
     @F.pandas_udf("double")
     def run(*series: pd.Series) -> pd.Series:
@@ -231,8 +246,8 @@ def sign_test_p(positive: Column, negative: Column) -> Column:
     return _over(lambda *v: np.array([sign_test(*map(int, row))[0] for row in zip(*v)]), positive, negative)
 
 
-def mann_whitney_exact_p(u: Column, n1: Column, n2: Column) -> Column:
-    return _over(lambda *v: np.array([mann_whitney_p(x, int(a), int(b)) for x, a, b in zip(*v)]), u, n1, n2)
+def mann_whitney_two_sided_p(u: Column, n1: Column, n2: Column, ties: Column) -> Column:
+    return _over(lambda *v: np.array([mann_whitney_two_sided(x, int(a), int(b), t) for x, a, b, t in zip(*v)]), u, n1, n2, ties)
 
 
 def sign_test_fraction(positive, negative) -> Column:

@@ -18,14 +18,22 @@ def confusion(df: DataFrame, actual: Column, predicted: Column, by=()) -> DataFr
     return out.withColumns({"accuracy": ratio(tp + tn, tp + fn + tn + fp), "sensitivity": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp), "precision": ratio(tp, tp + fp), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
-def auroc(df: DataFrame, positive: Column, score: str, by=()) -> DataFrame:
-    """Area under the curve by rank sums. Scores are first counted per distinct value, so ties cost nothing and ranks are
-    a running sum over distinct scores, not over rows; equal to counting concordant pairs and half the ties."""
+def rank_sum(df: DataFrame, positive: Column, score: str, by=()) -> DataFrame:
+    """positives, negatives, U of the positives, and ties (sum of t^3 - t over sets of t equal scores).
+
+    Scores are first counted per distinct value, so ties cost nothing and ranks are a running sum over distinct scores,
+    not over rows; equal to counting concordant pairs and half the ties.
+    """
     counts = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
     below = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    area = counts.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).groupBy(*by).agg(
-        F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2.0)).alias("_u"), F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"))
-    return area.withColumn("auroc", ratio(F.col("_u"), F.col("positives") * F.col("negatives"))).drop("_u")
+    t = (F.col("_p") + F.col("_n")).cast("double")
+    return counts.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).groupBy(*by).agg(
+        F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2.0)).alias("u"), F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum(t * t * t - t).alias("ties"))
+
+
+def auroc(df: DataFrame, positive: Column, score: str, by=()) -> DataFrame:
+    """Area under the curve by rank sums."""
+    return rank_sum(df, positive, score, by).withColumn("auroc", ratio(F.col("u"), F.col("positives") * F.col("negatives"))).drop("u", "ties")
 
 
 def fit_discriminant(long: DataFrame, label: str, feature: str, value: str, floor: float = 1e-12) -> DataFrame:

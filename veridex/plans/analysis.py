@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import chi2_upper_p, f_upper_p, mann_whitney_exact_p
+from ..functions.kernels import chi2_upper_p, f_upper_p, mann_whitney_two_sided_p
+from ..functions.stats import ratio
 from ..operators import evaluate, linalg, views
 from ..operators.bh import adjust_global
 from ..operators.relational import union_of_keys
@@ -197,9 +198,8 @@ def benchmark_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 40), l AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM v, range(1, 65) t(i))
 SELECT a.vec_id AS i, b.vec_id AS j, round(sum(a.x * b.x), 7) AS value FROM l a JOIN l b ON a.i = b.i AND a.vec_id <= b.vec_id GROUP BY ALL""")
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gram matrix of the first samples: the operator's input is capped by design."""
-    v = table(spark, sf_dir, "embeddings").filter("vec_id < 40")
-    return linalg.gram(linalg.to_long(v, "vec_id", "embedding")).select("i", "j", F.round("value", 7).alias("value"))
+    """Gram matrix of all samples."""
+    return linalg.gram(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("i", "j", F.round("value", 7).alias("value"))
 
 
 @query("column_scale", """
@@ -245,10 +245,11 @@ def chi2_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mann_whitney")
 def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact rank test of two small groups by exact counts; big integers have no SQL form."""
-    e = table(spark, sf_dir, "events").filter("event_id < 60 and event_type in ('click', 'purchase')").select("value", (F.col("event_type") == "click").alias("g"))
-    u = evaluate.auroc(e, F.col("g"), "value")
-    return u.select("positives", "negatives", F.round("auroc", 9).alias("auroc"), mann_whitney_exact_p(F.floor(F.col("auroc") * F.col("positives") * F.col("negatives")), F.col("positives"), F.col("negatives")).alias("p_value"))
+    """Rank test of two event types over all events: exact counts for small groups, else the tie-corrected normal form."""
+    e = table(spark, sf_dir, "events").filter("event_type in ('click', 'purchase')").select("value", (F.col("event_type") == "click").alias("g"))
+    u = evaluate.rank_sum(e, F.col("g"), "value")
+    p = mann_whitney_two_sided_p(F.col("u"), F.col("positives"), F.col("negatives"), F.col("ties"))
+    return u.select("positives", "negatives", F.round(ratio(F.col("u"), F.col("positives") * F.col("negatives")), 9).alias("auroc"), p.alias("p_value"))
 
 
 @query("bh_one_stratum", f"""
