@@ -24,8 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Shared, map_arrow, slices, stage, to_batch
 from .components import components
@@ -117,6 +118,13 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def sizes_and_prints(sets: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Size and two fingerprints of each set."""
+    f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    f2 = np.array([mix(s ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    return [len(s) for s in sets], f1, f2
+
+
 def measure(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, n, f1, f2, bands): set size, set fingerprint, band keys."""
     bands, rows = bands_for(percent)
@@ -127,9 +135,8 @@ def measure(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text").to_pylist(), shingle)
                 keys = band_keys(signatures(sets), bands, rows).view(np.int64)
-                f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                f2 = np.array([mix(s ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                yield to_batch({"doc_id": part.column("doc_id"), "n": [len(s) for s in sets], "f1": f1, "f2": f2, "bands": [k if len(s) else [] for k, s in zip(keys, sets)]}, schema)
+                n, f1, f2 = sizes_and_prints(sets)
+                yield to_batch({"doc_id": part.column("doc_id"), "n": n, "f1": f1, "f2": f2, "bands": [k if len(s) else [] for k, s in zip(keys, sets)]}, schema)
 
     return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
@@ -222,16 +229,57 @@ def links(docs: DataFrame, measured: DataFrame, shingle: int, percent: int) -> t
     return group, components(first.unionByName(second))
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+def placed_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Per row of docs: doc_id, n, f1, f2, component_id, kept."""
     measured = stage(measure(docs, shingle, percent), "shingles")
     group, found = links(docs, measured, shingle, percent)
     placed = group.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     out = measured.select("doc_id", "n", "f1", "f2").join(placed.hint("merge"), ["f1", "f2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n", "f1", "f2", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+    return placed_rows(docs, shingle, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs with size and fingerprint of the shingle set in veridex_n, veridex_f1 and veridex_f2."""
+    extra = ("veridex_n", "veridex_f1", "veridex_f2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                values = sizes_and_prints(shingle_sets(part.column("text").to_pylist(), shingle))
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v, pa.int64()) for v in values]], names=[*part.schema.names, *extra])
+
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in extra]]))
 
 
 def keep(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near-duplicates: of each group the row of least doc_id stays."""
-    gone = classes(docs, shingle, percent).filter("not kept").select(F.col("doc_id").alias("veridex_gone"))
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("veridex_gone"), "left_anti")
+    """docs without near-duplicates: of each group the row of least doc_id stays, and one row of it if it is repeated.
+
+    doc_id names a document: of rows that repeat one, with whatever texts, one stays, and none if a text of them copies a
+    lesser document. A row without an id goes if it copies one with an id, or another one without; blank ones copy nothing.
+    """
+    rows = stage(placed_rows(docs, shingle, percent), "placed")
+    # staged, as its size is then known to the planner, and a small side costs no exchange of the texts
+    marks = stage(rows.filter("doc_id is not null").groupBy(F.col("doc_id").alias("veridex_key")).agg((F.count("*") > 1).alias("veridex_again"), F.bool_and("kept").alias("veridex_kept")), "marks")
+    key = F.col("doc_id").cast("bigint") == F.col("veridex_key")
+    usual = docs.filter("doc_id is not null").join(marks.filter("veridex_again or not veridex_kept").select("veridex_key"), key, "left_anti")
+
+    again = stage(marks.filter("veridex_again").select("veridex_key"), "again")
+    odd = docs.filter("doc_id is not null").join(again, key, "left_semi").unionByName(docs.filter("doc_id is null"))
+    stay = rows.join(again, F.col("doc_id") == F.col("veridex_key"), "left").filter("kept and (doc_id is null or veridex_key is not null)")
+    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("n").alias("veridex_n"), F.col("f1").alias("veridex_f1"), F.col("f2").alias("veridex_f2")).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("stay_id"))
+    prints = ["veridex_n", "veridex_f1", "veridex_f2"]
+    marked = fingerprinted(odd, shingle)
+    for c in prints:
+        same = same & (marked[c] == stay[c])
+    left = marked.join(stay, same, "left_semi")
+    # a number of its own for each blank row without an id
+    blank = F.when(F.col("doc_id").isNull() & (F.col("veridex_n") == 0), F.monotonically_increasing_id())
+    one = [F.col("doc_id"), *[F.when(F.col("doc_id").isNull(), F.col(c)) for c in prints], F.col("veridex_blank")]
+    numbered = left.withColumn("veridex_blank", blank).withColumn("veridex_place", F.row_number().over(Window.partitionBy(*one).orderBy("text", *prints)))
+    return usual.unionByName(numbered.filter("veridex_place = 1").select(docs.columns))

@@ -55,7 +55,7 @@ def candidate_rows(words: Words, doc_ids: list, width: int, first: np.ndarray, c
 def repeated_spans(candidates: DataFrame, width: int, keep_first: bool = False) -> DataFrame:
     """(doc_id, a, b): words a..b of a document lie in windows that start more than once in all candidates.
 
-    With ``keep_first`` the occurrence of least (doc_id, start) of each window is left out.
+    With ``keep_first`` the occurrence of least (doc_id, start) of each window is left out, in all rows that repeat it.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
@@ -74,7 +74,9 @@ def repeated_spans(candidates: DataFrame, width: int, keep_first: bool = False)
         same = (g[1:] == g[:-1]) & (v[1:] == v[:-1])
         twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         if keep_first:
-            twice &= np.concatenate([[False], same])
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
+            least = order[start]  # a row that repeats doc_id and start is the first occurrence too
+            twice &= (doc[order] != doc[least]) | (at[order] != at[least])
         hit = np.sort(order[twice])
         if not len(hit):
             return to_batch({"doc_id": [], "a": [], "b": []}, schema)
