@@ -5,7 +5,8 @@ matcher has a shift table over two-word blocks (how far the window may move on,
 blocks that end a pattern, a bucket of the patterns to compare directly.
 
 Edge cases: null and empty texts have no words and no hits; an item without words gives no pattern; items with equal
-windows are all reported; a benchmark that exceeds a block's size is searched block by block and the hits are merged.
+windows are all reported; items without an id count as one, which items_sha256 leaves out; a benchmark that exceeds a
+block's size is searched block by block, and the hits are merged by row, so repeated rows and null doc_ids stay apart.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from .common import Shared, map_arrow, stage, to_batch
 WINDOW = 13
 #: Bytes of benchmark text in one block of patterns: what a worker holds and what is broadcast at once.
 BLOCK_BYTES = 16 << 20
+#: A row's number while the hits of several blocks are merged.
+ROW = "veridex_row"
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -34,7 +38,7 @@ def words(text: str | None) -> list[bytes]:
 class WuManber:
     """All patterns of one length."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[int]]):
+    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[int | None]]):
         self.length, self.block = length, min(2, length)
         self.default = length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
@@ -62,7 +66,7 @@ class WuManber:
             end += 1
 
 
-def matchers(items: Iterable[tuple[int, str | None]], window: int = WINDOW) -> list[WuManber]:
+def matchers(items: Iterable[tuple[int | None, str | None]], window: int = WINDOW) -> list[WuManber]:
     by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
     for item, text in items:
         found = words(text)
@@ -92,10 +96,10 @@ def merge(spans: Iterable[tuple[int, int]]) -> list[int]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
     """The items with a text in blocks of bounded size, one block on the driver at a time."""
     held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("i"), F.col("text").alias("t")).filter("t is not null and i is not null")
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("i"), F.col("text").alias("t")).filter("t is not null")
     for row in rows.toLocalIterator():
         held.append((row.i, row.t))
         size += len(row.t)
@@ -118,55 +122,73 @@ def _engines(shared: Shared) -> list[WuManber]:
     return _COMPILED[id(items)][1]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, spans array<int> of hit words (start, end ...), items array<bigint>."""
-    spark = docs.sparkSession
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-
-    def scan(items: list[tuple[int, str]], all_rows: bool) -> DataFrame:
-        shared = Shared(spark, items)
+_HITS = "doc_id bigint, n_words bigint, spans array<int>, items array<bigint>"
+_HIT_FIELDS = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            engines = _engines(shared)
-            for batch in batches:
-                rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found = words(text)
-                    spans, who = search(found, engines)
-                    if all_rows or spans:
-                        rows.append((doc, len(found), spans, sorted(who)))
-                doc, n, spans, who = zip(*rows) if rows else ((), (), (), ())
-                yield to_batch({"doc_id": doc, "n_words": n, "spans": spans, "items": who}, schema)
 
-        return map_arrow(source, run, "doc_id bigint, n_words bigint, spans array<int>, items array<bigint>")
+def _scan(source: DataFrame, items: list[tuple[int | None, str]], all_rows: bool) -> DataFrame:
+    """The hits of one block per row of (doc_id, text, and ROW if it is there); null among the items stands last."""
+    shared = Shared(source.sparkSession, items)
+    keyed = ROW in source.columns
+    schema = pa.schema(([(ROW, pa.int64())] if keyed else []) + _HIT_FIELDS)
 
-    blocks = item_blocks(benchmark, block_bytes)
-    first = next(blocks, [])
-    out = scan(first, True)
-    rest = next(blocks, None)
-    if rest is None:
-        return out
-    parts = [stage(out, "hits")]
-    while rest is not None:
-        parts.append(stage(scan(rest, False), "hits"))
-        rest = next(blocks, None)
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    # spans of several blocks meet per document: at most as many as it has words
-    grouped = merged.groupBy("doc_id").agg(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engines = _engines(shared)
+        for batch in batches:
+            on, rows = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                found = words(text)
+                spans, who = search(found, engines)
+                if all_rows or spans:
+                    on.append(i)
+                    rows.append((len(found), spans, sorted(who, key=lambda w: (w is None, w or 0))))
+            n, spans, who = zip(*rows) if rows else ((), (), ())
+            kept = batch.take(pa.array(on, pa.int64()))
+            yield to_batch({**({ROW: kept.column(ROW)} if keyed else {}), "doc_id": kept.column("doc_id"), "n_words": n, "spans": spans, "items": who}, schema)
+
+    return map_arrow(source, run, (f"{ROW} bigint, " if keyed else "") + _HITS)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, staged so that every block sees the same ones."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _merged(numbered: DataFrame, blocks: Iterator[list[tuple[int | None, str]]]) -> DataFrame:
+    """ROW and the hits of all blocks for each row of numbered docs."""
+    source = numbered.select(ROW, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    merged = None
+    for block in blocks:
+        part = stage(_scan(source, block, merged is None), "hits")
+        merged = part if merged is None else merged.unionByName(part)
+    # spans of several blocks meet per row: at most as many as it has words
+    grouped = merged.groupBy(ROW).agg(
+        F.max("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    schema = pa.schema([(ROW, pa.int64()), *_HIT_FIELDS])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [merge(zip(s[0::2], s[1::2])) for s in batch.column("spans").to_pylist()]
-            yield to_batch({"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "spans": spans, "items": batch.column("items")}, schema)
+            yield to_batch({**{c: batch.column(c) for c in (ROW, "doc_id", "n_words", "items")}, "spans": spans}, schema)
 
-    return map_arrow(grouped, join, "doc_id bigint, n_words bigint, spans array<int>, items array<bigint>")
+    return map_arrow(grouped, join, f"{ROW} bigint, {_HITS}")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of docs: doc_id, n_words, spans array<int> of hit words (start, end ...), items array<bigint>."""
+    blocks = item_blocks(benchmark, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _scan(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), first, True)
+    return _merged(_numbered(docs.select("doc_id", "text")), chain([first, second], blocks)).drop(ROW)
+
+
+def _contaminated(hit: int, n_words: int) -> bool:
+    return hit > 0 and 20 * hit >= n_words
 
 
 def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -178,8 +200,8 @@ def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
             n = batch.column("n_words").to_pylist()
             hit = [sum(s[1::2]) - sum(s[0::2]) for s in batch.column("spans").to_pylist()]
             items = batch.column("items").to_pylist()
-            sha = [hashlib.sha256(",".join(sorted(map(str, i))).encode()).hexdigest() for i in items]
-            bad = [h > 0 and 20 * h >= w for h, w in zip(hit, n)]
+            sha = [hashlib.sha256(",".join(sorted(str(k) for k in i if k is not None)).encode()).hexdigest() for i in items]
+            bad = [_contaminated(h, w) for h, w in zip(hit, n)]
             yield to_batch({"doc_id": batch.column("doc_id"), "n_words": n, "n_hit": hit, "n_items": [len(i) for i in items], "items_sha256": sha, "contaminated": bad}, schema)
 
     found = hits(docs, benchmark, block_bytes)
@@ -189,10 +211,18 @@ def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
 def keep(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the contaminated ones; all columns of the others stay as they are."""
     blocks = item_blocks(benchmark, block_bytes)
-    first = next(blocks, [])
-    if next(blocks, None) is not None:  # several blocks: a document's hits must meet first
-        bad = report(docs, benchmark, block_bytes).filter("contaminated").select(F.col("doc_id").alias("veridex_bad"))
-        return docs.join(bad, F.col("doc_id").cast("bigint") == F.col("veridex_bad"), "left_anti")
+    first, second = next(blocks, []), next(blocks, None)
+    if second is not None:  # several blocks: a row's hits must meet first
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = [sum(s[1::2]) - sum(s[0::2]) for s in batch.column("spans").to_pylist()]
+                bad = [_contaminated(h, w) for h, w in zip(hit, batch.column("n_words").to_pylist())]
+                yield batch.select([ROW]).filter(pa.array(bad, pa.bool_()))
+
+        numbered = _numbered(docs)
+        gone = map_arrow(_merged(numbered, chain([first, second], blocks)), choose, f"{ROW} bigint")
+        return numbered.join(gone, ROW, "left_anti").select(docs.columns)
     shared = Shared(docs.sparkSession, first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +233,7 @@ def keep(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
                 found = words(text)
                 spans, _ = search(found, engines)
                 hit = sum(spans[1::2]) - sum(spans[0::2])
-                good.append(not (hit and 20 * hit >= len(found)))
+                good.append(not _contaminated(hit, len(found)))
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
