@@ -15,6 +15,9 @@ from veridex.operators import linalg
 ROW_FILTERS = {
     "assay_scope_category": " WHERE l_partkey % 40 = 0 OR l_suppkey % 3 = 0",
     "gram_matrix": " WHERE vec_id < 40",
+    "inference_ledger": " WHERE o_orderkey % 97 = 0",
+    "effect_heatmap_grid": " WHERE p_size <= 2",
+    "lookup_unambiguous": " WHERE l_linenumber = 1",
     "explode_matrix": " WHERE o_orderkey % 20 = 0",
 }
 

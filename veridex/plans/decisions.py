@@ -62,7 +62,7 @@ SELECT hop, subject, object, CASE WHEN object IS NULL THEN 'absent_no_refmet_map
 def inference_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops of a four-table chain; an unmapped hop is a row, not a gap."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
-    gene = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("string").alias("gene")).join(orders.filter("o_orderkey % 97 = 0"), "o_custkey").select("gene", F.concat(F.lit("R"), "o_orderpriority").alias("reaction")).distinct()
+    gene = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("string").alias("gene")).join(orders, "o_custkey").select("gene", F.concat(F.lit("R"), "o_orderpriority").alias("reaction")).distinct()
     compound = orders.select(F.concat(F.lit("R"), "o_orderpriority").alias("reaction"), F.col("o_orderstatus").alias("compound")).distinct()
     names = spark.createDataFrame([("O", "open"), ("F", "filled")], "compound string, name string")
     studies = spark.createDataFrame([("open", "S1")], "name string, study string")

@@ -77,7 +77,7 @@ def lookup_unambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup by name in a dimension whose ambiguous names are taken out first."""
     part = table(spark, sf_dir, "part").select("p_name", "p_partkey")
     dim = R.unambiguous_dimension(part, "p_name", "p_partkey").withColumnRenamed("p_partkey", "id")
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
     out = rows.join(dim, "p_name", "left")
     return out.select("l_orderkey", "l_linenumber", F.col("id").isNotNull().alias("resolved"), F.coalesce(F.col("id") == F.col("p_partkey"), F.lit(False)).alias("agrees"))
 
