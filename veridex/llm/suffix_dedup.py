@@ -2,7 +2,7 @@
 
 Suffixes are kept only where a minimiser of a 50-word window starts, about one in 22: equal passages keep equal ones,
 since the choice depends on the words alone. The kept suffixes are sorted by their first words over the whole corpus
-(a range-partitioned sort whose keys end in doc_id and place, so that a frequent suffix spreads over many tasks), and
+(a range-partitioned sort whose keys end in document and place, so that a frequent suffix spreads over many tasks), and
 neighbours are compared. A suffix that equals a neighbour is extended to the left and right: the 50-word windows around
 it are compared with those around its equals, and runs of equal windows give the matches with their full length.
 
@@ -29,9 +29,16 @@ GRAM = 8
 HOT = 50
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc_key) of docs. The key says which rows share places of candidates: rows of one doc_id, and without
+    one those of equal text. A key that others share only adds candidates, which are compared exactly."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return own.withColumn("doc_key", F.coalesce("doc_id", F.xxhash64("text")))
+
+
 def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(gram, doc_id, place) of the kept suffixes; gram is the hash of the suffix's first words, place a word index."""
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32())])
+    """(gram, doc_key, place) of the kept suffixes; gram is the hash of the suffix's first words, place a word index."""
+    schema = pa.schema([("gram", pa.int64()), ("doc_key", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,14 +47,14 @@ def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 _, _, places = runs(words, length, gram)
                 if len(places):
                     doc = np.searchsorted(words.offsets, places, side="right") - 1
-                    yield to_batch({"gram": gram_keys(words, places, gram).view(np.int64), "doc_id": part.column("doc_id").take(pa.array(doc)), "place": places - words.offsets[doc]}, schema)
+                    yield to_batch({"gram": gram_keys(words, places, gram).view(np.int64), "doc_key": part.column("doc_key").take(pa.array(doc)), "place": places - words.offsets[doc]}, schema)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "gram bigint, doc_id bigint, place int")
+    return map_arrow(keyed(docs), run, "gram bigint, doc_key bigint, place int")
 
 
 def neighbours(kept: DataFrame) -> DataFrame:
     """Sorted suffixes with ``same``, how many equal ones lie in the partition, and ``edge``, if these touch its border."""
-    out_schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("same", pa.int32()), ("edge", pa.bool_())])
+    out_schema = pa.schema([("gram", pa.int64()), ("doc_key", pa.int64()), ("place", pa.int32()), ("same", pa.int32()), ("edge", pa.bool_())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only suffixes with an equal neighbour, or at the border, go on. A run is passed on in pieces, so a long one isn't held."""
@@ -72,7 +79,7 @@ def neighbours(kept: DataFrame) -> DataFrame:
             on = np.flatnonzero((same > 1) | edge)
             if len(on):
                 t = table.take(pa.array(on)).combine_chunks()
-                yield to_batch({"gram": t.column("gram").combine_chunks(), "doc_id": t.column("doc_id").combine_chunks(), "place": t.column("place").combine_chunks(), "same": same[on], "edge": edge[on]}, out_schema)
+                yield to_batch({"gram": t.column("gram").combine_chunks(), "doc_key": t.column("doc_key").combine_chunks(), "place": t.column("place").combine_chunks(), "same": same[on], "edge": edge[on]}, out_schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -97,8 +104,8 @@ def neighbours(kept: DataFrame) -> DataFrame:
         if held is not None:
             yield from emit(held, True)
 
-    ranged = kept.repartitionByRange("gram", "doc_id", "place").sortWithinPartitions("gram", "doc_id", "place")
-    return map_arrow(ranged, compare, "gram bigint, doc_id bigint, place int, same int, edge boolean")
+    ranged = kept.repartitionByRange("gram", "doc_key", "place").sortWithinPartitions("gram", "doc_key", "place")
+    return map_arrow(ranged, compare, "gram bigint, doc_key bigint, place int, same int, edge boolean")
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
@@ -106,11 +113,11 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
     sorted_ = stage(neighbours(stage(suffixes(docs, length, gram), "suffixes")), "neighbours")
     # at a partition's border a suffix may have its equals next door
     across = sorted_.filter("edge").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    repeated = sorted_.filter("same > 1").select("gram", "doc_id", "place").unionByName(
-        sorted_.filter("same = 1 and edge").join(across, "gram", "left_semi").select("gram", "doc_id", "place")
+    repeated = sorted_.filter("same > 1").select("gram", "doc_key", "place").unionByName(
+        sorted_.filter("same = 1 and edge").join(across, "gram", "left_semi").select("gram", "doc_key", "place")
     )
     hot = sorted_.filter(F.col("same") >= HOT).select("gram").distinct().withColumn("is_hot", F.lit(True))
-    marked = repeated.join(hot, "gram", "left").select(F.col("doc_id").alias("doc_key"), F.struct("place", F.coalesce("is_hot", F.lit(False)).alias("hot")).alias("at"))
+    marked = repeated.join(hot, "gram", "left").select("doc_key", F.struct("place", F.coalesce("is_hot", F.lit(False)).alias("hot")).alias("at"))
     places = marked.groupBy("doc_key").agg(F.collect_list("at").alias("places"))  # at most as many as the document has words
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +137,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
                     keys = gram_keys(words, at[on], gram)
                     yield to_batch(candidate_rows(words, part.column("doc_id").to_pylist(), length, first[on], count[on], keys, state[at[on]] == 2), CANDIDATE_SCHEMA)
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    near = source.join(places, source["doc_id"] == places["doc_key"]).select("doc_id", "text", "places")
+    near = keyed(docs).join(places, "doc_key").select("doc_id", "text", "places")
     return repeated_spans(map_arrow(near, extend, CANDIDATES), length, keep_first)
 
 
