@@ -2,9 +2,9 @@
 
 Suffixes are kept only where a minimiser of a 50-word window starts, about one in 22: equal passages keep equal ones,
 since the choice depends on the words alone. The kept suffixes are sorted by their first words over the whole corpus
-(a range-partitioned sort whose keys end in document and place, so that a frequent suffix spreads over many tasks), and
-neighbours are compared. A suffix that equals a neighbour is extended to the left and right: the 50-word windows around
-it are compared with those around its equals, and runs of equal windows give the matches with their full length.
+(by the hash of 8 words, a range-partitioned sort whose keys end in document and place, so that a frequent suffix spreads
+over many tasks), and neighbours are compared by that hash. The 50-word windows around a suffix that equals a neighbour are
+candidates; they are grouped exactly (repeats.py), and runs of repeated windows give the matches with their full length.
 
 Edge cases: texts under 50 words, null and empty texts have no suffixes; repeated rows are copies of one another; a
 passage that repeats in one document counts; a null doc_id takes part but is not cut.
