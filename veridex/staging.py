@@ -28,11 +28,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the process ends."""
+    atexit.register(_delete, spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. The table goes when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridex/{name}-{uuid.uuid4().hex}"
     # small row groups: a writer holds one of them in memory, and staged hashes gain nothing from dictionaries
     df.write.options(**{"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false"}).parquet(path)
-    atexit.register(_delete, spark, path)
+    discard(spark, path)
     return spark.read.schema(df.schema).parquet(path)
