@@ -51,18 +51,19 @@ def test_packing_round_trip():
 
 def test_ids_equal_the_library(rows):
     own, library = T.Ids(BYTES), Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     assert own.core is not None
     safe = [chr(c) for c in range(0x2100) if not T._OTHER(chr(c))]
     rng = random.Random(4)
     some = ["".join(rng.choice(safe) for _ in range(30)) for _ in range(2000)] + [x + c + y for c in safe for x in ("a", " ", "1", ".") for y in ("b", " ", "2", "!")]
-    for text in [*some, *(r[1] for r in rows)]:
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert added
+    special = [form.format(t) for t in added for form in ("{0}", "a{0}b", " {0} ", "x {0}{0} y", "{0}\n", "<{0}>")] + [t[:-1] for t in added] + [t.upper() for t in added]
+    for text in [*some, *special, *(r[1] for r in rows)]:
         assert own.encode(text).tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)[:200]
 
 
 def test_store_round_trip(spark, docs, no_docs, rows, tmp_path):
     library = Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     T.write(docs, BYTES, str(tmp_path / "ids"), block_tokens=500)
     got = sorted(T.read(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
     ids = {r[0]: [*library.encode(r[1] or "", add_special_tokens=False).ids, T.END] for r in rows}
@@ -76,6 +77,9 @@ def test_store_round_trip(spark, docs, no_docs, rows, tmp_path):
     report = {r.doc_id: r.ids_crc32 for r in T.report(docs, BYTES).collect()}
     assert report == {d: zlib.crc32(np.array(i, "<u4").tobytes()) for d, i in ids.items()}
     assert T.report(no_docs, BYTES).count() == 0
+    ids = {1: "hello <|endoftext|> world", 2: "<|endoftext|>"}
+    found = {r.doc_id: r.n_tokens for r in T.report(spark.createDataFrame(list(ids.items()), "doc_id bigint, text string"), BYTES).collect()}
+    assert found == {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in ids.items()} and found[2] == 2
 
 
 def test_rank_order_is_by_frequency(docs):

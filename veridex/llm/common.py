@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..staging import shared_dir, stage  # noqa: F401
+from .. import staging
+from ..staging import discard, shared_dir  # noqa: F401
 
 #: Rows of one Arrow batch; with SLICE_BYTES it bounds what a Python worker holds at once.
 BATCH_ROWS = 512
@@ -19,15 +22,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Fewer rows in an Arrow or Parquet batch than the defaults, which are made for narrow rows: long texts must fit."""
-    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
-        if int(spark.conf.get(key)) > BATCH_ROWS:
-            spark.conf.set(key, BATCH_ROWS)
+#: Long texts must fit, so batches have fewer rows than the defaults, which are made for narrow rows.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.parquet.columnarReaderBatchSize": BATCH_ROWS}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow and Parquet batches for what runs inside; the session's own settings come back after it."""
+    before = {key: spark.conf.get(key) for key in SMALL}
+    for key, rows in SMALL.items():
+        spark.conf.set(key, min(rows, int(before[key])))
+    try:
+        yield
+    finally:
+        for key, rows in before.items():
+            spark.conf.set(key, rows)
+
+
+def isolated(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` with its settings and small batches, for plans that run after their function returns."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.get(key, None) != value:
+            try:
+                own.conf.set(key, value)
+            except PySparkException:  # a static setting: the same for all sessions
+                continue
+    for key, rows in SMALL.items():
+        own.conf.set(key, min(rows, int(spark.conf.get(key))))
+    return own
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """A staged table, written in small batches."""
+    with small_batches(df.sparkSession):
+        return staging.stage(df, name)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
+    """``fn`` over Arrow batches. A batch has 64 MB at most, Spark's own bound; functions take larger ones apart by slices()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
@@ -49,6 +82,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
+def parts(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, column)
+
+
 def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, host_rules, language_id, near_dedup, oracles, quality_fm, sentencepiece_bpe, substring_dedup, suffix_dedup, token_store, toxicity
-from .common import table
+from .common import isolated, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,8 +18,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def _query(fn):
-    _QUERIES[fn.__name__] = fn
-    return fn
+    """Registers ``fn``; it runs in a session of its own, so that its settings don't reach the caller's."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(isolated(spark), sf_dir)
+
+    _QUERIES[fn.__name__] = run
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, stage, to_batch
+from .common import map_arrow, parts, slices, stage, to_batch
 from .textkit import Words, encode, gram_hashes, hash_words, inside, minimisers
 
 CANDIDATES = "doc_id bigint, start int, gram bigint, hot boolean, windows binary"
@@ -177,7 +177,7 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = [cut(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield to_batch({"doc_id": batch.column(0), "n_words": [len(w) + n for w, n in rows], "n_removed": [n for _, n in rows], "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in rows]}, schema)
 
@@ -189,7 +189,7 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the repeated words cut out of ``text`` and ``n_chars`` renewed; texts without repeats stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             at = batch.schema.get_field_index("text")
             found = batch.column("veridex_spans").to_pylist()
             texts = [t if not s else b" ".join(cut(t, s)[0]).decode("utf-8", "surrogatepass") for t, s in zip(batch.column("text").to_pylist(), found)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, to_batch
+from .common import map_arrow, parts, to_batch
 
 SPACE = "▁"
 #: Distinct chunks, and pairs of tokens, that a worker remembers; beyond, it starts anew.
@@ -189,7 +189,7 @@ def encode_column(docs: DataFrame, model_file: str, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_file)
-        for batch in batches:
+        for batch in parts(batches):
             ids = [enc.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(i) for i in ids], pa.string())], names=["doc_key", "ids", "decoded"])
 
@@ -204,7 +204,7 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
         enc = encoder(model_file)
         name = [str(i) for i in range(enc.library.get_piece_size())].__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
+        for batch in parts(batches):
             rows = [(len(i), sha(",".join(map(name, i))), sha(enc.decode(i))) for i in map(enc.encode, batch.column(1).to_pylist())]
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield to_batch({"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}, schema)
@@ -220,7 +220,7 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
         enc = encoder(model_file)
         name = [str(i) for i in range(enc.library.get_piece_size())].__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
+        for batch in parts(batches):
             ids = [enc.encode(t) for t in batch.column(3).to_pylist()]
             new = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([sha(",".join(map(name, i))) for i in ids]), pa.array([sha(enc.decode(i)) for i in ids])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], names=["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])

@@ -11,7 +11,8 @@ Blocks are the rows of a Parquet table (shard, block, before, data) beside a ran
 ``before`` counts the tokens before the block in its shard. Any file system that Spark writes to can hold it.
 
 Edge cases: a null or empty text is the end id alone; documents with equal doc_id keep an order by their ids' bytes; null
-doc_ids come first; the strings of special tokens in a text are ordinary text.
+doc_ids come first; a special token that is written out in a text (``<|endoftext|>``) is that token, as in the library's
+plain settings; texts of any length are encoded whole, at a cost in proportion to their length.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Shared, map_arrow, shared_dir, slices, stage, to_batch
+from .common import Shared, discard, map_arrow, shared_dir, slices, small_batches, stage, to_batch
 
 END = 0
 #: Ids in one block, about.
@@ -108,10 +109,11 @@ class Ids:
     def __init__(self, tokenizer_file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many workers as there are cores
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.core = self._core(json.loads(self.library.to_str()))
+        spec = json.loads(self.library.to_str())
+        self.core = self._core(spec)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)").search
 
     @staticmethod
     def _core(spec: dict) -> tiktoken.Encoding | None:
@@ -130,7 +132,7 @@ class Ids:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.kind)
-        if self.core is None or _OTHER(text):
+        if self.core is None or _OTHER(text) or self.added(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
         return np.array(self.core.encode_ordinary(text), self.kind)
 
@@ -212,7 +214,8 @@ def write(docs: DataFrame, tokenizer_file: str, path: str, block_tokens: int = B
             yield flush()
 
     ranged = tokens.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids").select(F.spark_partition_id().alias("shard"), "doc_id", "ids")
-    map_arrow(ranged, run, "shard int, block int, before bigint, tokens bigint, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    with small_batches(spark):
+        map_arrow(ranged, run, "shard int, block int, before bigint, tokens bigint, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(order.tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
 
 
@@ -242,7 +245,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def report(docs: DataFrame, tokenizer_file: str, path: str | None = None) -> DataFrame:
     """Write, read back, and return per document: doc_id, start, n_tokens, ids_crc32 (unsigned, of the ids' bytes)."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/veridex/ids-{uuid.uuid4().hex}"
+    if path is None:  # nobody asked for the files: they go when the process ends
+        path = f"{shared_dir(spark)}/veridex/ids-{uuid.uuid4().hex}"
+        discard(spark, path)
     write(docs, tokenizer_file, path)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
