@@ -6,7 +6,9 @@ standardised statistics of the text's structure. It is fitted by mini-batch Adam
 labelled rows whose crc32(doc_id) mod 3 is not 1.
 
 Edge cases: null and empty texts have no words and zero statistics, and get a score like any other; without labelled
-rows, or with one class, the score is the smoothed share of label 1.
+rows, or with one class, the score is the smoothed share of label 1; an id with both labels counts as label 1; of rows
+that repeat a labelled id the one of least text is learned from, and each gets its score; equal texts have equal scores; a
+text of any length takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -150,9 +152,7 @@ def fit(row, bins, value, stats, y: np.ndarray, base: float, seed: int = 5) -> M
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Machine:
     held = remainder(F.col("doc_id"), 3) == 1
-    chosen = sample(labels, "quality", per_class, held)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most 2 * per_class ids
+    rows = sample(docs, labels, "quality", per_class, held)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("bins", pa.binary()), ("value", pa.binary()), ("stats", pa.binary())])
@@ -163,8 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Machin
                 cut = lambda x: [x[a:b].tobytes() for a, b in zip(at, at[1:])]  # noqa: E731, B023
                 yield to_batch({"doc_id": part.column("doc_id"), "label": part.column("label"), "bins": cut(bins.astype("<u2")), "value": cut(value.astype("<f4")), "stats": [s.tobytes() for s in stats]}, schema)
 
-    got = map_arrow(rows, measure, "doc_id bigint, label int, bins binary, value binary, stats binary").collect()  # the bounded sample
-    got.sort(key=lambda r: (r.doc_id, bytes(r.stats)))
+    got = map_arrow(rows, measure, "doc_id bigint, label int, bins binary, value binary, stats binary").collect()  # 2 * per_class rows at most
+    got.sort(key=lambda r: r.doc_id)
     y = np.array([r.label for r in got], float)
     base = labels.filter(F.col("quality").isNotNull() & ~held).agg(F.avg("quality").alias("r"), F.count("*").alias("n")).first()
     share = ((base.r or 0.0) * base.n + 0.5) / (base.n + 1)

@@ -6,8 +6,13 @@ documents, counted over a bounded sample of labelled rows. Of several entries th
 A hit inside an exception phrase doesn't count. The sum is normalised by length and mapped to 0..1 by a logistic curve
 that is fitted to the same sample.
 
+The lexicon has no cap: an entry needs a share of the toxic rows, so there are at most as many entries as a row offers on
+average, divided by that share.
+
 Edge cases: null and empty texts score as texts without a hit; a sample without toxic rows gives an empty lexicon and
-scores near the base rate; labels that are null, or rows without text, are not learned from.
+scores near the base rate; labels that are null, or rows without text, are not learned from; an id with both labels
+counts as toxic; of rows that repeat a labelled id the one of least text is learned from, and each gets its score; equal
+texts have equal scores; a text of any length, unbroken ones too, takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -24,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, map_arrow, to_batch
+from .common import Shared, map_arrow, parts, stage, to_batch
 
 #: Labelled rows of each class that the lexicon is learned from, at most.
 SAMPLE = 15_000
-#: Entries of the lexicon, at most; toxic documents that an entry needs, as a number and as a share; its least weight.
-ENTRIES, SUPPORT, SUPPORT_SHARE, LEAST = 20_000, 3, 0.004, 3.0
+#: Toxic documents that an entry needs, as a number and as a share; its least weight.
+SUPPORT, SUPPORT_SHARE, LEAST = 3, 0.004, 3.0
 PREFIXES = (4, 5, 6)
 
 # Letters of other scripts that look like Latin ones.
@@ -40,7 +45,10 @@ _LEET = str.maketrans("0134579@$!|", "oieastgasii")
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "class clown", "circus clown", "pond scum", "sore loser", "lossless", "pathetic fallacy", "stupid question")
 
 _SPECIAL = re.compile("[^\x00-ɏ]").search
-_DISGUISED = re.compile(r"[a-z0-9@$!|]*(?:[a-z][0134579@$!|]+[a-z]|(?<![a-z0-9])[0134579@$]+[a-z])[a-z0-9@$!|]*")
+_TOKEN = re.compile(r"[a-z0-9@$!|]+")
+# a letter, signs, a letter; or signs before a letter that stand at a word's start or go on after an @ or $. Possessive
+# repeats and starts at a run's first sign only keep both linear.
+_DISGUISED = re.compile(r"[a-z][0134579@$!|]++[a-z]|(?<![0134579@$])(?=[0134579@$]++[a-z])(?:(?<![a-z0-9])|[0134579]*+[@$][0134579@$])").search
 _MAYBE = re.compile(r"[0-9@$!|]").search
 _GAP = re.compile(r"[\W_]+")
 
@@ -53,7 +61,7 @@ def fold(text: str | None) -> str:
     if _SPECIAL(text):
         text = unicodedata.normalize("NFKC", text).lower().translate(_LOOKALIKES)
     if _MAYBE(text):
-        text = _DISGUISED.sub(lambda m: m[0].rstrip("@$!|").translate(_LEET), text)
+        text = _TOKEN.sub(lambda m: m[0].rstrip("@$!|").translate(_LEET) if _MAYBE(m[0]) and _DISGUISED(m[0]) else m[0], text)
     return f" {_GAP.sub(' ', text).strip()} "
 
 
@@ -112,12 +120,18 @@ class Lexicon:
         return 1 / (1 + math.exp(-z)), hits
 
 
-def sample(labels: DataFrame, column: str, per_class: int, held_out: F.Column) -> DataFrame:
-    """At most ``per_class`` labelled rows of each class, chosen by a hash of doc_id: (doc_id, label)."""
+def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, held_out: F.Column) -> DataFrame:
+    """(doc_id, label, text) of at most ``per_class`` documents of each class, chosen by a hash of doc_id.
+
+    An id counts once: with the greater of its labels, and the least of its texts.
+    """
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & ~held_out)
-    order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    pick = lambda c: rows.filter(F.col("label") == c).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(per_class)
-    return pick(0).unionByName(pick(1))
+    named = rows.filter("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    pick = lambda c: named.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class)
+    chosen = pick(0).unionByName(pick(1))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # at most 2 * per_class ids are broadcast; least texts are found before the shuffle, so a repeated id is one row of it
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def remainder(doc_id: F.Column, divisor: int) -> F.Column:
@@ -144,14 +158,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Lexicon:
     """The lexicon of a bounded sample of labelled rows whose crc32(doc_id) mod 4 is not 2."""
-    chosen = sample(labels, "toxic", per_class, remainder(F.col("doc_id"), 4) == 2)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "label")  # at most 2 * per_class ids
+    chosen = sample(docs, labels, "toxic", per_class, remainder(F.col("doc_id"), 4) == 2)
+    rows = stage(chosen.filter("text is not null").select("text", "label"), "toxicity-sample")  # read three times
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("entry", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
         count: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in parts(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for e in entries(fold(text)):
                     count.setdefault(e, [0, 0])[1 - label] += 1
@@ -160,21 +173,18 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Lexico
                 count = {}
         yield to_batch({"entry": list(count), "pos": [v[0] for v in count.values()], "neg": [v[1] for v in count.values()]}, schema)
 
-    sizes = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     support = max(SUPPORT, math.ceil(SUPPORT_SHARE * pos))
-    found = (
-        map_arrow(rows, offer, "entry string, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .filter(F.col("pos") >= support).withColumn("weight", odds).filter(F.col("weight") >= LEAST)
-        .orderBy(F.desc("pos"), "entry").limit(ENTRIES).collect()
-    )
-    lexicon = Lexicon({r.entry: float(r.weight) for r in found}, 1.0, 0.0)
+    counted = map_arrow(rows, offer, "entry string, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = counted.filter(F.col("pos") >= support).withColumn("weight", odds).filter(F.col("weight") >= LEAST).collect()
+    lexicon = Lexicon({r.entry: float(r.weight) for r in sorted(found, key=lambda r: r.entry)}, 1.0, 0.0)
     shared = Shared(docs.sparkSession, lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("x", pa.float64()), ("y", pa.int32())])
-        for batch in batches:
+        for batch in parts(batches):
             yield to_batch({"x": [shared.value.raw(t)[0] for t in batch.column(0).to_pylist()], "y": batch.column(1)}, schema)
 
     got = map_arrow(rows, measure, "x double, y int").collect()  # two numbers for each row of the bounded sample
@@ -194,7 +204,7 @@ def report(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataF
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("hits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             got = [shared.value.score(t) for t in batch.column(1).to_pylist()]
             yield to_batch({"doc_id": batch.column(0), "held_out": batch.column(2), "score": [s for s, _ in got], "predicted": [int(s >= 0.3) for s, _ in got], "hits": [h for _, h in got]}, schema)
 
