@@ -33,11 +33,19 @@ def discard(spark: SparkSession, path: str) -> None:
     atexit.register(_delete, spark, path)
 
 
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables that no later plan reads: what came of them is staged too."""
+    for df in staged:
+        _delete(df.sparkSession, df._staged_at)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. The table goes when the process ends."""
+    """Write ``df`` to the shared folder and read it back. The table goes with release(), or when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridex/{name}-{uuid.uuid4().hex}"
     # small row groups: a writer holds one of them in memory, and staged hashes gain nothing from dictionaries
     df.write.options(**{"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false"}).parquet(path)
     discard(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_at = path
+    return found
