@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 
 from veridex.llm import near_dedup, repeats, substring_dedup, suffix_dedup
-from veridex.llm.components import components
-from veridex.llm.sketches import count_min, estimate
-from veridex.llm.textkit import encode, gram_hashes, hash_words, minimisers
+from veridex.llm.common import stage
+from veridex.llm.sketches import SEGMENT, cells, cells_for, count_min, decode_counts, encode_counts, estimate, segment_of
+from veridex.llm.textkit import encode, gram_hashes, hash_words, minimisers, mix
+from veridex.operators.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -42,12 +43,67 @@ def test_substring_dedup(docs, rows, hot, width):
     assert found(substring_dedup.report(docs, hot=hot, width=width)) == brute_repeats(rows, 35)
 
 
+@pytest.mark.parametrize("hot,very_hot", [(2, 3), (200, 1 << 20), (2, 1 << 20)])
+@pytest.mark.parametrize("width", [64, 1 << 20, None])
+def test_substring_dedup_by_a_sketch_in_segments(docs, rows, hot, very_hot, width):
+    assert found(substring_dedup.report(docs, hot=hot, width=width, broadcast_cells=0, very_hot=very_hot)) == brute_repeats(rows, 35)
+
+
 @pytest.mark.parametrize("hot", [2, 50])
 def test_suffix_dedup(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     assert found(suffix_dedup.report(docs)) == brute_repeats(rows, 50)
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 7])
+def test_suffix_dedup_in_partitions(spark, docs, rows, partitions):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found(suffix_dedup.report(docs)) == brute_repeats(rows, 50)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("sizes", [(120_000, 1), (1, 120_000), (100_001, 1, 1), (3, 100_000, 2, 150_000), (100_002,)])
+@pytest.mark.parametrize("partitions", [1, 2, 7])
+def test_long_runs_of_equal_suffixes(spark, sizes, partitions):
+    """Every suffix with an equal one is marked, wherever a run is flushed and a partition ends."""
+    kept = spark.range(sum(sizes)).selectExpr("case " + " ".join(f"when id < {sum(sizes[: k + 1])} then {k}" for k in range(len(sizes))) + " end as gram", "id as doc_key", "0 as place").selectExpr("cast(gram as bigint) gram", "doc_key", "place")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = suffix_dedup.marked_places(stage(suffix_dedup.neighbours(kept), "neighbours"), 200)
+        assert got.count() == sum(n for n in sizes if n > 1)
+        assert {r.s for r in got.selectExpr("places[0].salts as s").distinct().collect()} == {-(-n // 2000) if n >= 200 else 0 for n in sizes if n > 1}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_matches_go_left_and_right():
+    """Against all pairs of suffixes, in a few words that repeat often."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        length, side, m = 8, 6, 40
+        gram = rng.integers(0, 3, m).astype(np.uint64)
+        lead, tail = rng.integers(0, side + 1, m), rng.integers(2, length + 1, m)
+        left, right = rng.integers(1, 3, (m, side)).astype(np.uint64), rng.integers(1, 3, (m, length)).astype(np.uint64)
+        left[np.arange(side) >= lead[:, None]] = 0
+        right[np.arange(length) >= tail[:, None]] = 0
+        got = {(o, int(r)) for o, rows, _ in suffix_dedup.matches(gram, lead, tail, left, right, length) for r in rows}
+        want = set()
+        for o in range(side + 1):
+            for i in range(m):
+                for j in range(m):
+                    fits = all(lead[k] >= o and tail[k] >= length - o for k in (i, j))
+                    if i != j and fits and gram[i] == gram[j] and (left[i, :o] == left[j, :o]).all() and (right[i, : length - o] == right[j, : length - o]).all():
+                        want.add((o, i))
+        assert got == want
+
+
 @pytest.mark.parametrize("hot", [2, 50])
 def test_first_occurrences_stay(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
@@ -85,7 +141,25 @@ def test_sketch_never_counts_too_few(spark):
     for width in (16, 1 << 12):
         counters = count_min(parts, width)
         true = Counter(many.tolist())
-        assert all(e >= min(255, true[k]) for k, e in zip(keys.tolist(), estimate(counters, keys).tolist()))
+        assert all(e >= true[k] for k, e in zip(keys.tolist(), estimate(counters, keys).tolist()))
+
+
+def test_counts_are_rounded_up():
+    n = np.array([0, 1, 2, 199, 200, 201, 500, 12_345, 2_000_000])
+    got = decode_counts(encode_counts(n))
+    assert (got >= n).all() and (got[:5] == n[:5]).all() and (got <= n * 1.2 + 1).all()
+
+
+def test_sketch_keeps_its_share_of_false_repeats():
+    """Keys that occur once pass at the stated rate, whatever their number."""
+    for many in (3_000, 300_000):
+        keys = np.random.default_rng(many).integers(0, 2**63, many, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        keys = mix(keys)
+        width = cells_for(many)
+        counters = np.zeros((1, 2, width), np.int64) if width <= SEGMENT else np.zeros((width // SEGMENT, 2, SEGMENT), np.int64)
+        for row in range(2):
+            np.add.at(counters, (segment_of(keys, counters.shape[0]), row, cells(keys, row, counters.shape[2])), 1)
+        assert (estimate(encode_counts(counters), keys) >= 2).mean() < 0.16
 
 
 def test_equal_windows_choose_equal_minimisers():

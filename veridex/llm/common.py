@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import staging
-from ..staging import discard, shared_dir  # noqa: F401
+from ..staging import discard, release, shared_dir  # noqa: F401
 
 #: Rows of one Arrow batch; with SLICE_BYTES it bounds what a Python worker holds at once.
 BATCH_ROWS = 512

@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from .common import Shared, map_arrow, slices, stage, to_batch
-from .components import components
-from .sketches import count_min, estimate
+from .sketches import cells_for, count_min, estimate, key_count
 from .textkit import encode, gram_hashes, hash_words, mix
 
 SHINGLE, PERCENT = 3, 85
 SLOTS = 252
 MISS = 1e-5
-#: Counters in a row of the sketch that tells which shingles of open buckets are shared.
+#: Cells of the sketch that tells which shingles of open buckets are shared, at most; a fuller one only loosens the bound.
 COUNTERS = 1 << 23
 #: 64-bit words of a member's shingle bitmap.
 BITMAP = 16
@@ -194,7 +194,8 @@ def links(docs: DataFrame, measured: DataFrame, shingle: int, percent: int) -> t
     # a pair across components has a member outside the pivot's component, which is mostly the largest
     open_ = stage(placed.join(mixed, "band").select("band", "rep", "own", (F.col("own") != F.col("main")).alias("apart")), "open")
     members = sets.join(open_.select("rep").distinct(), "rep", "left_semi")
-    counters = Shared(docs.sparkSession, count_min(members.select("grams"), COUNTERS))
+    shingles = members.select("grams")
+    counters = Shared(docs.sparkSession, count_min(shingles, min(COUNTERS, cells_for(key_count(shingles)))))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("common", pa.int64()), ("bits", pa.list_(pa.int64()))])

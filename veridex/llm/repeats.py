@@ -1,10 +1,14 @@
-"""What both repeat removers share: exact grouping of candidate windows, and cutting words out of texts.
+"""What both repeat removers share: runs of windows, exact grouping of candidate windows, and cutting words out of texts.
 
-Candidates are runs of consecutive windows that one minimiser n-gram stands for: (doc_id, start, gram, hot, windows).
+Candidates are runs of consecutive windows that one minimiser n-gram stands for: (doc_id, start, gram, salts, windows).
 Equal windows have the same gram, so grouping by gram brings all occurrences of a window together. Grams of moderate
-count are grouped where they land. Of hot ones, which may stand in a third of all rows, equal runs are first reduced to
-one with partial aggregation; windows are counted over these, and the verdicts are joined back, where adaptive execution
-splits large keys.
+count (salts = 0) are grouped where they land. Of hot ones, which may stand in a third of all rows, equal runs are first
+reduced to one with partial aggregation; windows are counted over these, and the verdicts are joined back. ``salts`` says
+into how many parts the rows of a hot gram are dealt in those joins, about SALTED rows to a part.
+
+Edge cases: texts without a window (null, empty and short ones) give no candidates; a repeated row is another occurrence; a
+null doc_id is counted with the others and nothing of it is cut; rows that share a doc_id share their spans, cut off at
+each text's end; a table without rows gives no spans; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -17,11 +21,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts, slices, stage, to_batch
-from .textkit import Words, encode, gram_hashes, hash_words, inside, minimisers
+from .common import map_arrow, parts, release, stage, to_batch
+from .textkit import Words, gram_hashes, inside, minimisers
+
+#: Rows of a hot gram in one part of a join, about.
+SALTED = 2_000
+CANDIDATES = "doc_id bigint, start int, gram bigint, salts int, windows binary"
+CANDIDATE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("gram", pa.int64()), ("salts", pa.int32()), ("windows", pa.binary())])
+SPANS = "doc_id bigint, a int, b int"
+SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc_key) of docs. The key says which rows share marked places: rows of one doc_id, and without one
+    those of equal text. A key that others share only adds candidates, which are compared exactly."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return own.withColumn("doc_key", F.coalesce("doc_id", F.xxhash64("text")))
 
-CANDIDATES = "doc_id bigint, start int, gram bigint, hot boolean, windows binary"
-CANDIDATE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("gram", pa.int64()), ("hot", pa.bool_()), ("windows", pa.binary())])
+
+def placed_salts(words: Words, at: np.ndarray, marked: list[list[dict]]) -> np.ndarray:
+    """For each minimiser place ``at`` its salts, or -1 if it isn't among the marked places of its text."""
+    state = np.full(len(words.hashes), -1, np.int64)
+    for i, places in enumerate(marked):
+        for p in places:
+            k = words.offsets[i] + p["place"]
+            if k < words.offsets[i + 1]:
+                state[k] = max(state[k], p["salts"])
+    return state[at]
 
 
 def runs(words: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,29 +65,68 @@ def gram_keys(words: Words, places: np.ndarray, gram: int) -> np.ndarray:
     return gram_hashes(words.hashes, gram)[places]
 
 
-def candidate_rows(words: Words, doc_ids: list, width: int, first: np.ndarray, count: np.ndarray, keys: np.ndarray, hot: np.ndarray) -> dict:
+def window_keys(words: Words, width: int) -> np.ndarray:
+    """A 64-bit key of the window that starts at each word."""
+    return gram_hashes(words.hashes, width, base=0xC2B2AE3D27D4EB4F)
+
+
+def candidate_rows(words: Words, doc_ids: list, width: int, first: np.ndarray, count: np.ndarray, keys: np.ndarray, salts: np.ndarray) -> dict:
     """Columns of CANDIDATES for chosen runs."""
-    value = gram_hashes(words.hashes, width, base=0xC2B2AE3D27D4EB4F)
+    value = window_keys(words, width)
     doc = np.searchsorted(words.offsets, first, side="right") - 1
     return {
         "doc_id": [doc_ids[d] for d in doc],
         "start": first - words.offsets[doc],
         "gram": keys.view(np.int64),
-        "hot": hot,
+        "salts": salts,
         "windows": [value[a : a + n].tobytes() for a, n in zip(first, count)],
     }
 
 
+def salts_for(count: np.ndarray, hot: int) -> np.ndarray:
+    """0 for grams that occur less than ``hot`` times, else the parts that their rows are dealt into."""
+    return np.where(count >= hot, -(-count.astype(np.int64) // SALTED), 0)
+
+
+def whole_grams(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables that hold all rows of each of their grams, of ``rows`` rows at least but the last."""
+    waiting: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held > rows:  # the last gram may go on in this batch: hold its rows back
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            own = table.column("gram").to_numpy()
+            cut = table.num_rows if own[-1] != batch.column("gram")[0].as_py() else int(np.searchsorted(own, own[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            rest = table.slice(cut)
+            waiting, held = rest.to_batches(), rest.num_rows
+        waiting.append(batch)
+        held += batch.num_rows
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def span_rows(doc_ids: pa.Array, row: np.ndarray, at: np.ndarray, width: int) -> pa.RecordBatch:
+    """Runs of neighbouring windows as spans: ``at`` are starts of windows of rows ``row``, sorted by row and start."""
+    if not len(row):
+        return to_batch({"doc_id": [], "a": [], "b": []}, SPAN_SCHEMA)
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]))
+    last = np.append(new[1:], len(row)) - 1
+    ids = doc_ids.take(pa.array(row[new]))
+    return to_batch({"doc_id": ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, "a": at[new], "b": at[last] + width}, SPAN_SCHEMA)
+
+
 def repeated_spans(candidates: DataFrame, width: int, keep_first: bool = False) -> DataFrame:
     """(doc_id, a, b): words a..b of a document lie in windows that start more than once in all candidates.
 
     With ``keep_first`` the occurrence of least (doc_id, start) of each window is left out, in all rows that repeat it.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
-    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def solve(table: pa.Table) -> pa.RecordBatch:
         """Rows with complete grams: sort windows, and compare neighbours."""
-        table = pa.Table.from_batches(rows)
         held = table.column("windows").to_pylist()
         count = np.fromiter((len(h) >> 3 for h in held), np.int64, len(held))
         value = np.frombuffer(b"".join(held), np.uint64)
@@ -78,73 +143,44 @@ def repeated_spans(candidates: DataFrame, width: int, keep_first: bool = False)
             least = order[start]  # a row that repeats doc_id and start is the first occurrence too
             twice &= (doc[order] != doc[least]) | (at[order] != at[least])
         hit = np.sort(order[twice])
-        if not len(hit):
-            return to_batch({"doc_id": [], "a": [], "b": []}, schema)
-        new = np.flatnonzero(np.concatenate([[True], (row[hit][1:] != row[hit][:-1]) | (at[hit][1:] != at[hit][:-1] + 1)]))
-        last = np.append(new[1:], len(hit)) - 1
-        ids = table.column("doc_id").take(pa.array(row[hit][new]))
-        return to_batch({"doc_id": ids.combine_chunks(), "a": at[hit][new], "b": at[hit][last] + width}, schema)
-
-    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            grams = batch.column("gram").to_numpy()
-            if waiting and rows > 4096:  # the last gram may go on in the next batch: hold its rows back
-                table = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-                own = table.column("gram").to_numpy()
-                if own[-1] != grams[0]:
-                    yield solve([table])
-                    waiting, rows = [], 0
-                else:
-                    cut = int(np.searchsorted(own, own[-1]))
-                    if cut:
-                        yield solve([table.slice(0, cut)])
-                    waiting = [table.slice(cut)]
-                    rows = table.num_rows - cut
-            if batch.num_rows:
-                waiting.append(batch)
-                rows += batch.num_rows
-        if waiting:
-            yield solve(waiting)
+        return span_rows(table.column("doc_id"), row[hit], at[hit], width)
+
+    def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_grams(batches, 4096):
+            yield solve(table)
 
     candidates = stage(candidates, "candidates")  # read twice
-    usual = candidates.filter("not hot").repartition("gram").sortWithinPartitions("gram")
-    spans = map_arrow(usual, cold, "doc_id bigint, a int, b int")
+    spans = map_arrow(candidates.filter("salts = 0").repartition("gram").sortWithinPartitions("gram"), usual, SPANS)
+    return spans.unionByName(frequent_spans(candidates.filter("salts > 0"), width, keep_first))
+
 
-    frequent = candidates.filter("hot")
-    weights = [F.count("*").alias("c")] + ([F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else [])
-    kinds = frequent.groupBy("gram", "windows").agg(*weights)  # equal runs of windows, once each
+def frequent_spans(frequent: DataFrame, width: int, keep_first: bool = False) -> DataFrame:
+    """The same for candidates of hot grams, by partial aggregation and joins that are dealt into parts."""
+    part = lambda *c: F.pmod(F.xxhash64(*c), F.col("salts")).cast("int").alias("salt")
+    parts_of = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    weights = [F.count("*").alias("c"), F.max("salts").alias("salts")] + ([F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else [])
+    # a gram's rows have one number of parts
+    kinds = stage(frequent.groupBy("gram", "windows").agg(*weights), "kinds")  # equal runs of windows, once each
     numbered = kinds.withColumn("w", F.expr("explode(transform(sequence(0, cast(length(windows) div 8 as int) - 1), i -> struct(i as i, substring(windows, 8 * i + 1, 8) as value)))"))
-    numbered = numbered.select("gram", "windows", "w.i", "w.value", "c", *([F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("w.i")).alias("at")).alias("first")] if keep_first else []))
-    measures = [F.sum("c").alias("n")] + ([F.min("first").alias("least")] if keep_first else [])
-    known = numbered.groupBy("gram", "value").agg(*measures).filter("n > 1").drop("n")
-    verdict = numbered.select("gram", "windows", "i", "value").join(known, ["gram", "value"])
+    numbered = numbered.select("gram", "windows", "salts", "w.i", "w.value", "c", *([F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("w.i")).alias("at")).alias("first")] if keep_first else []))
+    measures = [F.sum("c").alias("n"), F.max("salts").alias("salts")] + ([F.min("first").alias("least")] if keep_first else [])
+    known = stage(numbered.groupBy("gram", "value").agg(*measures).filter("n > 1").drop("n"), "known")
+    verdict = numbered.select("gram", "windows", "salts", "i", "value", part("windows", "i")).join(known.select("*", parts_of).drop("salts"), ["gram", "value", "salt"])
     mark = F.struct("i", *(["least"] if keep_first else []))
-    # a staged table, so that both sides of the join are plain exchanges, and a key of many rows can be split
-    marks = stage(verdict.groupBy("gram", "windows").agg(F.array_sort(F.collect_list(mark)).alias("marks")), "marks")
-    found = frequent.join(marks, ["gram", "windows"]).select("doc_id", "start", "marks")
+    marks = stage(verdict.groupBy("gram", "windows").agg(F.max("salts").alias("salts"), F.array_sort(F.collect_list(mark)).alias("marks")), "marks")  # a run has as many as windows
+    release(kinds, known)
+    found = frequent.withColumn("salt", part("doc_id", "start")).join(marks.select("gram", "windows", "marks", parts_of), ["gram", "windows", "salt"]).select("doc_id", "start", "marks")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of neighbouring windows as spans of words."""
         for batch in batches:
-            rows: dict[str, list] = {"doc_id": [], "a": [], "b": []}
-            for doc, start, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                last = None
-                for m in marks:
-                    at = start + m["i"]
-                    if keep_first and m["least"] == {"doc_id": doc, "at": at}:
-                        continue
-                    if last == at - 1:
-                        rows["b"][-1] = at + width
-                    else:
-                        rows["doc_id"].append(doc)
-                        rows["a"].append(at)
-                        rows["b"].append(at + width)
-                    last = at
-            yield to_batch(rows, schema)
-
-    return spans.unionByName(map_arrow(found, merge, "doc_id bigint, a int, b int"))
+            rows, ats = [], []
+            for k, (doc, start, marks) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                on = [start + m["i"] for m in marks if not keep_first or m["least"] != {"doc_id": doc, "at": start + m["i"]}]
+                rows += [k] * len(on)
+                ats += on
+            yield span_rows(batch.column(0), np.array(rows, np.int64), np.array(ats, np.int64), width)
+
+    return map_arrow(found, merge, SPANS)
 
 
 def collected(spans: DataFrame) -> DataFrame:
@@ -198,6 +234,3 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     out = map_arrow(with_spans(docs, spans), run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
-
-__all__ = ["CANDIDATES", "CANDIDATE_SCHEMA", "candidate_rows", "cut", "digests", "encode", "gram_keys", "hash_words", "removed", "repeated_spans", "runs", "slices"]

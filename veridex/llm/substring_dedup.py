@@ -1,15 +1,18 @@
 """Operator 8: repeated 35-word windows by a count-min prefilter and exact grouping.
 
-Pass one counts, in a count-min sketch per partition, the minimiser n-grams that stand for windows. A window has one
+Pass one counts the minimiser n-grams that stand for windows in a count-min sketch per partition. A window has one
 minimiser at a fixed place in it, so it occurs at most as often as its minimiser is chosen, and a sketch never counts too
 few: the merged sketch overestimates every window's count, and no repeated window is lost. Pass two takes only windows
 whose estimate is two or more, and groups them exactly.
 
-The sketch (see sketches.py) has a fixed size, whatever the input: beyond its capacity more windows pass the filter,
-and results stay the same. Counters stop at 255; estimates of HOT or more go the way for hot keys.
+The sketch has cells in proportion to the keys, which are counted first, so it filters alike at every size. Up to
+BROADCAST_CELLS it is broadcast, and pass two asks it while reading the texts. A larger one stays in its segments: keys are
+dealt to them with the places they come from, and the places of repeated ones return to the texts. Keys in cells of VERY_HOT
+occurrences, whose number is bounded by the keys over VERY_HOT, need no asking and are not dealt out.
 
 Edge cases: null and empty texts have no windows; texts under 35 words lose nothing; repeated rows are copies of one
-another; windows that overlap themselves count as often as they start; a null doc_id takes part in the counts.
+another; windows that overlap themselves count as often as they start; a null doc_id takes part in the counts; a table
+without rows gives none; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -21,48 +24,155 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, map_arrow, to_batch
-from .repeats import CANDIDATE_SCHEMA, CANDIDATES, candidate_rows, digests, encode, gram_keys, hash_words, removed, repeated_spans, runs, slices
-from .sketches import DEPTH, WIDTH, count_min, estimate
+from . import sketches
+from .common import Shared, map_arrow, parts, release, stage, to_batch
+from .repeats import CANDIDATE_SCHEMA, CANDIDATES, candidate_rows, digests, gram_keys, keyed, placed_salts, removed, repeated_spans, runs, salts_for
+from .textkit import encode, hash_words
 
 WINDOW = 35
 GRAM = 6
+#: Estimated occurrences from which a gram's rows go the way for hot ones.
 HOT = 200
+#: Cells of the largest sketch that is broadcast: 32 MB in two rows of bytes.
+BROADCAST_CELLS = 1 << 24
+#: Occurrences of a cell whose keys are taken for repeated without asking the sketch.
+VERY_HOT = 1 << 20
 
 
 def minimiser_keys(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The keys of all chosen minimisers, many to a row: what the sketch counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                words = hash_words(encode(part.column("text").to_pylist()))
-                _, _, places = runs(words, window, gram)
-                if len(places):
-                    yield to_batch({"keys": [gram_keys(words, places, gram).tobytes()]}, pa.schema([("keys", pa.binary())]))
+        for part in parts(batches):
+            words = hash_words(encode(part.column("text").to_pylist()))
+            _, _, places = runs(words, window, gram)
+            if len(places):
+                yield to_batch({"keys": [gram_keys(words, places, gram).tobytes()]}, pa.schema([("keys", pa.binary())]))
 
     return map_arrow(docs.select("text"), run, "keys binary")
 
 
-def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH, depth: int = DEPTH, hot: int = HOT, keep_first: bool = False) -> DataFrame:
-    """(doc_id, a, b) of words in repeated windows."""
-    shared = Shared(docs.sparkSession, count_min(minimiser_keys(docs, window, gram), width, depth))
+def _asked_while_reading(docs: DataFrame, counters: np.ndarray, window: int, gram: int, hot: int) -> DataFrame:
+    """CANDIDATES by a broadcast sketch."""
+    shared = Shared(docs.sparkSession, counters)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            words = hash_words(encode(part.column("text").to_pylist()))
+            first, count, places = runs(words, window, gram)
+            if not len(first):
+                continue
+            keys = gram_keys(words, places, gram)
+            most = sketches.estimate(shared.value, keys)
+            on = np.flatnonzero(most >= 2)
+            if len(on):
+                yield to_batch(candidate_rows(words, part.column("doc_id").to_pylist(), window, first[on], count[on], keys[on], salts_for(most[on], hot)), CANDIDATE_SCHEMA)
+
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), choose, CANDIDATES)
+
+
+def _very_hot(sketch: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the cells of first rows with ``least`` occurrences or more, ascending, and their counts."""
+    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                words = hash_words(encode(part.column("text").to_pylist()))
-                first, count, places = runs(words, window, gram)
-                if not len(first):
+            for s, counters in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = sketches.decode_counts(np.frombuffer(counters, np.uint8)[:size])
+                on = np.flatnonzero(n >= least)
+                if len(on):
+                    yield to_batch({"cell": s * size + on, "n": n[on]}, schema)
+
+    found = sorted(map_arrow(sketch, pick, "cell bigint, n bigint").collect())  # keys over VERY_HOT at most
+    return np.array([r.cell for r in found], np.int64), np.array([r.n for r in found], np.int64)
+
+
+def _asked_in_segments(docs: DataFrame, sketch: DataFrame, width: int, window: int, gram: int, hot: int, very_hot: int) -> tuple[DataFrame, DataFrame]:
+    """CANDIDATES by a sketch that stays in its segments, and the staged table that they are read from."""
+    size = min(sketches.SEGMENT, width)
+    segments = width // size
+    known = Shared(docs.sparkSession, _very_hot(sketch, size, very_hot))
+    ask = pa.schema([("segment", pa.int32()), ("counters", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("n", pa.binary())])
+    ask_type = "segment int, counters binary, keys binary, docs binary, places binary, n binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each segment: its keys with their documents and places; very hot ones have their counts already."""
+        hot_cells, hot_counts = known.value
+        for part in parts(batches):
+            words = hash_words(encode(part.column("text").to_pylist()))
+            _, _, places = runs(words, window, gram)
+            if not len(places):
+                continue
+            doc = np.searchsorted(words.offsets, places, side="right") - 1
+            keys, own, at = gram_keys(words, places, gram), part.column("doc_key").to_numpy()[doc], places - words.offsets[doc]
+            segment = sketches.segment_of(keys, segments)
+            n = np.zeros(len(keys), np.int64)
+            if len(hot_cells):
+                cell = segment * size + sketches.cells(keys, 0, size)
+                k = np.minimum(np.searchsorted(hot_cells, cell), len(hot_cells) - 1)
+                n = np.where(hot_cells[k] == cell, hot_counts[k], 0)
+            segment = np.where(n > 0, -1, segment)  # these stay together
+            order = np.argsort(segment, kind="stable")
+            cut = np.append(np.flatnonzero(np.concatenate([[True], np.diff(segment[order]) != 0])), len(order))
+            rows: dict[str, list] = {f.name: [] for f in ask}
+            for a, b in zip(cut, cut[1:]):
+                on = order[a:b]
+                rows["segment"].append(segment[on[0]])
+                rows["counters"].append(None)
+                for name, values in (("keys", keys), ("docs", own.astype("<i8")), ("places", at.astype("<i4")), ("n", n.astype("<i8"))):
+                    rows[name].append(values[on].tobytes() if name != "n" or n[on[0]] else None)
+            yield to_batch(rows, ask)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counters come before the keys of their segment."""
+        counters = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["counters"] is not None:
+                    counters = np.frombuffer(row["counters"], np.uint8).reshape(1, sketches.DEPTH, size)
                     continue
-                keys = gram_keys(words, places, gram)
-                most = estimate(shared.value, keys)
+                keys = np.frombuffer(row["keys"], np.uint64)
+                most = np.frombuffer(row["n"], "<i8") if row["n"] else sketches.estimate(counters, keys)
                 on = np.flatnonzero(most >= 2)
                 if len(on):
-                    yield to_batch(candidate_rows(words, part.column("doc_id").to_pylist(), window, first[on], count[on], keys[on], most[on] >= hot), CANDIDATE_SCHEMA)
+                    yield to_batch({"doc_key": np.frombuffer(row["docs"], "<i8")[on], "place": np.frombuffer(row["places"], "<i4")[on], "salts": salts_for(most[on], hot)}, pa.schema([("doc_key", pa.int64()), ("place", pa.int32()), ("salts", pa.int32())]))
+
+    dealt = map_arrow(keyed(docs), deal, ask_type)
+    held = sketch.select("segment", "counters", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "docs", "places", "n")])
+    # very hot keys (segment -1) are answered anywhere
+    lane = F.when(F.col("segment") < 0, F.xxhash64("docs")).otherwise(F.col("segment").cast("bigint"))
+    met = dealt.unionByName(held).repartition(lane).sortWithinPartitions("segment", F.asc_nulls_last("counters"))
+    found = stage(map_arrow(met, answer, "doc_key bigint, place int, salts int"), "repeated-keys")
+    marked = found.groupBy("doc_key").agg(F.collect_list(F.struct("place", "salts")).alias("places"))  # at most as many as the document has words
+    near = keyed(docs).join(marked, "doc_key").select("doc_id", "text", "places")
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return repeated_spans(map_arrow(source, choose, CANDIDATES), window, keep_first)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            words = hash_words(encode(part.column("text").to_pylist()))
+            first, count, at = runs(words, window, gram)
+            if len(first):
+                salts = placed_salts(words, at, part.column("places").to_pylist())
+                on = np.flatnonzero(salts >= 0)
+                if len(on):
+                    yield to_batch(candidate_rows(words, part.column("doc_id").to_pylist(), window, first[on], count[on], gram_keys(words, at[on], gram), salts[on]), CANDIDATE_SCHEMA)
+
+    return map_arrow(near, choose, CANDIDATES), found
+
+
+def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int | None = None, hot: int = HOT, keep_first: bool = False, broadcast_cells: int = BROADCAST_CELLS, very_hot: int = VERY_HOT) -> DataFrame:
+    """(doc_id, a, b) of words in repeated windows. ``width``, the cells of the sketch, follows from the keys if not given."""
+    keys = stage(minimiser_keys(docs, window, gram), "keys")
+    width = width or sketches.cells_for(sketches.key_count(keys))
+    if width <= broadcast_cells:
+        counters = sketches.count_min(keys, width)
+        release(keys)
+        return repeated_spans(_asked_while_reading(docs, counters, window, gram, hot), window, keep_first)
+    sketch = stage(sketches.count_segments(keys, width), "sketch")
+    release(keys)
+    candidates, found = _asked_in_segments(docs, sketch, width, window, gram, hot, very_hot)
+    out = repeated_spans(candidates, window, keep_first)  # stages the candidates
+    release(sketch, found)
+    return out
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

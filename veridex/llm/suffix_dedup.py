@@ -1,13 +1,22 @@
 """Operator 10: repeated passages by a sparse suffix array.
 
-Suffixes are kept only where a minimiser of a 50-word window starts, about one in 22: equal passages keep equal ones,
-since the choice depends on the words alone. The kept suffixes are sorted by their first words over the whole corpus
-(by the hash of 8 words, a range-partitioned sort whose keys end in document and place, so that a frequent suffix spreads
-over many tasks), and neighbours are compared by that hash. The 50-word windows around a suffix that equals a neighbour are
-candidates; they are grouped exactly (repeats.py), and runs of repeated windows give the matches with their full length.
+1. Suffixes are kept only where a minimiser of a 50-word window starts, about one in 22 words: equal windows keep equal
+   ones, since the choice depends on the words alone.
+2. The kept suffixes are sorted over the whole corpus by their first 8 words (as a hash; the keys end in document and
+   place, so that a frequent suffix spreads over many tasks). Suffixes whose neighbours differ are left behind.
+3. The others get their words, as far as the windows of their minimiser reach: to the right, and to the left of the
+   suffix. Within equal first words they are sorted to the end, once by the words to the right and once by those to the
+   left, and neighbours are compared in both orders (``matches``): the lengths they share give, for each number of words
+   to the left, which suffixes are equal that far left and as far right as a window needs. Such windows are repeated, and
+   neighbouring ones join to passages of any length.
+4. Suffixes that occur HOT times or more may stand in a third of all rows, too many for one task. Their windows are compared by
+   partial aggregation instead (repeats.frequent_spans), which gives the same windows.
+
+Words are compared by 64-bit hashes of their bytes.
 
 Edge cases: texts under 50 words, null and empty texts have no suffixes; repeated rows are copies of one another; a
-passage that repeats in one document counts; a null doc_id takes part but is not cut.
+passage that repeats in one document counts; a null doc_id takes part but is not cut; with keep_first the occurrence of
+least (doc_id, place) stays, in all rows that repeat it; a table without rows gives none; texts of any length are whole.
 """
 
 from __future__ import annotations
@@ -19,21 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, to_batch
-from .repeats import CANDIDATE_SCHEMA, CANDIDATES, candidate_rows, digests, encode, gram_keys, hash_words, removed, repeated_spans, runs, slices
+from .common import map_arrow, parts, release, stage, to_batch
+from .repeats import SALTED, SPANS, digests, frequent_spans, gram_keys, keyed, placed_salts, removed, runs, span_rows, whole_grams, window_keys
+from .textkit import encode, hash_words
 
-#: Words of the shortest passage; words that suffixes are sorted by.
+#: Words of the shortest passage; first words that suffixes are sorted by.
 LENGTH = 50
 GRAM = 8
-#: Equal suffixes in one partition from which their key counts as hot.
-HOT = 50
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, doc_key) of docs. The key says which rows share places of candidates: rows of one doc_id, and without
-    one those of equal text. A key that others share only adds candidates, which are compared exactly."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return own.withColumn("doc_key", F.coalesce("doc_id", F.xxhash64("text")))
+#: Occurrences from which a suffix goes the way for hot ones.
+HOT = 200
+#: Suffixes that are sorted at once, and rows of a run that are held while it goes on.
+BLOCK, HELD = 4_096, 100_000
 
 
 def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -41,29 +46,28 @@ def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     schema = pa.schema([("gram", pa.int64()), ("doc_key", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                words = hash_words(encode(part.column("text").to_pylist()))
-                _, _, places = runs(words, length, gram)
-                if len(places):
-                    doc = np.searchsorted(words.offsets, places, side="right") - 1
-                    yield to_batch({"gram": gram_keys(words, places, gram).view(np.int64), "doc_key": part.column("doc_key").take(pa.array(doc)), "place": places - words.offsets[doc]}, schema)
+        for part in parts(batches):
+            words = hash_words(encode(part.column("text").to_pylist()))
+            _, _, places = runs(words, length, gram)
+            if len(places):
+                doc = np.searchsorted(words.offsets, places, side="right") - 1
+                yield to_batch({"gram": gram_keys(words, places, gram).view(np.int64), "doc_key": part.column("doc_key").take(pa.array(doc)), "place": places - words.offsets[doc]}, schema)
 
     return map_arrow(keyed(docs), run, "gram bigint, doc_key bigint, place int")
 
 
-def neighbours(kept: DataFrame) -> DataFrame:
+def neighbours(kept: DataFrame, held_rows: int = HELD) -> DataFrame:
     """Sorted suffixes with ``same``, how many equal ones lie in the partition, and ``edge``, if these touch its border."""
     out_schema = pa.schema([("gram", pa.int64()), ("doc_key", pa.int64()), ("place", pa.int32()), ("same", pa.int32()), ("edge", pa.bool_())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Only suffixes with an equal neighbour, or at the border, go on. A run is passed on in pieces, so a long one isn't held."""
+        """Only suffixes with an equal neighbour, or at the border, go on. A long run is passed on in pieces, so it isn't held."""
         held: pa.Table | None = None
         first = True
         seen = 0  # rows of the held run that were passed on already
 
         def emit(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal first, seen
+            nonlocal first
             gram = table.column("gram").to_numpy()
             start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             size = np.diff(np.append(start, len(gram)))
@@ -79,7 +83,7 @@ def neighbours(kept: DataFrame) -> DataFrame:
             on = np.flatnonzero((same > 1) | edge)
             if len(on):
                 t = table.take(pa.array(on)).combine_chunks()
-                yield to_batch({"gram": t.column("gram").combine_chunks(), "doc_key": t.column("doc_key").combine_chunks(), "place": t.column("place").combine_chunks(), "same": same[on], "edge": edge[on]}, out_schema)
+                yield to_batch({**{c: t.column(c).combine_chunks() for c in ("gram", "doc_key", "place")}, "same": same[on], "edge": edge[on]}, out_schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -89,18 +93,15 @@ def neighbours(kept: DataFrame) -> DataFrame:
                 table = pa.concat_tables([held, table]).combine_chunks()
             gram = table.column("gram").to_numpy()
             cut = int(np.searchsorted(gram, gram[-1]))
-            if cut == 0 and table.num_rows > 100_000:  # one gram fills it: it is hot, whatever follows
-                yield from emit(table, False)
-                seen += table.num_rows
-                held = None
-                continue
-            if held is None and seen and cut == 0:
-                held = table
-                continue
             if cut:
                 yield from emit(table.slice(0, cut), False)
-                seen = 0
-            held = table.slice(cut)
+                first, seen = False, 0
+                table = table.slice(cut)
+            if table.num_rows > held_rows:  # one row stays to tell the run's end
+                yield from emit(table.slice(0, table.num_rows - 1), False)
+                seen += table.num_rows - 1
+                table = table.slice(table.num_rows - 1)
+            held = table
         if held is not None:
             yield from emit(held, True)
 
@@ -108,37 +109,133 @@ def neighbours(kept: DataFrame) -> DataFrame:
     return map_arrow(ranged, compare, "gram bigint, doc_key bigint, place int, same int, edge boolean")
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
-    """(doc_id, a, b) of words in passages of ``length`` words or more that occur more than once."""
-    sorted_ = stage(neighbours(stage(suffixes(docs, length, gram), "suffixes")), "neighbours")
+def marked_places(sorted_: DataFrame, hot: int) -> DataFrame:
+    """(doc_key, places): where a document's suffixes have equals, with the parts that hot ones are dealt into."""
     # at a partition's border a suffix may have its equals next door
     across = sorted_.filter("edge").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     repeated = sorted_.filter("same > 1").select("gram", "doc_key", "place").unionByName(
         sorted_.filter("same = 1 and edge").join(across, "gram", "left_semi").select("gram", "doc_key", "place")
     )
-    hot = sorted_.filter(F.col("same") >= HOT).select("gram").distinct().withColumn("is_hot", F.lit(True))
-    marked = repeated.join(hot, "gram", "left").select("doc_key", F.struct("place", F.coalesce("is_hot", F.lit(False)).alias("hot")).alias("at"))
-    places = marked.groupBy("doc_key").agg(F.collect_list("at").alias("places"))  # at most as many as the document has words
+    # a gram under ``hot`` in each of two partitions has less than twice that many
+    many = sorted_.groupBy("gram").agg(F.count("*").alias("n"), F.max("same").alias("same")).filter(F.col("same") >= hot)
+    parted = many.select("gram", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
+    marked = repeated.join(parted, "gram", "left").select("doc_key", F.struct("place", F.coalesce("salts", F.lit(0)).alias("salts")).alias("at"))
+    return marked.groupBy("doc_key").agg(F.collect_list("at").alias("places"))  # at most as many as the document has words
+
+
+def class_numbers(order: np.ndarray, gram: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """Numbers of the runs of rows whose neighbours in ``order`` share ``least`` words or more, and the gram."""
+    new = (shared < least) | (gram[order][1:] != gram[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(new)])
+    return out
+
+
+def sorted_neighbours(gram: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of gram and words, and how many first words each shares with the next."""
+    key = np.ascontiguousarray(np.column_stack([gram, words]).astype(">u8"))
+    order = np.argsort(key.view(f"S{key.shape[1] * 8}").ravel(), kind="stable")
+    differ = words[order][1:] != words[order][:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1])
+    return order, shared
+
+
+def matches(gram: np.ndarray, lead: np.ndarray, tail: np.ndarray, left: np.ndarray, right: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words to the left, rows, classes) of repeated windows.
+
+    Row i is a suffix with ``lead[i]`` known words before it, the nearest first in ``left[i]``, and ``tail[i]`` from it on in
+    ``right[i]``. A window of o words to the left and length - o to the right is in the class of another if the two suffixes lie in
+    one run of the left order that shares o words, and in one run of the right order that shares length - o.
+    """
+    m = len(gram)
+    if m < 2:
+        return
+    by_right, shared_right = sorted_neighbours(gram, right)
+    by_left, shared_left = sorted_neighbours(gram, left)
+
+    def reach(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """The most words that a row shares with any other, a neighbour then."""
+        out = np.empty(m, np.int64)
+        same = np.where(gram[order][1:] == gram[order][:-1], shared, 0)
+        out[order] = np.maximum(np.append(same, 0), np.insert(same, 0, 0))
+        return out
+
+    most_right, most_left = np.minimum(tail, reach(by_right, shared_right)), np.minimum(lead, reach(by_left, shared_left))
+    for o in range(left.shape[1] + 1):
+        on = np.flatnonzero((most_left >= o) & (most_right >= length - o))
+        if len(on) < 2:
+            continue
+        classes = class_numbers(by_right, gram, shared_right, length - o)[on] * m + class_numbers(by_left, gram, shared_left, o)[on]
+        order = np.argsort(classes, kind="stable")
+        same = classes[order][1:] == classes[order][:-1]
+        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        if twice.any():
+            yield o, on[order[twice]], classes[order[twice]]
+
+
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, hot: int | None = None) -> DataFrame:
+    """(doc_id, a, b) of words in passages of ``length`` words or more that occur more than once."""
+    kept = stage(suffixes(docs, length, gram), "suffixes")
+    sorted_ = stage(neighbours(kept), "neighbours")
+    release(kept)
+    near = keyed(docs).join(marked_places(sorted_, HOT if hot is None else hot), "doc_key").select("doc_id", "text", "places")
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("gram", pa.int64()), ("salts", pa.int32()), ("lead", pa.int32()), ("body", pa.binary())])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                words = hash_words(encode(part.column("text").to_pylist()))
-                first, count, at = runs(words, length, gram)
-                if not len(first):
-                    continue
-                state = np.zeros(len(words.hashes), np.int8)
-                for i, places in enumerate(part.column("places").to_pylist()):
-                    for p in places:
-                        if words.offsets[i] + p["place"] < words.offsets[i + 1]:
-                            state[words.offsets[i] + p["place"]] = 2 if p["hot"] else 1
-                on = np.flatnonzero(state[at])
-                if len(on):
-                    keys = gram_keys(words, at[on], gram)
-                    yield to_batch(candidate_rows(words, part.column("doc_id").to_pylist(), length, first[on], count[on], keys, state[at[on]] == 2), CANDIDATE_SCHEMA)
-
-    near = keyed(docs).join(places, "doc_key").select("doc_id", "text", "places")
-    return repeated_spans(map_arrow(near, extend, CANDIDATES), length, keep_first)
+        """Each marked suffix with the bytes of its words, ``lead`` words to its left first; a hot one with keys of its windows."""
+        for part in parts(batches):
+            words = hash_words(encode(part.column("text").to_pylist()))
+            first, count, at = runs(words, length, gram)
+            if not len(first):
+                continue
+            salts = placed_salts(words, at, part.column("places").to_pylist())
+            on = np.flatnonzero(salts >= 0)
+            if not len(on):
+                continue
+            first, count, at, salts = first[on], count[on], at[on], salts[on]
+            doc = np.searchsorted(words.offsets, at, side="right") - 1
+            value, data = window_keys(words, length), words.data
+            end = words.ends[first + count + length - 2]
+            body = [value[a : a + n].tobytes() if s else data[b:e].tobytes() for a, n, s, b, e in zip(first, count, salts, words.starts[first], end)]
+            yield to_batch({"doc_id": part.column("doc_id").take(pa.array(doc)), "start": first - words.offsets[doc], "gram": gram_keys(words, at, gram).view(np.int64), "salts": salts, "lead": at - first, "body": body}, schema)
+
+    found = stage(map_arrow(near, extend, "doc_id bigint, start int, gram bigint, salts int, lead int, body binary"), "repeated-suffixes")
+    release(sorted_)
+    side = length - gram
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        words = hash_words(table.column("body").to_pylist())
+        lead, doc = table.column("lead").to_numpy().astype(np.int64), table.column("doc_id").fill_null(-(2**63)).to_numpy()
+        place = table.column("start").to_numpy().astype(np.int64) + lead
+        begin, n = words.offsets[:-1], np.diff(words.offsets)
+        tail = n - lead
+        hashes = np.append(words.hashes, np.uint64(0))
+        to_right, to_left = np.arange(length), np.arange(side)
+        right = hashes[np.where(to_right < tail[:, None], (begin + lead)[:, None] + to_right, len(words.hashes))]
+        left = hashes[np.where(to_left < lead[:, None], (begin + lead)[:, None] - 1 - to_left, len(words.hashes))]
+        rows, ats = [], []
+        for o, row, classes in matches(table.column("gram").to_numpy().view(np.uint64), lead, tail, left, right, length):
+            at = place[row] - o
+            if keep_first:
+                order = np.lexsort((at, doc[row], classes))
+                row, at, classes = row[order], at[order], classes[order]
+                new = np.concatenate([[True], classes[1:] != classes[:-1]])
+                least = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+                later = (doc[row] != doc[row[least]]) | (at != at[least])  # a row that repeats doc_id and place is the first too
+                row, at = row[later], at[later]
+            rows.append(row)
+            ats.append(at)
+        row, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, ats))
+        order = np.lexsort((at, row))
+        return span_rows(table.column("doc_id"), row[order], at[order], length)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_grams(batches, BLOCK):
+            yield solve(table)
+
+    usual = map_arrow(found.filter("salts = 0").repartition("gram").sortWithinPartitions("gram"), compare, SPANS)
+    frequent = found.filter("salts > 0").select("doc_id", "start", "gram", "salts", F.col("body").alias("windows"))
+    return usual.unionByName(frequent_spans(frequent, length, keep_first))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
