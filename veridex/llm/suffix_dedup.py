@@ -110,17 +110,17 @@ def neighbours(kept: DataFrame, held_rows: int = HELD) -> DataFrame:
 
 
 def marked_places(sorted_: DataFrame, hot: int) -> DataFrame:
-    """(doc_key, places): where a document's suffixes have equals, with the parts that hot ones are dealt into."""
-    # at a partition's border a suffix may have its equals next door
-    across = sorted_.filter("edge").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    repeated = sorted_.filter("same > 1").select("gram", "doc_key", "place").unionByName(
-        sorted_.filter("same = 1 and edge").join(across, "gram", "left_semi").select("gram", "doc_key", "place")
-    )
-    # a gram under ``hot`` in each of two partitions has less than twice that many
-    many = sorted_.groupBy("gram").agg(F.count("*").alias("n"), F.max("same").alias("same")).filter(F.col("same") >= hot)
-    parted = many.select("gram", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
-    marked = repeated.join(parted, "gram", "left").select("doc_key", F.struct("place", F.coalesce("salts", F.lit(0)).alias("salts")).alias("at"))
-    return marked.groupBy("doc_key").agg(F.collect_list("at").alias("places"))  # at most as many as the document has words
+    """(doc_key, places): where a document's suffixes have equals, with the parts that hot ones are dealt into.
+
+    The number of parts follows from the equals in a suffix's own partition; only the few rows at a partition's border that are
+    not hot there are joined with what lies next door, so no frequent suffix is a join's key.
+    """
+    salts = lambda n: F.when(n >= hot, F.ceil(n / SALTED)).otherwise(0).cast("int").alias("salts")
+    known = sorted_.filter(f"same >= {hot} or not edge").select("doc_key", "place", salts(F.col("same")))
+    next_door = sorted_.filter("edge").groupBy("gram").agg(F.count("*").alias("n"), F.max("same").alias("most"))
+    border = sorted_.filter(f"same < {hot} and edge").join(next_door, "gram").filter("same > 1 or n > 1").select("doc_key", "place", salts(F.col("most")))
+    # at most as many as the document has words
+    return known.unionByName(border).groupBy("doc_key").agg(F.collect_list(F.struct("place", "salts")).alias("places"))
 
 
 def class_numbers(order: np.ndarray, gram: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
