@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, to_batch
 
 #: Rows of a sketch; cells that a row of a segment has at most; the least number of cells.
-DEPTH, SEGMENT, LEAST = 2, 1 << 19, 1 << 12
+DEPTH, SEGMENT, LEAST = 2, 1 << 17, 1 << 12
 #: Cells for each key: a key that occurs once is then taken for a repeated one with a probability under 0.16.
 CELLS = 2
 #: Keys that a partition holds before it passes their counts on.

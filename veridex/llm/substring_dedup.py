@@ -5,10 +5,10 @@ minimiser at a fixed place in it, so it occurs at most as often as its minimiser
 few: the merged sketch overestimates every window's count, and no repeated window is lost. Pass two takes only windows
 whose estimate is two or more, and groups them exactly.
 
-The sketch has cells in proportion to the keys, which are counted first, so it filters alike at every size. Up to
-BROADCAST_CELLS it is broadcast, and pass two asks it while reading the texts. A larger one stays in its segments: keys are
-dealt to them with the places they come from, and the places of repeated ones return to the texts. Keys in cells of VERY_HOT
-occurrences, whose number is bounded by the keys over VERY_HOT, need no asking and are not dealt out.
+The sketch has cells in proportion to the keys, which are counted first, so it filters alike at every size. It is never
+in one place: it stays in its segments, keys are dealt to them with the places they come from, and the places of repeated
+ones return to the texts. Keys in cells of VERY_HOT occurrences, whose number is bounded by the keys over VERY_HOT, need no
+asking and are not dealt out, so a frequent key makes no large segment.
 
 Edge cases: null and empty texts have no windows; texts under 35 words lose nothing; repeated rows are copies of one
 another; windows that overlap themselves count as often as they start; a null doc_id takes part in the counts; a table
@@ -33,10 +33,10 @@ WINDOW = 35
 GRAM = 6
 #: Estimated occurrences from which a gram's rows go the way for hot ones.
 HOT = 200
-#: Cells of the largest sketch that is broadcast: 32 MB in two rows of bytes.
-BROADCAST_CELLS = 1 << 24
 #: Occurrences of a cell whose keys are taken for repeated without asking the sketch.
 VERY_HOT = 1 << 20
+#: Keys that are dealt to segments at once: many, so that a row has several.
+DEALT = 1 << 18
 
 
 def minimiser_keys(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -52,25 +52,6 @@ def minimiser_keys(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return map_arrow(docs.select("text"), run, "keys binary")
 
 
-def _asked_while_reading(docs: DataFrame, counters: np.ndarray, window: int, gram: int, hot: int) -> DataFrame:
-    """CANDIDATES by a broadcast sketch."""
-    shared = Shared(docs.sparkSession, counters)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
-            words = hash_words(encode(part.column("text").to_pylist()))
-            first, count, places = runs(words, window, gram)
-            if not len(first):
-                continue
-            keys = gram_keys(words, places, gram)
-            most = sketches.estimate(shared.value, keys)
-            on = np.flatnonzero(most >= 2)
-            if len(on):
-                yield to_batch(candidate_rows(words, part.column("doc_id").to_pylist(), window, first[on], count[on], keys[on], salts_for(most[on], hot)), CANDIDATE_SCHEMA)
-
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), choose, CANDIDATES)
-
-
 def _very_hot(sketch: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the cells of first rows with ``least`` occurrences or more, ascending, and their counts."""
     schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
@@ -87,41 +68,50 @@ def _very_hot(sketch: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.
     return np.array([r.cell for r in found], np.int64), np.array([r.n for r in found], np.int64)
 
 
-def _asked_in_segments(docs: DataFrame, sketch: DataFrame, width: int, window: int, gram: int, hot: int, very_hot: int) -> tuple[DataFrame, DataFrame]:
-    """CANDIDATES by a sketch that stays in its segments, and the staged table that they are read from."""
+def _candidates(docs: DataFrame, sketch: DataFrame, width: int, window: int, gram: int, hot: int, very_hot: int) -> tuple[DataFrame, DataFrame]:
+    """CANDIDATES whose estimate is two or more, and the staged table that they are read from."""
     size = min(sketches.SEGMENT, width)
     segments = width // size
     known = Shared(docs.sparkSession, _very_hot(sketch, size, very_hot))
     ask = pa.schema([("segment", pa.int32()), ("counters", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("n", pa.binary())])
     ask_type = "segment int, counters binary, keys binary, docs binary, places binary, n binary"
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_segment(keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
         """A row for each segment: its keys with their documents and places; very hot ones have their counts already."""
         hot_cells, hot_counts = known.value
+        segment = sketches.segment_of(keys, segments)
+        n = np.zeros(len(keys), np.int64)
+        if len(hot_cells):
+            cell = segment * size + sketches.cells(keys, 0, size)
+            k = np.minimum(np.searchsorted(hot_cells, cell), len(hot_cells) - 1)
+            n = np.where(hot_cells[k] == cell, hot_counts[k], 0)
+        segment = np.where(n > 0, -1, segment)  # these stay together
+        order = np.argsort(segment, kind="stable")
+        cut = np.append(np.flatnonzero(np.concatenate([[True], np.diff(segment[order]) != 0])), len(order))
+        rows: dict[str, list] = {f.name: [] for f in ask}
+        for a, b in zip(cut, cut[1:]):
+            on = order[a:b]
+            rows["segment"].append(segment[on[0]])
+            rows["counters"].append(None)
+            for name, values in (("keys", keys), ("docs", docs.astype("<i8")), ("places", places.astype("<i4")), ("n", n.astype("<i8"))):
+                rows[name].append(values[on].tobytes() if name != "n" or n[on[0]] else None)
+        return to_batch(rows, ask)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        many = 0
         for part in parts(batches):
             words = hash_words(encode(part.column("text").to_pylist()))
             _, _, places = runs(words, window, gram)
-            if not len(places):
-                continue
-            doc = np.searchsorted(words.offsets, places, side="right") - 1
-            keys, own, at = gram_keys(words, places, gram), part.column("doc_key").to_numpy()[doc], places - words.offsets[doc]
-            segment = sketches.segment_of(keys, segments)
-            n = np.zeros(len(keys), np.int64)
-            if len(hot_cells):
-                cell = segment * size + sketches.cells(keys, 0, size)
-                k = np.minimum(np.searchsorted(hot_cells, cell), len(hot_cells) - 1)
-                n = np.where(hot_cells[k] == cell, hot_counts[k], 0)
-            segment = np.where(n > 0, -1, segment)  # these stay together
-            order = np.argsort(segment, kind="stable")
-            cut = np.append(np.flatnonzero(np.concatenate([[True], np.diff(segment[order]) != 0])), len(order))
-            rows: dict[str, list] = {f.name: [] for f in ask}
-            for a, b in zip(cut, cut[1:]):
-                on = order[a:b]
-                rows["segment"].append(segment[on[0]])
-                rows["counters"].append(None)
-                for name, values in (("keys", keys), ("docs", own.astype("<i8")), ("places", at.astype("<i4")), ("n", n.astype("<i8"))):
-                    rows[name].append(values[on].tobytes() if name != "n" or n[on[0]] else None)
-            yield to_batch(rows, ask)
+            if len(places):
+                doc = np.searchsorted(words.offsets, places, side="right") - 1
+                held.append((gram_keys(words, places, gram), part.column("doc_key").to_numpy()[doc], places - words.offsets[doc]))
+                many += len(places)
+            if many > DEALT:
+                yield by_segment(*map(np.concatenate, zip(*held)))
+                held, many = [], 0
+        if held:
+            yield by_segment(*map(np.concatenate, zip(*held)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counters come before the keys of their segment."""
@@ -159,17 +149,13 @@ def _asked_in_segments(docs: DataFrame, sketch: DataFrame, width: int, window: i
     return map_arrow(near, choose, CANDIDATES), found
 
 
-def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int | None = None, hot: int = HOT, keep_first: bool = False, broadcast_cells: int = BROADCAST_CELLS, very_hot: int = VERY_HOT) -> DataFrame:
+def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int | None = None, hot: int = HOT, keep_first: bool = False, very_hot: int = VERY_HOT) -> DataFrame:
     """(doc_id, a, b) of words in repeated windows. ``width``, the cells of the sketch, follows from the keys if not given."""
     keys = stage(minimiser_keys(docs, window, gram), "keys")
     width = width or sketches.cells_for(sketches.key_count(keys))
-    if width <= broadcast_cells:
-        counters = sketches.count_min(keys, width)
-        release(keys)
-        return repeated_spans(_asked_while_reading(docs, counters, window, gram, hot), window, keep_first)
     sketch = stage(sketches.count_segments(keys, width), "sketch")
     release(keys)
-    candidates, found = _asked_in_segments(docs, sketch, width, window, gram, hot, very_hot)
+    candidates, found = _candidates(docs, sketch, width, window, gram, hot, very_hot)
     out = repeated_spans(candidates, window, keep_first)  # stages the candidates
     release(sketch, found)
     return out
