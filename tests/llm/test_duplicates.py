@@ -254,3 +254,20 @@ def test_word_hashes_tell_words_apart():
     assert len(np.unique(hash_words(encode([" ".join(words)])).hashes)) == len(words)
     assert len(gram_hashes(np.zeros(2, np.uint64), 3)) == 0
     assert repeats.cut(None, None) == ([], 0)
+
+
+@pytest.mark.parametrize("counters", [16, 1 << 23])
+def test_prefixes_find_links_between_components(spark, counters, monkeypatch):
+    """Families of one template whose members are over, at and under the threshold; a full sketch changes nothing."""
+    monkeypatch.setattr(near_dedup, "COUNTERS", counters)
+    rng = np.random.default_rng(12)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for d in range(60):
+            words = list(base)
+            for k in rng.choice(120, rng.integers(0, 12), replace=False):
+                words[k] = f"z{family}_{d % 23}_{k}"
+            rows.append((family * 100 + d, " ".join(words[: 120 - int(rng.integers(0, 6))])))
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 3, 85).collect()
+    assert Counter((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 3, 85)

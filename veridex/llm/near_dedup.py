@@ -7,10 +7,11 @@ and since values of step j are under those of step j + 1, a document stops at th
 1. Documents with equal shingle sets become one row each, the least doc_id.
 2. Rows that share a band fall into a bucket. Each bucket compares its members with one pivot, the member that shares
    most buckets with others; links are confirmed on whole sets, and components are built.
-3. Buckets that still hold several components compare members across components. Most such pairs cannot link, and an
-   upper bound tells before a pair is made: shingles that no other member has (a count-min sketch may only understate
-   their number) are in no intersection, nor are those whose place in a bitmap is empty on the other side. Pairs over
-   the bound are confirmed on whole sets, so no link of a bucket is lost.
+3. The members of buckets that still hold several components are compared across components, by prefixes: in one order
+   of all shingles, rare ones first, two sets over the threshold share a shingle among the first n - ceil(t n) + 1 of each. So
+   only members with a common shingle in their prefixes meet, and only at shingles that stand in prefixes of several components;
+   the sets' sizes and the shingle's places must leave room for the threshold. Such pairs are confirmed on whole
+   sets, so no link of a bucket is lost, and a large group that is one component already makes no pair.
 
 The number of rows in a band is the largest that misses a pair at the threshold with a probability under MISS.
 
@@ -29,17 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
-from .common import Shared, map_arrow, slices, stage, to_batch
+from .common import Shared, map_arrow, release, slices, stage, to_batch
 from .sketches import cells_for, count_min, estimate, key_count
 from .textkit import encode, gram_hashes, hash_words, mix
 
 SHINGLE, PERCENT = 3, 85
 SLOTS = 252
 MISS = 1e-5
-#: Cells of the sketch that tells which shingles of open buckets are shared, at most; a fuller one only loosens the bound.
+#: Cells of the sketch that tells which shingles are rare, at most; a fuller one lets more pairs meet and loses none.
 COUNTERS = 1 << 23
-#: 64-bit words of a member's shingle bitmap.
-BITMAP = 16
 _DENSE_FROM = 6
 
 
@@ -189,42 +188,45 @@ def links(docs: DataFrame, measured: DataFrame, shingle: int, percent: int) -> t
     first = stage(confirm(pairs, sets, percent), "links")
     found = components(first)
 
-    placed = pivoted.join(found, pivoted["rep"] == found["node"], "left").select("band", "rep", "pivot", F.coalesce("component", "rep").alias("own"))
-    mixed = placed.groupBy("band").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.max(F.when(F.col("rep") == F.col("pivot"), F.col("own"))).alias("main")).filter("a <> b").select("band", "main")
-    # a pair across components has a member outside the pivot's component, which is mostly the largest
-    open_ = stage(placed.join(mixed, "band").select("band", "rep", "own", (F.col("own") != F.col("main")).alias("apart")), "open")
-    members = sets.join(open_.select("rep").distinct(), "rep", "left_semi")
+    placed = pivoted.join(found, pivoted["rep"] == found["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("own"))
+    mixed = placed.groupBy("band").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select("band")
+    open_ = stage(placed.join(mixed, "band", "left_semi").select("rep", "own").distinct(), "open")
+    members = stage(sets.join(open_, "rep"), "members")
     shingles = members.select("grams")
     counters = Shared(docs.sparkSession, count_min(shingles, min(COUNTERS, cells_for(key_count(shingles)))))
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("common", pa.int64()), ("bits", pa.list_(pa.int64()))])
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The prefix of each member; a shingle that no other has makes no pair, but takes its place."""
+        schema = pa.schema([("gram", pa.int64()), ("rep", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
         for batch in batches:
-            common, bits = [], []
-            for g in batch.column("grams").to_pylist():
-                own = np.frombuffer(g, np.uint64)
-                own = own[estimate(counters.value, own) > 1]
-                place = ((own >> np.uint64(17)) % np.uint64(64 * BITMAP)).astype(np.int64)
-                words = np.zeros(BITMAP, np.uint64)
-                np.bitwise_or.at(words, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
-                common.append(len(own))
-                bits.append(words.view(np.int64))
-            keep = pa.array([100 * c >= percent * n for c, n in zip(common, batch.column("n").to_pylist())], pa.bool_())
-            yield to_batch({"rep": batch.column("rep"), "n": batch.column("n"), "common": common, "bits": bits}, schema).filter(keep)
-
-    able = map_arrow(members, bound, "rep bigint, n bigint, common bigint, bits array<bigint>")
-    places = [f"bits{i}" for i in range(BITMAP)]
-    # plain columns: the pair condition then compiles to a handful of machine instructions
-    sides = stage(open_.join(able, "rep").select("band", "rep", "own", "apart", "n", "common", *[F.col("bits")[i].alias(c) for i, c in enumerate(places)]), "sides")
-    x = sides.filter("apart").select("band", *[F.col(c).alias(f"{c}_x") for c in ("rep", "own", "n", "common", *places)])
-    y = sides.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "own", "apart", "n", "common", *places)])
-    lacks = lambda p, q: F.expr(" + ".join(f"bit_count({c}_{p} & ~{c}_{q})" for c in places))
-    most = F.least(F.col("common_x") - lacks("x", "y"), F.col("common_y") - lacks("y", "x"))
-    sizes = F.col("n_x") + F.col("n_y")
-    # intersection <= most, and union = sizes - intersection
-    across = x.join(y, "band").filter((F.col("own_x") != F.col("own_y")) & (~F.col("apart_y") | (F.col("rep_x") < F.col("rep_y"))) & ((100 + percent) * most >= percent * sizes))
+            if not batch.num_rows:
+                continue
+            kept, places, sizes = [], [], []
+            for held in batch.column(batch.schema.get_field_index("grams")).to_pylist():
+                grams = np.frombuffer(held, np.uint64)
+                often = estimate(counters.value, grams)
+                first = np.lexsort((grams, often))[: len(grams) - -(-percent * len(grams) // 100) + 1]
+                places.append(np.flatnonzero(often[first] > 1))
+                kept.append(grams[first[places[-1]]].view(np.int64))
+                sizes.append(len(grams))
+            row = np.repeat(np.arange(len(sizes)), [len(k) for k in kept])
+            rep, own = (batch.column(batch.schema.get_field_index(c)).to_numpy()[row] for c in ("rep", "own"))
+            yield to_batch({"gram": np.concatenate(kept), "rep": rep, "own": own, "n": np.array(sizes)[row], "place": np.concatenate(places)}, schema)
+
+    prefixed = stage(map_arrow(members, prefixes, "gram bigint, rep bigint, own bigint, n bigint, place bigint"), "prefixes")
+    # staged, so that both joins have plain exchanges, and a frequent shingle can be split
+    release(members)
+    contested = stage(prefixed.groupBy("gram").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select("gram"), "contested")
+    sides = stage(prefixed.join(contested, "gram"), "sides")
+    release(prefixed, contested)
+    x = sides.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("rep", "own", "n", "place")])
+    y = sides.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("rep", "own", "n", "place")])
+    # at the first common shingle, the rest of the shorter side bounds the intersection; union = sizes - intersection
+    most, sizes = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")), F.col("n_x") + F.col("n_y")
+    across = x.join(y, "gram").filter((F.col("own_x") != F.col("own_y")) & (F.col("rep_x") < F.col("rep_y")) & ((100 + percent) * most >= percent * sizes))
     rest = across.select(F.col("rep_x").alias("u"), F.col("rep_y").alias("v")).distinct()
     second = stage(confirm(rest, sets, percent), "links")
+    release(buckets, pivoted, open_, sides, sets)
     if second.isEmpty():
         return group, found
     return group, components(first.unionByName(second))
