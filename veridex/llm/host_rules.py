@@ -85,16 +85,20 @@ def metrics(docs: DataFrame) -> DataFrame:
 
 
 def hosts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """Per host: source, docs, failed, shrunk_rate, rejected."""
-    by = measured.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
+    """Per host: source, docs, failed, shrunk_rate, rejected; ``measured`` has source and base_failed of each document."""
+    return shrunk(measured.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("bigint")).alias("failed")), limit)
+
+
+def shrunk(by: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+    """Hosts (source, docs, failed) with their shrunk failure rate and verdict."""
     by = by.withColumn("rate", F.col("failed") / F.col("docs"))
     prior = by.agg(F.avg("rate").alias("m"), F.var_samp("rate").alias("v"), (F.sum("failed") / F.sum("docs")).alias("overall")).first()
     spread = (prior.m or 0.0) * (1 - (prior.m or 0.0))
     fitted = prior.v is not None and 0 < prior.v < spread
     mean = prior.m if fitted else prior.overall or 0.0
     weight = spread / prior.v - 1 if fitted else PRIOR_WEIGHT
-    shrunk = (F.col("failed") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight))
-    return by.select("source", "docs", "failed", shrunk.alias("shrunk_rate"), (shrunk > limit).alias("rejected"))
+    rate = (F.col("failed") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight))
+    return by.select("source", "docs", "failed", rate.alias("shrunk_rate"), (rate > limit).alias("rejected"))
 
 
 def _verdicts(measured: DataFrame, limit: float) -> DataFrame:
@@ -111,11 +115,17 @@ def report(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def keep(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """The documents that pass the base rules and whose host passes, with all their columns."""
-    bad = hosts(stage(metrics(docs).select("source", "base_failed"), "quality"), limit).filter("rejected").select(F.col("source").alias("veridex_host"))
-    few = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    good = docs.join(F.broadcast(bad) if few else bad, F.col("source").cast("string").eqNullSafe(F.col("veridex_host")), "left_anti")
+    """The documents that pass the base rules and whose host passes, with all their columns.
+
+    The rules run once: those that pass are staged, and what a host has beyond them has failed.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(F.translate(text, _BLANKS, " " * len(_BLANKS)), " "), "")
     passes = _let(words, lambda w: (F.size(w) >= 10) & (100 * repeat_words(w) <= 20 * F.size(w).cast("bigint")))
-    return good.filter(passes)
+    good = stage(docs.filter(passes), "good")
+    per_host = lambda df, name: df.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias(name))
+    passed = per_host(good, "passed").withColumnRenamed("source", "host")
+    by = per_host(docs, "docs").join(passed, F.col("source").eqNullSafe(F.col("host")), "left").select("source", "docs", (F.col("docs") - F.coalesce("passed", F.lit(0))).alias("failed"))
+    bad = shrunk(by, limit).filter("rejected").select(F.col("source").alias("veridex_host"))
+    few = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    return good.join(F.broadcast(bad) if few else bad, F.col("source").cast("string").eqNullSafe(F.col("veridex_host")), "left_anti")
