@@ -24,7 +24,7 @@ def canonical(names: list[str], rows: list[tuple]) -> tuple[list[str], list[tupl
 
     def plain(v):
         if v is None:
-            return ""
+            return "\0NULL"  # no value of a string, so NULL and '' are told apart
         if isinstance(v, bool):
             return str(v)
         if isinstance(v, float) and not math.isnan(v):

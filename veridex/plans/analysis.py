@@ -70,7 +70,7 @@ def hierarchy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("effect_heatmap_grid", """
-WITH c AS (SELECT p_brand AS feature, l_returnflag || l_linestatus AS contrast, avg(l_discount) AS effect, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 2 GROUP BY ALL),
+WITH c AS (SELECT p_brand AS feature, l_returnflag || l_linestatus AS contrast, avg(l_discount) AS effect, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
 m AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'proposed' ELSE 'accepted' END AS mapping_status, (n % 30) / 100.0 AS missing_fraction FROM c),
 g AS (SELECT * FROM (SELECT DISTINCT feature FROM m), (SELECT DISTINCT contrast FROM m))
 SELECT feature, contrast, CASE WHEN n IS NULL THEN 'not_reported' WHEN mapping_status <> 'accepted' THEN 'unreviewed_harmonization' WHEN effect IS NULL THEN 'effect_not_reported' WHEN missing_fraction > 0.20 THEN 'high_missingness' ELSE 'observed' END AS cell_status,
@@ -195,7 +195,7 @@ def benchmark_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("gram_matrix", """
-WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 40), l AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM v, range(1, 65) t(i))
+WITH v AS (SELECT vec_id, embedding FROM embeddings), l AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM v, range(1, 65) t(i))
 SELECT a.vec_id AS i, b.vec_id AS j, round(sum(a.x * b.x), 7) AS value FROM l a JOIN l b ON a.i = b.i AND a.vec_id <= b.vec_id GROUP BY ALL""")
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gram matrix of all samples."""

@@ -54,7 +54,7 @@ def assay_plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("inference_ledger", """
-WITH n AS (SELECT DISTINCT c_nationkey AS gene, 'R' || o_orderpriority AS reaction FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 97 = 0), rc AS (SELECT DISTINCT 'R' || o_orderpriority AS reaction, o_orderstatus AS compound FROM orders),
+WITH n AS (SELECT DISTINCT c_nationkey AS gene, 'R' || o_orderpriority AS reaction FROM customer JOIN orders ON o_custkey = c_custkey), rc AS (SELECT DISTINCT 'R' || o_orderpriority AS reaction, o_orderstatus AS compound FROM orders),
 cn AS (SELECT 'O' AS compound, 'open' AS name UNION ALL SELECT 'F', 'filled'), ns AS (SELECT 'open' AS name, 'S1' AS study),
 h AS (SELECT 'gene_to_reaction' AS hop, gene::VARCHAR AS subject, reaction AS object FROM n UNION ALL SELECT 'reaction_to_compound', reaction, compound FROM rc UNION ALL SELECT 'compound_to_name', c.compound, name FROM (SELECT DISTINCT compound FROM rc) c LEFT JOIN cn USING (compound)
  UNION ALL SELECT 'name_to_study', name, study FROM ns UNION ALL SELECT DISTINCT 'gene_to_study', gene::VARCHAR, study FROM n JOIN rc USING (reaction) JOIN cn USING (compound) JOIN ns USING (name))

@@ -11,7 +11,7 @@ from ..registry import query, table
 
 
 @query("assay_scope_category", """
-WITH s AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'targeted' WHEN l_linestatus = 'O' AND l_partkey % 50 = 0 THEN 'untargeted' ELSE 'other' END AS scope FROM lineitem WHERE l_partkey % 40 = 0 OR l_suppkey % 3 = 0)
+WITH s AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'targeted' WHEN l_linestatus = 'O' AND l_partkey % 50 = 0 THEN 'untargeted' ELSE 'other' END AS scope FROM lineitem)
 SELECT l_suppkey, CASE WHEN bool_or(scope = 'targeted') AND bool_or(scope = 'untargeted') THEN 'both' WHEN bool_or(scope = 'targeted') THEN 'targeted' WHEN bool_or(scope = 'untargeted') THEN 'untargeted' ELSE 'other' END AS category FROM s GROUP BY ALL""")
 def assay_scope_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")  # noqa: E741

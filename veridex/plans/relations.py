@@ -71,7 +71,7 @@ def one_to_many_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lookup_unambiguous", """
 WITH dim AS (SELECT p_name AS key, min(p_partkey) AS id FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) = 1),
-q AS (SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1)
+q AS (SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT l_orderkey, l_linenumber, id IS NOT NULL AS resolved, coalesce(id = l_partkey, false) AS agrees FROM q LEFT JOIN dim ON key = p_name""")
 def lookup_unambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookup by name in a dimension whose ambiguous names are taken out first."""
