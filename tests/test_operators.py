@@ -159,7 +159,7 @@ def test_text_functions(spark):
         X.echo_status(F.lit("A"), F.lit(None).cast("string")).alias("echo"),
     ).first()
     assert (row["name"], row.met, row.short, row.unit, row.chebi, row.hmdb) == ("peak_vo2_max", "alphaketoglutarate", "", "umol/l", "CHEBI:123", "HMDB0000123")
-    assert row.html == "a x & c" and row.cls == "fattyacid" and row.url == "u?api_key=REDACTED&z=2&email=REDACTED" and row.ad1 == row.ad2 == "M+CL"
+    assert row.html == "a x & c" and row.cls == "fattyacid" and row.url == "u?api_key=%3Credacted%3E&z=2&email=%3Credacted%3E" and row.ad1 == row.ad2 == "M+CL"
     assert row.has and row.tok and not row.notok and row.m == {"a": "3:4", "b": "2"} and row.nan is None and row.i == 12 and row.y == 2021 and row.echo == "no_echo"
 
 
@@ -180,8 +180,8 @@ def test_aliases_and_packets(spark):
     names = spark.createDataFrame([("old",), ("new",)], "name string")
     aliases = spark.createDataFrame([("old", "new", "1.10.0", "1.9.0")], "alias string, target string, current string, removed_in string")
     assert {r.name: (r.resolved, r.deprecated, r.removed) for r in ledger.resolve_aliases(names, aliases).collect()} == {"old": ("new", True, True), "new": ("new", False, False)}
-    packets = spark.createDataFrame([(1, '{"a":{"auto_accept":1}}'), (2, "oops"), (3, '{"t":"fine"}')], "k int, body string")
-    assert {(r.k, r.violation) for r in ledger.packet_violations(packets, "k", "body").collect()} == {(1, "field:auto_accept"), (2, "not_json")}
+    packets = spark.createDataFrame([(1, '{"a":{"confidence":1}}'), (2, "oops"), (3, '{"t":"fine"}')], "k int, body string")
+    assert {(r.k, r.violation) for r in ledger.packet_violations(packets, "k", "body").collect()} == {(1, "field:confidence"), (2, "not_json")}
 
 
 def test_typed_loads_stop_on_bad_rows(spark):

@@ -79,9 +79,18 @@ def test_aliases_must_agree(spark):
 def test_responses_are_classified(spark):
     rows = [(200, "application/json", "[1]"), (200, "application/json", "[]"), (404, "", ""), (503, "", ""), (200, "text/html", "<html>"), (None, None, None)]
     df = spark.createDataFrame(rows, "s int, c string, b string")
-    assert [r.x for r in df.select(responses.classify(F.col("s"), F.col("c"), F.col("b")).alias("x")).collect()] == ["ok", "no_hits", "request_rejected", "unavailable", "unavailable", "unavailable"]
+    assert [r.x for r in df.select(responses.classify(F.col("s"), F.col("c"), F.col("b")).alias("x")).collect()] == ["no_hits", "no_hits", "unavailable", "unavailable", "request_rejected", "unavailable"]
     gene = spark.createDataFrame([(500, "", ""), (200, "", ""), (200, "", "[]"), (200, "", "<b>warn</b>[1]"), (200, "", '[{"a":1}]')], "s int, c string, b string")
-    assert [r.x for r in gene.select(responses.classify_gene(F.col("s"), F.col("c"), F.col("b")).alias("x")).collect()] == ["gene_unresolved_or_source_error", "indeterminate_empty_body", "gene_not_annotated", "unavailable", "ok"]
+    assert [r.x for r in gene.select(responses.classify_gene(F.col("s"), F.col("b")).alias("x")).collect()] == ["gene_unresolved_or_source_error", "indeterminate_empty_body", "no_hits", "unavailable", "ok"]
+
+
+def test_preprint_links_leave_other_rows(spark):
+    records = spark.createDataFrame([("10.1/A", True, "10.9/old", "bio"), ("10.1/b", True, "10.9/own", "med"), ("10.1/c", False, None, None)], "doi string, is_preprint boolean, linked_published_doi string, preprint_server string")
+    links = spark.createDataFrame([("10.1/a", "10.2/new", "rxiv"), ("10.1/c", None, "rxiv")], "doi string, published_doi string, server string")
+    got = {r.doi: (r.is_preprint, r.linked_published_doi, r.preprint_server) for r in responses.link_preprints(records, links).collect()}
+    assert got == {"10.1/A": (True, "10.2/new", "rxiv"), "10.1/b": (True, "10.9/own", "med"), "10.1/c": (True, None, "rxiv")}
+    bare = responses.link_preprints(records.select("doi"), links).collect()
+    assert {r.doi: r.is_preprint for r in bare} == {"10.1/A": True, "10.1/b": False, "10.1/c": True}
 
 
 def test_json_shapes(spark):

@@ -1,9 +1,12 @@
-"""String functions as column expressions; none leaves the JVM."""
+"""String functions as column expressions; all but html_text stay in the JVM."""
 
 from __future__ import annotations
 
+import html
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,35 +90,41 @@ def compound_identifier(x: Column) -> Column:
     return F.when(up.rlike(r"^HMDB\d+$"), F.concat(F.lit("HMDB"), F.lpad(digits, 7, "0"))).when(up.rlike(r"^C\d{1,5}$"), F.concat(F.lit("C"), F.lpad(digits, 5, "0"))).otherwise(F.trim(x))
 
 
-# Anchored identifier grammars; the first that matches names the namespace.
+# Identifier grammars, matched against the whole value in any case; the first that matches names the namespace.
 NAMESPACES = (
-    ("inchikey", r"^[A-Z]{14}-[A-Z]{10}-[A-Z]$"),
-    ("hmdb", r"^HMDB\d{5,7}$"),
-    ("chebi", r"^CHEBI:\d+$"),
-    ("lipidmaps", r"^LM(FA|GL|GP|SP|ST|PR|SL|PK)\d+$"),
-    ("kegg_compound", r"^C\d{5}$"),
-    ("kegg_reaction", r"^R\d{5}$"),
-    ("kegg_pathway", r"^(map|hsa|mmu|rno)\d{5}$"),
-    ("refmet", r"^RM\d{7}$"),
-    ("mw_study", r"^ST\d{6}$"),
-    ("mw_analysis", r"^AN\d{6}$"),
-    ("metabolights", r"^MTBLS\d+$"),
-    ("geo_series", r"^GSE\d+$"),
-    ("pride", r"^PXD\d{6,}$"),
-    ("doi", r"^10\.\d{4,9}/\S+$"),
-    ("pmcid", r"^PMC\d+$"),
-    ("ensembl_gene", r"^ENS[A-Z]*G\d{11}$"),
-    ("dbsnp", r"^rs\d+$"),
-    ("uniprot", r"^[OPQ][0-9][A-Z0-9]{3}[0-9]$"),
-    ("go", r"^GO:\d{7}$"),
-    ("url", r"^https?://\S+$"),
+    ("inchikey", r"[A-Z]{14}-[A-Z]{10}-[A-Z]"),
+    ("chebi", r"CHEBI:\d+"),
+    ("hmdb", r"HMDB\d{7,}"),
+    ("refmet", r"RM\d{7,}"),
+    ("lipidmaps", r"LM[A-Z]{2}\d{4,}"),
+    ("pubchem_cid", r"(?:PUBCHEM\s*)?CID[:\s_-]*\d+"),
+    ("metabolights", r"MTBLS\d+"),
+    ("metabolomics_workbench", r"ST\d{6,}"),
+    ("metabobank", r"MTBKS\d+"),
+    ("pride", r"PXD\d{6,}"),
+    ("massive", r"MSV\d{9,}"),
+    ("reactome", r"R-[A-Z]{3}-\d+"),
+    ("rhea", r"RHEA:\d+"),
+    ("rsid", r"RS\d+"),
+    ("ensembl_gene", r"ENS[A-Z]*G\d+(?:\.\d+)?"),
+    ("entrez_gene", r"(?:ENTREZ(?:GENE)?|NCBIGENE|GENEID)[:\s_-]*\d+"),
+    ("mgp_id", r"MGP\d{6,}"),
+    ("metabolomics_workbench_regno", r"(?:MW)?REGNO[:\s_-]*\d+"),
+    ("refseq", r"(?:N[MRPCGTWZ]|X[MRP])_\d{4,}(?:\.\d+)?"),
+    ("kegg_reaction", r"R\d{5}"),
+    ("uniprot", r"(?:[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9][A-Z][A-Z0-9]{2}[0-9])"),
+    ("chembl", r"CHEMBL\d+"),
+    ("doi", r"(?:https?://(?:dx\.)?doi\.org/|doi:)?10\.\d{4,9}/\S+"),
+    ("pmcid", r"PMC\d{6,}"),
+    ("kegg_compound", r"C\d{5}"),
+    ("kegg_pathway", r"(?:MAP|HSA|RNO)\d{5}"),
 )
 
 
 def namespace(x: Column, grammars=NAMESPACES) -> Column:
-    """The namespace of an identifier, or NULL."""
-    out = reduce(lambda c, g: c.when(x.rlike(g[1]), F.lit(g[0])), grammars[1:], F.when(x.rlike(grammars[0][1]), F.lit(grammars[0][0])))
-    return out.otherwise(F.lit(None).cast("string"))
+    """The namespace of an identifier without blanks around it, or NULL."""
+    bare = F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.coalesce(*[F.when(bare.rlike(rf"(?i)\A(?:{pattern})\z"), F.lit(name)) for name, pattern in grammars])
 
 
 # Repository accessions as they are written, upper and lower case told apart.
@@ -146,19 +155,52 @@ def accessions(text: Column, grammars=ACCESSIONS) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
 
 
-# The entities that bibliographic titles use.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+def html_text(x: Column) -> Column:
+    """Text of a fragment: entities resolved, tags dropped, entities resolved again, blanks collapsed. NULL has no text.
 
+    HTML names over two thousand entities, which the JVM functions don't know: one Arrow pass.
+    """
 
-def html_text(x: Column) -> Column:
-    """Text of a fragment: entities resolved, tags dropped, entities resolved again, blanks collapsed."""
-    unescape = lambda c: reduce(lambda a, e: F.replace(a, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(unescape(F.coalesce(x, F.lit(""))), r"<[^>]+>", " ")), r"\s+", " "))
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(html.unescape(re.sub(r"<[^>]+>", " ", html.unescape(t))).split()) if t else "")
+
+    return plain(F.coalesce(x, F.lit("")))
+
+
+# Query parameters whose values are masked.
+MASKED = ("api_key", "email", "mailto", "tool_key")
+
+
+def redact_url(x: Column, names=MASKED) -> Column:
+    """A URL whose query holds a masked parameter, with its query written anew and ``<redacted>`` as those values.
+
+    Queries without one stay as they are. Parts without a name and value separator have a blank value, empty parts go.
+    """
+    head, tail = F.substring_index(x, "#", 1), F.regexp_extract(x, r"(?s)(#.*)$", 1)
+    asked = F.regexp_extract(head, r"(?s)\?(.*)$", 1)
+    plain = lambda c: F.coalesce(F.try_url_decode(c), c)
+    quoted = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pair = lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("k"), plain(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "(?s)^[^=]*=", "")).otherwise("")).alias("v"))
+    pairs = F.transform(F.filter(F.split(asked, "&"), lambda p: p != ""), pair)
+    written = F.array_join(F.transform(pairs, lambda p: F.concat(quoted(p["k"]), F.lit("="), quoted(F.when(p["k"].isin(*names), "<redacted>").otherwise(p["v"])))), "&")
+    return F.when(F.exists(pairs, lambda p: p["k"].isin(*names)), F.concat(F.substring_index(head, "?", 1), F.lit("?"), written, tail)).otherwise(x)
+
+
+# Characters that the path grammar of the gene service cannot transmit.
+PATH_HOSTILE = r"[/?#%&;\\]"
+
+
+def path_encode(x: Column) -> Column:
+    """A path segment with runs of blanks as "+"; NULL where a character would break the path, and for NULL."""
+    bare = F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.when(~bare.rlike(PATH_HOSTILE), F.regexp_replace(bare, r"\s+", "+"))
 
 
-def redact_url(x: Column, names=("api_key", "email", "mailto", "tool_key")) -> Column:
-    """Values of sensitive query parameters replaced by REDACTED."""
-    return F.regexp_replace(x, f"([?&](?:{'|'.join(names)})=)[^&#]*", "$1REDACTED")
+def single_gene(x: Column) -> Column:
+    """Whether a value is one gene identifier: several in one request answer with a mixed body."""
+    bare = F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.coalesce(bare.rlike(r"\A[A-Za-z0-9._:-]+\z") & ~F.contains(bare, F.lit("__")), F.lit(False))
 
 
 def adduct_core(x: Column) -> Column:
@@ -167,24 +209,52 @@ def adduct_core(x: Column) -> Column:
     return F.regexp_replace(F.upper(F.when(inner == "", F.trim(x)).otherwise(inner)), r"[.+ ]+", "+")
 
 
-def timepoint(factor_time: Column, factors: Column, sample: Column) -> Column:
-    """pre / time_<label> / NULL: an explicit time factor first, then whole tokens of the factors, then of the sample id."""
-    compact = F.regexp_replace(F.lower(F.trim(factor_time)), "[^a-z0-9]+", "")
-    token = lambda text, words: F.lower(F.coalesce(text, F.lit(""))).rlike(f"(^|[^a-z0-9])({words})([^a-z0-9]|$)")
-    fallback = lambda text: F.when(token(text, "time60|r3"), F.lit("time_60")).when(token(text, "time0|r2"), F.lit("time_0")).when(token(text, "pre|baseline|before|b"), F.lit("pre"))
-    explicit = F.when(compact.isin("1p", "pre", "baseline", "preexercise", "before", "b"), F.lit("pre")).when(~compact.isin("", "blank", "qc", "unknown"), F.concat(F.lit("time_"), compact))
-    return F.coalesce(explicit, fallback(factors), fallback(sample))
+# Labels of time factors, and whole tokens that stand for a time where no factor does.
+TIME_PRE, TIME_NONE = ("1p", "pre", "baseline", "preexercise", "before", "b"), ("", "blank", "qc", "unknown")
+TIME_TOKENS = (
+    ("time_60", r"(?<![a-z0-9])(?:time[-_ ]?60|r3)(?![a-z0-9.])"),
+    ("time_0", r"(?<![a-z0-9])(?:time[-_ ]?0|r2)(?![a-z0-9.])"),
+    ("pre", r"(?<![a-z0-9])(?:pre[-_ ]?(?:exercise|ex|training)|pre|baseline|before|b)(?![a-z0-9])"),
+)
+
+
+def timepoint(text: Column) -> Column:
+    """pre, time_<label> or unknown, of a factor string or a sample id: a ``Time:`` factor first, then whole tokens."""
+    whole = F.coalesce(text, F.lit(""))
+    factor = F.regexp_replace(F.lower(F.regexp_extract(whole, r"(?i)(?:^|\|)\s*time\s*:\s*([^|]+)", 1)), "[^a-z0-9]+", "")
+    explicit = F.when(factor.isin(*TIME_PRE), F.lit("pre")).when(~factor.isin(*TIME_NONE), F.concat(F.lit("time_"), factor))
+    return F.coalesce(explicit, *[F.when(F.lower(whole).rlike(p), F.lit(name)) for name, p in TIME_TOKENS], F.lit("unknown"))
+
+
+def sample_timepoint(factors: Column, sample: Column) -> Column:
+    """The time of the factors, else of the sample id."""
+    return F.when(timepoint(factors) != "unknown", timepoint(factors)).otherwise(timepoint(sample))
+
+
+def _token(label: Column, token: str) -> Column:
+    return label.rlike(f"(?i)(^|[^A-Za-z0-9]){token}([^A-Za-z0-9]|$)")
+
+
+def _letters(label: Column) -> Column:
+    return F.lower(F.regexp_replace(label, "[^A-Za-z0-9]+", ""))
+
+
+# Exercise groups by parts of the label's letters and digits, or a token of its own.
+EXERCISE_GROUPS = (("EE", "aduendur|endurance"), ("RE", "aduresist|resistance"), ("CON", "aducontrol|control"))
 
 
 def exercise_group(label: Column) -> Column:
-    """EE, RE or CON from a label's whole tokens, else NULL."""
-    token = lambda words: F.lower(F.coalesce(label, F.lit(""))).rlike(f"(^|[^a-z0-9])({words})([^a-z0-9]|$)")
-    return F.when(token("ee|endurance"), F.lit("EE")).when(token("re|resistance"), F.lit("RE")).when(token("con|control"), F.lit("CON"))
+    """EE, RE or CON of an explicit label, else ''."""
+    text = F.coalesce(label, F.lit(""))
+    return F.coalesce(*[F.when(_letters(text).rlike(part) | _token(text, group), F.lit(group)) for group, part in EXERCISE_GROUPS], F.lit(""))
 
 
 def sex_label(label: Column) -> Column:
-    token = lambda words: F.lower(F.coalesce(label, F.lit(""))).rlike(f"(^|[^a-z0-9])({words})([^a-z0-9]|$)")
-    return F.when(token("female|women|f"), F.lit("female")).when(token("male|men|m"), F.lit("male"))
+    """female or male of an explicit label, else ''."""
+    text = F.coalesce(label, F.lit(""))
+    short = [F.when(_letters(text).isin(sex, f"{sex}s") | _token(text, sex[0]), F.lit(sex)) for sex in ("female", "male")]
+    inside = [F.when(text.rlike(f"(?i)(^|[^a-z]){sex}(s)?([^a-z]|$)"), F.lit(sex)) for sex in ("female", "male")]
+    return F.coalesce(*short, *inside, F.lit(""))
 
 
 def name_in_text(term: Column, text: Column) -> Column:

@@ -80,16 +80,55 @@ def exactly_one(df: DataFrame, keys: dict[str, str], expected: dict[str, str]) -
     return hit.agg(F.count("*").alias("rows"), F.array_join(F.array_compact(F.array(*differ)), ";").alias("differing")).withColumn("passed", (F.col("rows") == 1) & (F.col("differing") == ""))
 
 
-# What a review packet must not contain.
-FORBIDDEN_FIELDS = ("executable_command", "auto_accept", "override", "final_decision")
-FORBIDDEN_PHRASES = ("automatically approved", "no human review needed", "definitive proof")
+# Fields that an advisory review packet must not have, and words in field names that mark such fields.
+FORBIDDEN_FIELDS = (
+    "accepted", "rejected", "acceptance", "rejection", "confidence", "approved_transform", "permitted_analysis", "pooling_authorized", "confidence_score", "confidence_scores", "transform", "transforms",
+    "pooling_permission", "pooling_permissions", "pooling_authorization", "risk_of_bias_score", "risk_of_bias_scores", "meta_analytic_result", "meta_analytic_results", "meta_analysis_result",
+    "meta_analysis_results", "pooled_estimate", "pooled_effect", "effect_calculation",
+)
+FORBIDDEN_WORDS = ("acceptance", "rejection", "confidence", "transform")
+# Words that are forbidden together with one of others.
+FORBIDDEN_TOGETHER = (
+    (r"pooling", r"allow|authoriz|combinable|permission"),
+    (r"risk_of_bias", r"score"),
+    (r"meta_analytic|meta_analysis", r"effect|estimate|result"),
+    (r"^pooled_", r"effect|estimate|result"),
+)
+# Fields of time, which would make a packet's digest change.
+TIME_FIELDS = ("created_at", "generated_at", "updated_at", "timestamp")
+# Fields of prose, what is left out of it before it is read, and statements of authority in the rest.
+PROSE_FIELDS = ("intended_use", "detail", "description")
+NEGATED = r"(?i)\b(?:without|cannot|never|must not|do not|does not|did not)\b[^.;!?]*"
+STATEMENTS = (
+    ("acceptance or rejection decision", r"\b(?:accept|reject)(?:s|ed|ing)?\s+(?:(?:this|the|a|an)\s+)?(?:mapping|dataset|study|evidence|candidate)\b|\b(?:mapping|dataset|study|evidence|candidate)\s+(?:(?:is|was|has been|should be|must be|can be|may be|will be)\s+)?(?:accepted|rejected)\b|\b(?:acceptance|rejection)\s+(?:is\s+)?(?:recommended|approved|authorized|final|warranted)\b"),
+    ("confidence score", r"\bconfidence(?:\s+score)?\s*(?:(?:is|=|:)\s*)?(?:0(?:\.\d+)?|1(?:\.0+)?|high|medium|low)\b"),
+    ("approved transform", r"\b(?:transform(?:ation)?\s+(?:is\s+)?(?:approved|authorized|permitted|allowed)|(?:approved|authorized|permitted|allowed)\s+transform)\b"),
+    ("pooling permission", r"\b(?:pooling\s+(?:is\s+)?(?:approved|authorized|permitted|allowed)|(?:approve|authorize|permit|allow)(?:s|ed|ing)?\s+(?:\w+\s+){0,3}pooling)\b"),
+    ("risk-of-bias score", r"\brisk[-_ ]of[-_ ]bias\s+score\s*(?:(?:is|=|:)\s*)?(?:\d+(?:\.\d+)?|high|medium|low)\b"),
+    ("meta-analytic result", r"\b(?:meta[-_ ]analytic\s+(?:result|estimate)|pooled\s+(?:result|estimate|effect))\s*(?:(?:is|=|:)\s*)?\S+"),
+)
 
 
 def packet_violations(packets: DataFrame, key: str, body: str) -> DataFrame:
-    """Forbidden field names and phrases anywhere in nested packets: their JSON text is searched in place."""
-    text = F.lower(F.col(body))
-    found = compact(*[when_flag(text.rlike(f'"{f}"\\s*:'), f"field:{f}") for f in FORBIDDEN_FIELDS], *[when_flag(F.contains(text, F.lit(p)), f"phrase:{p}") for p in FORBIDDEN_PHRASES], when_flag(F.get_json_object(body, "$").isNull(), "not_json"))
-    return packets.select(key, F.explode(found).alias("violation"))
+    """Forbidden fields, time fields and statements of authority anywhere in nested packets, each once a packet.
+
+    Every string of the JSON text is a token; the ones before a colon are its fields, at whatever depth. So packets are
+    searched in place, without a schema and without recursion. A body that is no JSON is a violation of its own.
+    """
+    text = F.coalesce(F.col(body), F.lit(""))
+    token = r'"((?:[^"\\]|\\.)*)"(\s*:)?'
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(token), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(token), F.lit(2)).alias("colon"))
+    fields = F.array_distinct(F.transform(F.filter(parts, lambda p: p["colon"] != ""), lambda p: p["name"]))
+    together = lambda low: reduce(lambda a, b: a | b, [low.rlike(x) & low.rlike(y) for x, y in FORBIDDEN_TOGETHER])
+    forbidden = lambda f: f.isin(*FORBIDDEN_FIELDS) | F.lower(f).rlike("|".join(FORBIDDEN_WORDS)) | together(F.lower(f))
+    of_time = lambda f: f.isin(*TIME_FIELDS) | F.endswith(f, F.lit("_timestamp"))
+    prose = F.regexp_extract_all(text, F.lit(rf'"(?:{"|".join(PROSE_FIELDS)})"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    said = F.transform(prose, lambda v: F.regexp_replace(F.element_at(F.from_json(F.concat(F.lit('["'), v, F.lit('"]')), "array<string>"), 1), NEGATED, ""))
+    tagged = lambda kind, names: F.transform(names, lambda n: F.concat(F.lit(f"{kind}:"), n))
+    states = lambda pattern: F.exists(said, lambda v: v.rlike(f"(?i)(?:{pattern})"))
+    statements = F.array_compact(F.array(*[F.when(states(pattern), F.lit(f"statement:{label}")) for label, pattern in STATEMENTS]))
+    found = F.concat(tagged("field", F.filter(fields, forbidden)), tagged("time", F.filter(fields, of_time)), statements)
+    return packets.select(key, F.explode(F.when(F.try_parse_json(text).isNull(), F.array(F.lit("not_json"))).otherwise(found)).alias("violation"))
 
 
 def resolve_aliases(names: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,16 +113,44 @@ def source_escalations(sources: DataFrame) -> DataFrame:
     return sources.select(F.concat(F.lit("source:"), "source_system").alias("record_key"), kind.alias("escalation")).filter("escalation is not null")
 
 
-# Title screen.
-AMBIGUOUS_TITLE = (r"exercise caution", r"training set", r"training data", r"running buffer", r"cycling conditions", r"thermal cycling")
-TITLE_PATTERNS = (r"\bexercis", r"\btraining\b", r"\bphysical activity\b", r"\bathlet", r"\bendurance\b", r"\bsprint", r"\bmarathon", r"\bcycling\b", r"\brunning\b", r"\btreadmill", r"\bfitness\b", r"\bvo2", r"\bworkout")
+# Phrases in which an exercise word means something else, taken out of a title one after another.
+AMBIGUOUS_PHRASES = (
+    ("training_set_ml", r"\btraining\s*set\b"),
+    ("biosignature_training_ml", r"\bbiosignature\s+training\b"),
+    ("fitness_biological_sense", r"\bfitness\s+to\s+hypoxia\b"),
+    ("breathing_exercises", r"\bbreathing\s+exercises?\b"),
+)
+# Exercise terms, sought in what is left.
+EXERCISE_TERMS = (
+    ("exercise", r"\bexercis(?:e|es|ed|ing)\b"),
+    ("post_exercise", r"\bpost[- ]exercise\b"),
+    ("exercise_induced", r"\bexercise[- ]induced\b"),
+    ("training", r"\btraining\b"),
+    ("training_induced", r"\btraining[- ]induced\b"),
+    ("athlete", r"\bathlet\w*"),
+    ("sport", r"\bsports?\b"),
+    ("endurance", r"\bendurance\b"),
+    ("hiit_or_interval", r"\bhiit\b|\bhigh[- ]intensity\s+interval\b"),
+    ("physical_activity", r"\bphysical\s+activity\b"),
+    ("cardiorespiratory_fitness", r"\bcardiorespiratory\s+fitness\b"),
+    ("marathon_running_cycling", r"\bmarathon\b|\brunning\b|\bcycling\b"),
+    ("resistance_training", r"\bresistance\s+training\b"),
+)
+# Fixed value: the sweep that the screened titles were retrieved by.
+RETRIEVAL_SWEEP = r"exercis|train|fitness|sport|athlet|cardio"
 
 
 def title_screen(title: Column) -> Column:
-    """exercise / ambiguous_only / no_signal: phrases that only look like exercise are taken out first."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    bare = F.regexp_replace(low, "|".join(AMBIGUOUS_TITLE), " ")
-    return F.when(matches_any(bare, TITLE_PATTERNS), "exercise").when(matches_any(low, TITLE_PATTERNS), "ambiguous_only").otherwise("no_signal")
+    """(class, terms, phrases, sweep) of a title: its inference class, the terms and ambiguous phrases in it, joined by ";"."""
+    left, phrases = F.coalesce(title, F.lit("")), []
+    for name, pattern in AMBIGUOUS_PHRASES:
+        phrases.append(F.when(left.rlike(f"(?i){pattern}"), F.lit(name)))
+        left = F.regexp_replace(left, f"(?i){pattern}", " ")
+    terms = [F.when(left.rlike(f"(?i)(?:{pattern})"), F.lit(name)) for name, pattern in EXERCISE_TERMS]
+    some = lambda found: reduce(lambda a, b: a | b, [c.isNotNull() for c in found])
+    kind = F.when(some(terms), "title_supports_exercise_context").when(some(phrases), "title_ambiguous_term_only").otherwise("title_no_exercise_term")
+    sweep = F.coalesce(title.rlike(f"(?i){RETRIEVAL_SWEEP}"), F.lit(False))
+    return F.struct(kind.alias("class"), F.concat_ws(";", *terms).alias("terms"), F.concat_ws(";", *phrases).alias("phrases"), sweep.alias("sweep"))
 
 
 def modality_text_flags(text: Column) -> dict[str, Column]:

@@ -93,14 +93,6 @@ def gate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.gate_rollup(e, "gate", "outcome")
 
 
-@query("packet_violations", """
-SELECT event_id, 'field:override' AS violation FROM events WHERE event_id % 50 = 0""")
-def packet_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forbidden fields in nested packets, found without parsing them into rows."""
-    body = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit('{"a": {"override": true}, "props": '), "props", F.lit("}"))).otherwise(F.col("props"))
-    return ledger.packet_violations(table(spark, sf_dir, "events").select("event_id", body.alias("body")), "event_id", "body")
-
-
 @query("contract_score", """
 SELECT doc_id, (CAST(contains(lower(text), 'the') AND contains(lower(text), 'in') AS INT) + CAST(contains(lower(text), 'idiot') OR contains(lower(text), 'clown') AS INT)) / 2.0::DOUBLE AS score FROM documents""")
 def contract_score(spark: SparkSession, sf_dir: str) -> DataFrame:

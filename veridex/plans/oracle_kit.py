@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def literal(value) -> str:
+    return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+
+
+def example(values: Sequence, number: Column) -> Column:
+    """The value of a fixed list that a row's number leads to."""
+    kind = "bigint" if any(isinstance(v, int) for v in values) else "string"
+    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (number % len(values) + 1).cast("int"))
+
+
+def example_sql(values: Sequence, number: str) -> str:
+    """The same in SQL."""
+    return f"list_extract([{', '.join(map(literal, values))}], CAST({number} % {len(values)} + 1 AS INT))"
+
+
 
 def betainc_cte(source: str, keys: str, steps: int = 200) -> str:
     """CTEs ``lentz`` and ``beta(keys, value)``: the regularised incomplete beta of (a, b, x) rows of ``source``.

@@ -205,40 +205,16 @@ def screen_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
 
 
-@query("title_screen", """
-WITH t AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'Marathon athletes' WHEN 1 THEN 'thermal cycling in a training set' WHEN 2 THEN 'endurance and running buffer' ELSE 'liver lipids' END AS title FROM conversations)
-SELECT CASE WHEN title IN ('Marathon athletes', 'endurance and running buffer') THEN 'exercise' WHEN title LIKE 'thermal%' THEN 'ambiguous_only' ELSE 'no_signal' END AS title_class, count(*) AS n FROM t GROUP BY ALL""")
-def title_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("conv_id") % 4
-    title = F.when(c == 0, "Marathon athletes").when(c == 1, "thermal cycling in a training set").when(c == 2, "endurance and running buffer").otherwise("liver lipids")
-    return table(spark, sf_dir, "conversations").groupBy(screening.title_screen(title).alias("title_class")).agg(F.count("*").alias("n"))
-
-
-@query("url_redact", """
-SELECT page_id, regexp_replace(url || '?q=1&api_key=abc' || page_id || '&email=x@y.z', '([?&](?:api_key|email|mailto|tool_key)=)[^&#]*', '\\1REDACTED', 'g') AS url FROM pages""")
-def url_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat("url", F.lit("?q=1&api_key=abc"), "page_id", F.lit("&email=x@y.z"))
-    return table(spark, sf_dir, "pages").select("page_id", X.redact_url(url).alias("url"))
-
-
 @query("html_text_length", """
-WITH u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS h FROM pages),
+WITH u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS h FROM pages),
 s AS (SELECT page_id, regexp_replace(h, '<[^>]+>', ' ', 'g') AS h FROM u),
-v AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS h FROM s)
+v AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(h, '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS h FROM s)
 SELECT page_id, length(trim(regexp_replace(h, '\\s+', ' ', 'g'))) AS n, md5(trim(regexp_replace(h, '\\s+', ' ', 'g'))) AS digest FROM v""")
 def html_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = X.html_text(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("bigint").alias("n"), F.md5(text).alias("digest"))
 
 
-@query("namespace_infer", """
-SELECT CASE p_partkey % 6 WHEN 0 THEN 'hmdb' WHEN 1 THEN 'chebi' WHEN 2 THEN 'kegg_compound' WHEN 3 THEN 'mw_study' WHEN 4 THEN 'pmcid' ELSE NULL END AS namespace, count(*) AS n FROM part GROUP BY ALL""")
-def namespace_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    x = F.when(k % 6 == 0, F.concat(F.lit("HMDB"), F.lpad(k.cast("string"), 7, "0"))).when(k % 6 == 1, F.concat(F.lit("CHEBI:"), k)).when(k % 6 == 2, F.concat(F.lit("C"), F.lpad(k.cast("string"), 5, "0"))).when(k % 6 == 3, F.concat(F.lit("ST"), F.lpad(k.cast("string"), 6, "0"))).when(k % 6 == 4, F.concat(F.lit("PMC"), k)).otherwise(F.lit("plain name"))
-    return table(spark, sf_dir, "part").groupBy(X.namespace(x).alias("namespace")).agg(F.count("*").alias("n"))
-
-
 @query("json_props", """
 SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL""")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,13 +230,3 @@ def factor_map_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("Time: T"), F.col("user_id") % 3, F.lit(" | Sex: early | junk | SEX: late"))
     m = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("grp"), factor_map(raw).alias("m"))
     return m.groupBy("grp", F.col("m")["time"].alias("timepoint"), F.col("m")["sex"].alias("sex")).agg(F.count("*").alias("n"))
-
-
-@query("timepoint_labels", """
-SELECT CASE o_orderkey % 5 WHEN 0 THEN 'pre' WHEN 1 THEN 'time_60min' WHEN 2 THEN 'time_0' WHEN 3 THEN 'pre' ELSE NULL END AS timepoint, count(*) AS n FROM orders GROUP BY ALL""")
-def timepoint_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    explicit = F.when(k == 0, "Baseline").when(k == 1, "60 min").when(k == 4, "QC").otherwise("")
-    factors = F.when(k == 2, "Visit:R2").otherwise("Visit:none")
-    sample = F.when(k == 3, "S01_pre_1").otherwise("S01_x")
-    return table(spark, sf_dir, "orders").groupBy(X.timepoint(explicit, factors, sample).alias("timepoint")).agg(F.count("*").alias("n"))

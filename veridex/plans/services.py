@@ -13,16 +13,6 @@ from ..registry import query, table
 from ..sources import responses
 
 
-@query("classify_responses", """
-SELECT CASE event_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_hits' WHEN 2 THEN 'request_rejected' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'unavailable' ELSE 'unavailable' END AS status, count(*) AS n FROM events GROUP BY ALL""")
-def classify_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ok, no hits, rejected or unavailable: a failed source is never zero hits."""
-    k = F.col("event_id") % 6
-    status = F.when(k == 2, 404).when(k == 3, 503).when(k == 5, None).otherwise(200)
-    body = F.when(k == 0, F.col("props")).when(k == 1, " [] ").when(k == 4, "<html>busy</html>")
-    return table(spark, sf_dir, "events").groupBy(responses.classify(status, F.when(k == 4, "text/html").otherwise("application/json"), body).alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("unwrap_json_shapes", """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) + unnest(CASE event_id % 5 WHEN 0 THEN [0] WHEN 1 THEN [0, 1] WHEN 2 THEN [0, 1] WHEN 3 THEN [0] ELSE [] END) AS k FROM events""")
 def unwrap_json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,30 +8,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled, record_key
+from ..functions.text import record_key
+
+
+def _row_count(body: Column, nested: Column | None = None) -> Column:
+    """Objects in a JSON body: of a list, of a list's lists where ``nested``, of one object that isn't empty; else 0."""
+    is_object = lambda x: F.ltrim(x).startswith("{")
+    items = F.from_json(body, "array<string>")
+    inner = lambda x: F.coalesce(F.size(F.filter(F.from_json(x, "array<string>"), is_object)), F.lit(0))
+    own = F.size(F.filter(items, is_object))
+    listed = own if nested is None else F.when(nested, F.aggregate(items, F.lit(0), lambda n, x: n + F.when(F.ltrim(x).startswith("["), inner(x)).otherwise(is_object(x).cast("int")))).otherwise(own)
+    return F.when(body.startswith("["), listed).when(body.startswith("{"), (~body.rlike(r"\A\{\s*\}\z")).cast("int")).otherwise(0)
+
+
+def _is_json(body: Column) -> Column:
+    return F.try_parse_json(body).isNotNull()
 
 
 def classify(status: Column, content_type: Column, body: Column) -> Column:
-    """ok / no_hits / request_rejected / unavailable."""
-    text = F.trim(F.coalesce(body, F.lit("")))
-    html = F.lower(content_type).contains("html") | F.lower(F.substring(text, 1, 15)).startswith("<!doctype") | F.lower(F.substring(text, 1, 15)).startswith("<html")
+    """ok / no_hits / request_rejected / unavailable. The service answers 200 for bad requests and misses alike, so the body
+    decides: HTML rejects a request, an empty or broken body is a failed source, JSON without a row is no hit."""
+    text = F.regexp_replace(F.coalesce(body, F.lit("")), r"^\s+|\s+$", "")
+    page = F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("text/html")) | text.startswith("<")
     return (
-        F.when(status.isNull() | (status >= 500) | (status == 429), "unavailable").when(status.between(400, 499), "request_rejected").when(html, "unavailable")
-        .when(text.isin("", "[]", "{}", "null", '""'), "no_hits").otherwise("ok")
+        F.when(status.isNull() | (status >= 400) | (text == ""), "unavailable").when(page, "request_rejected")
+        .when(~_is_json(text), "unavailable").when(_row_count(text) == 0, "no_hits").otherwise("ok")
     )
 
 
-def classify_gene(status: Column, content_type: Column, body: Column) -> Column:
-    """As classify, for a service that answers 500 for unknown genes and puts warnings before its JSON."""
-    text = F.trim(F.coalesce(body, F.lit("")))
-    tail = F.regexp_extract(text, r"(?s)([\[{].*)$", 1)
-    mixed = text.startswith("<") & (F.get_json_object(tail, "$").isNotNull())
+def _json_tail(text: Column) -> Column:
+    """Whether a body ends in a whole JSON list or object that starts at some bracket of it."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i: F.substring(text, i, F.lit(1)).isin("[", "{"))
+    return F.when(text.rlike(r"[\]}]\z"), F.exists(at, lambda i: _is_json(F.substring(text, i, F.length(text))))).otherwise(F.lit(False))
+
+
+def classify_gene(status: Column, body: Column, nested: Column | None = None) -> Column:
+    """As classify, for a service that answers 500 for unknown genes, empty bodies for unknown terms, and HTML before the JSON
+    of a partial answer, which must not be read as a whole one. ``nested`` tells where rows come in lists of lists."""
+    text = F.regexp_replace(F.coalesce(body, F.lit("")), r"^\s+|\s+$", "")
+    page = F.when(_json_tail(text), "unavailable").when(F.contains(F.lower(text), F.lit("no summaries found")), "gene_not_annotated").otherwise("unavailable")
     return (
-        F.when(status == 500, "gene_unresolved_or_source_error").when(status.isNull() | (status > 500) | (status == 429), "unavailable").when(status.between(400, 499), "request_rejected")
-        .when(mixed | text.startswith("<"), "unavailable").when(text == "", "indeterminate_empty_body").when(text.isin("[]", "{}", "[[]]"), "gene_not_annotated").otherwise("ok")
+        F.when(status.isNull() | (status == 403), "unavailable").when(status == 500, "gene_unresolved_or_source_error").when(status >= 400, "unavailable")
+        .when(text == "", "indeterminate_empty_body").when(text.startswith("<"), page)
+        .when(~_is_json(text), "unavailable").when((text == "null") | (_gene_rows(text, nested) == 0), "no_hits").otherwise("ok")
     )
 
 
+def _gene_rows(text: Column, nested: Column | None) -> Column:
+    """An object is a row of its own here, an empty one too."""
+    return F.when(text.startswith("{"), 1).otherwise(_row_count(text, nested))
+
+
 def unwrap_rows(body: Column, row_schema: str) -> Column:
     """Rows of the shapes {"1": {...}}, {"Row1": {...}}, {...} and [{...}] as one array; {} has no row."""
     as_list = F.from_json(body, f"array<struct<{row_schema}>>")
@@ -87,10 +114,14 @@ def bibliographic(df: DataFrame, source_system: str, fields: dict[str, str]) ->
 
 
 def link_preprints(records: DataFrame, links: DataFrame) -> DataFrame:
-    """Preprint rows take server and published DOI from their link; other rows stay."""
+    """Preprint rows take server and published DOI from their link; what other rows say of these stays."""
     l = links.select(F.lower("doi").alias("_d"), F.col("published_doi").alias("_p"), F.col("server").alias("_s")).dropDuplicates(["_d"])  # noqa: E741
     out = records.join(l, F.lower("doi") == F.col("_d"), "left")
-    return out.withColumn("linked_published_doi", F.coalesce("_p", first_filled(F.lit(None)))).withColumn("preprint_server", F.col("_s")).withColumn("is_preprint", F.col("_d").isNotNull()).drop("_d", "_p", "_s")
+    had = lambda c, kind: F.col(c) if c in records.columns else F.lit(None).cast(kind)
+    return out.withColumns({
+        "linked_published_doi": F.coalesce("_p", had("linked_published_doi", "string")), "preprint_server": F.coalesce("_s", had("preprint_server", "string")),
+        "is_preprint": F.col("_d").isNotNull() | F.coalesce(had("is_preprint", "boolean"), F.lit(False)),
+    }).drop("_d", "_p", "_s")
 
 
 def retrieval_state(pages: DataFrame) -> DataFrame:
