@@ -49,15 +49,28 @@ def _lookup(c: Column, table: dict, value) -> Column:
     return reduce(lambda a, kv: F.when(c == kv[0], F.lit(value(kv[1]))).otherwise(a), table.items(), F.lit(None))
 
 
+#: What a pair needs of a record; its own blockers are found before pairing.
+PAIRED = (
+    "feature_id", "ids", "resolution", "msi_level_1", "authentic_standard", "quantitation_type", "scale", "dimension", "sample_matrix", "calibration_model", "calibration_traceability", "internal_standard", "reference_material",
+    "platform_family", "method_id", "assay_version", "bridges", "loq", "loq_base", "provenance", "integrity", "limits", "hard", "qaqc", "qaqc_hard",
+)
+
+
 def normalised(records: DataFrame) -> DataFrame:
-    """Identifiers in one spelling, and the unit's dimension and factor."""
+    """Identifiers in one spelling, the unit's dimension and factor, and the blockers that a record has by itself."""
     unit = norm_unit(F.col("unit"))
     ids = F.transform("ids", lambda x: F.struct(norm_scheme(x["scheme"]).alias("scheme"), norm_identifier(x["scheme"], x["value"]).alias("value"), x["resolution"].alias("resolution")))
     loq = norm_unit(F.col("loq_unit"))
-    return records.withColumns({
+    known = records.withColumns({
         "ids": ids, "dimension": _lookup(unit, UNITS, lambda v: v[0]).cast("string"), "factor": _lookup(unit, UNITS, lambda v: v[1]).cast("double"),
         "loq_dimension": _lookup(loq, UNITS, lambda v: v[0]).cast("string"), "loq_base": F.col("loq") * _lookup(loq, UNITS, lambda v: v[1]).cast("double"),
     })
+    own = lambda rules: F.array_compact(F.array(*[F.when(cond, F.concat("feature_id", F.lit(f":{name}"))) for cond, name in rules]))
+    return known.withColumns({
+        "provenance": own([(~_yes(F.col("provenance_resolved")), "unresolved_identity_provenance")]), "integrity": own(_integrity(F.col)), "limits": own(_limits(F.col)),
+        "hard": _yes((F.col("missing_fraction") > POLICY["hard_missing"]) | _imputed(F.col) | _imputing(F.col) | _wrong_unit(F.col)),
+        "qaqc": own(_qaqc_rules(F.col)), "qaqc_hard": reduce(lambda a, b: a | b, [_yes(cond) for cond, _ in _hard_rules(F.col)]),
+    }).select(*PAIRED)
 
 
 def candidates(records: DataFrame) -> DataFrame:
@@ -75,15 +88,6 @@ def paired(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return checked.join(records.select(F.col("feature_id").alias("left_id"), whole.alias("l")), "left_id").join(records.select(F.col("feature_id").alias("right_id"), whole.alias("r")), "right_id")
 
 
-def _both(check, sides=("l", "r")) -> list[Column]:
-    """``check(get)`` of each side: a list of NULL or "<feature>:<blocker>"."""
-    out = []
-    for side in sides:
-        get = lambda c, side=side: F.col(f"{side}.{c}")
-        out += [F.when(cond, F.concat(get("feature_id"), F.lit(f":{name}"))) for cond, name in check(get)]
-    return out
-
-
 def _identity() -> dict[str, Column]:
     of = lambda side, scheme: F.array_distinct(F.transform(F.filter(F.col(f"{side}.ids"), lambda x: x["scheme"] == scheme), lambda x: x["value"]))
     lk, rk = of("l", "inchikey"), of("r", "inchikey")
@@ -98,12 +102,12 @@ def _identity() -> dict[str, Column]:
     conflict = reduce(lambda a, b: a | b, [(F.size(of("l", s)) > 0) & (F.size(of("r", s)) > 0) & ~F.arrays_overlap(of("l", s), of("r", s)) for s in SCHEMES])
     proven = _yes(F.col("l.msi_level_1") & F.col("r.msi_level_1") & F.col("l.authentic_standard") & F.col("r.authentic_standard"))
     none = F.size(shared) == 0
-    blockers = _both(lambda g: [(~_yes(g("provenance_resolved")), "unresolved_identity_provenance")]) + [
+    blockers = [
         F.when(clash, F.when(F.arrays_overlap(blocks(lk), blocks(rk)), F.lit("inchikey_layer_conflict")).otherwise(F.lit("inchikey_structure_conflict"))),
         F.when(~clash & none, F.lit("identity_not_machine_resolved")), F.when(~clash & ~none & conflict, F.lit("cross_identifier_conflict")),
         F.when(~clash & ~none & ~exact, F.lit("isomer_or_stereochemistry_unresolved")), F.when(~clash & ~none & ~proven, F.lit("msi_level_1_evidence_required")),
     ]
-    found = F.array_compact(F.array(*blockers))
+    found = F.concat("l.provenance", "r.provenance", F.array_compact(F.array(*blockers)))
     status = F.when(clash, "non_combinable").when(none | (F.size(found) > 0), "requires_human_review").otherwise("accepted")
     confidence = F.when(clash, 0.05).when(none, 0.20).when(F.size(found) == 0, 0.98).when(exact, 0.72).otherwise(0.55)
     return {"identity_status": status, "identity_confidence": confidence, "identity_blockers": found, "canonical_identity": F.coalesce(best["identity"], F.lit("not_established"))}
@@ -122,28 +126,38 @@ def _integrity(g) -> list[tuple[Column, str]]:
     ]
 
 
+def _imputing(g) -> Column:
+    return g("censoring_policy").isin("half_limit_imputed", "zero_imputed", "minimum_value_imputed") & ~_yes(g("unimputed_available"))
+
+
+def _wrong_unit(g) -> Column:
+    """A limit in another dimension than its record's; it only counts where both records have one dimension."""
+    return g("loq").isNotNull() & (g("loq_dimension").isNull() | (g("loq_dimension") != g("dimension")))
+
+
+def _limits(g) -> list[tuple[Column, str]]:
+    return _integrity(g) + [
+        (_imputing(g), "irreversible_below_limit_imputation"), (g("censoring_policy") == "none_expected", "absolute_concentration_censoring_not_defined"), (g("censoring_policy") == "unknown", "below_limit_policy_unknown"),
+        (~_yes(g("censoring_flags")), "below_limit_flags_unavailable"), (_missing(g("below_limit_code")), "below_limit_code_missing"), (g("loq").isNull(), "loq_not_reported"), (_wrong_unit(g), "loq_unit_incompatible"),
+        (_missing(g("calibration_model")) | _missing(g("calibration_traceability")), "calibration_traceability_missing"),
+    ]
+
+
 def _quantity() -> dict[str, Column]:
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     absolute = (l("quantitation_type") == "absolute_concentration") & (r("quantitation_type") == "absolute_concentration")
     linear, known = (l("scale") == "linear") & (r("scale") == "linear"), l("dimension").isNotNull() & r("dimension").isNotNull()
     same_dimension, same_matrix = l("dimension") == r("dimension"), F.lower(F.trim(l("sample_matrix"))) == F.lower(F.trim(r("sample_matrix")))
     differ = lambda c: F.coalesce(F.trim(l(c)), F.lit("")) != F.coalesce(F.trim(r(c)), F.lit(""))
-    imputing = lambda g: g("censoring_policy").isin("half_limit_imputed", "zero_imputed", "minimum_value_imputed") & ~_yes(g("unimputed_available"))
-    wrong_unit = lambda g: g("loq").isNotNull() & (g("loq_dimension").isNull() | (g("loq_dimension") != l("dimension")))
-    limits = lambda g: _integrity(g) + [
-        (imputing(g), "irreversible_below_limit_imputation"), (g("censoring_policy") == "none_expected", "absolute_concentration_censoring_not_defined"), (g("censoring_policy") == "unknown", "below_limit_policy_unknown"),
-        (~_yes(g("censoring_flags")), "below_limit_flags_unavailable"), (_missing(g("below_limit_code")), "below_limit_code_missing"), (g("loq").isNull(), "loq_not_reported"), (wrong_unit(g), "loq_unit_incompatible"),
-        (_missing(g("calibration_model")) | _missing(g("calibration_traceability")), "calibration_traceability_missing"),
-    ]
     same_method = ~(differ("method_id") | differ("assay_version") | differ("platform_family"))
     bridged = F.size(F.array_intersect(l("bridges"), r("bridges"))) > 0
     whole = [F.when(differ(c), F.lit(n)) for c, n in (("calibration_model", "calibration_models_differ"), ("calibration_traceability", "calibration_traceability_differs"), ("internal_standard", "internal_standards_differ"), ("reference_material", "reference_materials_differ"))]
     whole.append(F.when(~same_method & ~bridged, F.lit("unbridged_assay_methods")))
-    full = F.array_compact(F.array(*_both(limits), *whole))
-    bare = F.array_compact(F.array(F.when(l("quantitation_type") != r("quantitation_type"), F.lit("quantitation_type_incompatible")).otherwise(F.lit("non_absolute_values_not_poolable")), *_both(_integrity)))
+    full = F.concat(l("limits"), r("limits"), F.array_compact(F.array(*whole)))
+    bare = F.concat(F.array(F.when(l("quantitation_type") != r("quantitation_type"), F.lit("quantitation_type_incompatible")).otherwise(F.lit("non_absolute_values_not_poolable"))), l("integrity"), r("integrity"))
     one = lambda name: F.array(F.lit(name))
     blockers = F.when(~absolute, bare).when(~linear, one("nonlinear_or_unknown_scale")).when(~known, one("unit_not_in_registry")).when(~same_dimension, one("concentration_dimension_mismatch")).when(~same_matrix, one("biospecimen_matrix_incompatible")).otherwise(full)
-    hard = reduce(lambda a, b: a | b, [_yes((g("missing_fraction") > POLICY["hard_missing"]) | _imputed(g) | imputing(g) | wrong_unit(g)) for g in (l, r)])
+    hard = l("hard") | r("hard")
     review = absolute & (~linear | ~known | ~same_dimension)
     status = F.when(~absolute | (absolute & ~review & ~same_matrix) | (absolute & ~review & hard), "non_combinable").when(review | (F.size(blockers) > 0), "requires_human_review").otherwise("accepted")
     confidence = F.when(~absolute, 0.10).when(~linear, 0.45).when(~known, 0.40).when(~same_dimension, 0.35).when(~same_matrix, 0.10).when(hard, 0.15).when(F.size(blockers) > 0, 0.60).otherwise(0.94)
@@ -151,17 +165,22 @@ def _quantity() -> dict[str, Column]:
     return {"quantity_status": status, "quantity_confidence": confidence, "quantity_blockers": blockers, "common_unit": F.when(known & same_dimension, _lookup(l("dimension"), COMMON, lambda v: v[0])), "common_loq": F.when(known & same_dimension & ~hard & l("loq").isNotNull() & r("loq").isNotNull(), base / _lookup(l("dimension"), COMMON, lambda v: v[1]))}
 
 
-def _qaqc() -> dict[str, Column]:
-    limit = lambda g: F.when(g("platform_family") == "lc_ms_targeted", POLICY["cv_targeted"]).otherwise(POLICY["cv_other"])
-    hard_rules = lambda g: [(g("qc_cv") > limit(g), "qc_cv_exceeds_threshold"), (g("correction_scope") == "cross_study", "cross_study_batch_correction")]
-    rules = lambda g: hard_rules(g) + [
+def _hard_rules(g) -> list[tuple[Column, str]]:
+    limit = F.when(g("platform_family") == "lc_ms_targeted", POLICY["cv_targeted"]).otherwise(POLICY["cv_other"])
+    return [(g("qc_cv") > limit, "qc_cv_exceeds_threshold"), (g("correction_scope") == "cross_study", "cross_study_batch_correction")]
+
+
+def _qaqc_rules(g) -> list[tuple[Column, str]]:
+    return _hard_rules(g) + [
         (g("qc_cv").isNull(), "qc_precision_not_reported"), (_missing(g("run_order")) | g("run_randomized").isNull(), "run_order_not_documented"), (~_yes(g("pooled_qc")) | _missing(g("pooled_qc_frequency")), "pooled_qc_schedule_missing"),
         (~_yes(g("drift_evaluated")), "analytical_drift_not_evaluated"), (_yes(g("drift_evaluated")) & _missing(g("drift_method")), "drift_evaluation_method_missing"), ((g("batch_count") > 1) & _missing(g("batch_id")), "batch_identifier_missing"),
         ((g("batch_count") > 1) & (g("correction_scope") != "within_study"), "within_study_batch_processing_required"), (~_yes(g("blanks_documented")), "blank_qc_not_documented"), (_missing(g("reference_material")), "reference_material_not_documented"),
         (g("platform_family").isin(*NEEDS_STANDARD) & _missing(g("internal_standard")), "internal_standard_not_documented"),
     ]
-    found = F.array_compact(F.array(*_both(rules)))
-    hard = F.size(F.array_compact(F.array(*_both(hard_rules)))) > 0
+
+
+def _qaqc() -> dict[str, Column]:
+    found, hard = F.concat("l.qaqc", "r.qaqc"), F.col("l.qaqc_hard") | F.col("r.qaqc_hard")
     return {"qaqc_status": F.when(hard, "non_combinable").when(F.size(found) > 0, "requires_human_review").otherwise("accepted"), "qaqc_confidence": F.when(hard, 0.20).when(F.size(found) > 0, 0.65).otherwise(0.95), "qaqc_blockers": found}
 
 
@@ -186,5 +205,29 @@ def decide(pairs: DataFrame, records: DataFrame, from_candidates: bool = False)
     return rows.select("left_id", "right_id", "status", permitted.alias("permitted_analysis"), confidence.alias("confidence"), "canonical_identity", "identity_status", "quantity_status", "qaqc_status", F.when(F.col("status") == "accepted", F.col("common_unit")).alias("common_unit"), F.when(F.col("status") == "accepted", F.col("common_loq")).alias("common_loq"), "blockers", level.alias("analysis_level"))
 
 
+# Strata and diagnostics that a combination of studies must report; they are declared here, not computed.
+STRATA = ("study_id", "platform_family", "assay_id", "sample_matrix")
+DIAGNOSTICS = ("Cochran_Q", "I2", "tau2", "platform_moderator_meta_regression", "leave_one_study_out", "leave_one_platform_out")
+
+
+def heterogeneity_plan(decisions: DataFrame) -> DataFrame:
+    """Each decided pair with the level of its analysis, what to stratify by and which diagnostics it must report."""
+    constant = lambda values: F.array(*[F.lit(v) for v in values])
+    return decisions.select("left_id", "right_id", "analysis_level", constant(STRATA).alias("stratify_by"), constant(DIAGNOSTICS).alias("required_diagnostics"))
+
+
+def artifacts(decisions: DataFrame) -> dict[str, DataFrame]:
+    """The decisions in three tables by status; only accepted ones keep their transform. audit() has their digests."""
+    parts = {"accepted": "accepted", "review": "requires_human_review", "non_combinable": "non_combinable"}
+    return {name: decisions.filter(F.col("status") == status) for name, status in parts.items()}
+
+
+def audit(decisions: DataFrame) -> DataFrame:
+    """Per status: pairs, and a digest of their rows that their order doesn't change."""
+    row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(decisions.columns)])), 256)
+    sums = [F.sum(F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]  # added up, so no row list is held
+    return decisions.groupBy("status").agg(F.count("*").alias("pairs"), F.sha2(F.concat_ws("|", *sums), 256).alias("digest"))
+
+
 def summary(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.count("*").alias("pairs"), *[F.count_if(F.col("status") == s).alias(s) for s in ("accepted", "requires_human_review", "non_combinable")])

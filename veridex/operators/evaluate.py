@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import logistic, ratio, wilson
+from .relational import dimension
 
 
 def confusion(df: DataFrame, actual: Column, predicted: Column, by=()) -> DataFrame:
@@ -52,7 +53,7 @@ def fit_discriminant(long: DataFrame, label: str, feature: str, value: str, floo
 
 def score_discriminant(long: DataFrame, model: DataFrame, key: str, feature: str, value: str, min_features: int) -> DataFrame:
     """Log odds over the features a row has; too few of them, or a sum that is not finite, gives an abstention (NULL)."""
-    m = F.broadcast(model)  # a row for each feature of the allow-list
+    m = dimension(model)  # a row for each feature of the allow-list
     z = (F.col(value) - F.col("centre")) / F.col("scale")
     term = z * F.col("coefficient") - (F.col("centroid1") * F.col("centroid1") - F.col("centroid0") * F.col("centroid0")) / 2
     found = long.filter(F.col(value).isNotNull()).join(m, feature).groupBy(key).agg(F.count("*").alias("features"), F.sum(term).alias("_t"), F.first(F.log(F.col("n1") / F.col("n0"))).alias("_prior"))
@@ -86,41 +87,71 @@ def invalid_predictions(scored: DataFrame) -> DataFrame:
 OUTCOMES = ("missing_prediction", "unexpected_prediction", "scope_status_mismatch", "common_variable_mismatch", "review_status_mismatch", "quality_score_not_reported", "quality_score_outside_tolerance", "unsafe_auto_accept", "correct")
 
 
+MISSING_MAPPING = "not_mapped"
+
+
+def _mapped(side: str, *statuses: str) -> Column:
+    """Rows of a side (p or g) that map to something under one of the statuses."""
+    return F.coalesce((F.col(f"{side}_common_variable") != MISSING_MAPPING) & F.col(f"{side}_review_status").isin(*statuses), F.lit(False))
+
+
 def mapping_cases(joined: DataFrame) -> DataFrame:
-    """Cases of a full outer join of mappings (p_/g_ common_variable and review_status) with their first outcome."""
-    unsafe = (F.col("p_review_status") == "accepted") & (F.col("g_review_status") != "accepted")
-    outcome = (
-        F.when(~F.col("in_predicted"), "missing_prediction").when(~F.col("in_gold"), "unexpected_prediction").when(~F.col("p_common_variable").eqNullSafe(F.col("g_common_variable")), "common_variable_mismatch")
-        .when(unsafe, "unsafe_auto_accept").when(~F.col("p_review_status").eqNullSafe(F.col("g_review_status")), "review_status_mismatch").otherwise("correct")
-    )
-    return joined.withColumn("outcome", outcome)
+    """Cases of a full outer join of mappings (p_/g_ common_variable and review_status) with all reasons and the first as outcome."""
+    both = F.col("in_predicted") & F.col("in_gold")
+    differ = lambda c: both & ~F.col(f"p_{c}").eqNullSafe(F.col(f"g_{c}"))
+    confirmed = both & F.coalesce(F.col("g_review_status") == "accepted", F.lit(False)) & ~differ("common_variable")
+    found = {
+        "missing_prediction": ~F.col("in_predicted"), "unexpected_prediction": ~F.col("in_gold"), "common_variable_mismatch": differ("common_variable"), "review_status_mismatch": differ("review_status"),
+        "unsafe_auto_accept": _mapped("p", "accepted") & ~confirmed,
+    }
+    reasons = F.array_compact(F.array(*[F.when(found[o], F.lit(o)) for o in OUTCOMES if o in found]))
+    return joined.withColumn("reason_codes", F.array_join(reasons, ";")).withColumn("outcome", F.when(F.size(reasons) > 0, reasons[0]).otherwise("correct"))
+
+
+def _rates(counts: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """(metric, hits, total, value, low, high, undefined_reason) of count columns h_ and t_; the value has three decimals."""
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"h_{m}").alias("hits"), F.col(f"t_{m}").alias("total")) for m in names])
+    long = counts.select(*more, F.explode(rows).alias("x")).select(*more, "x.*")
+    low, high = wilson(F.col("hits"), F.col("total"))
+    return long.withColumns({"value": F.round(ratio(F.col("hits"), F.col("total")), 3), "low": F.round(low, 6), "high": F.round(high, 6), "undefined_reason": F.when(F.col("total") == 0, "zero_denominator")})
 
 
 def mapping_metrics(joined: DataFrame) -> DataFrame:
-    """Benchmark metrics from one pass over the joined cases: (metric, hits, total, value, low, high), value NULL over nothing."""
-    p, g = F.col("p_review_status"), F.col("g_review_status")
-    mapped_p, mapped_g = F.col("p_common_variable") != "not_mapped", F.col("g_common_variable") != "not_mapped"
-    candidate = F.coalesce(mapped_p & p.isin("accepted", "requires_human_review"), F.lit(False))
-    wanted = F.coalesce(mapped_g & (g != "rejected"), F.lit(False))
-    same = F.coalesce((F.col("p_common_variable") == F.col("g_common_variable")), F.lit(False))
-    auto, review_gold = F.coalesce(mapped_p & (p == "accepted"), F.lit(False)), F.coalesce(mapped_g & (g == "requires_human_review"), F.lit(False))
+    """The eight mapping metrics from one pass over the joined cases. A hit is the same variable under the same status."""
+    same = F.coalesce((F.col("p_common_variable") == F.col("g_common_variable")) & (F.col("p_review_status") == F.col("g_review_status")), F.lit(False))
+    candidate, wanted = _mapped("p", "accepted", "requires_human_review"), _mapped("g", "accepted", "requires_human_review")
+    auto, auto_gold, review_gold = _mapped("p", "accepted"), _mapped("g", "accepted"), _mapped("g", "requires_human_review")
     pairs = {
-        "candidate_precision": (candidate & wanted & same, candidate), "candidate_recall": (candidate & wanted & same, wanted), "auto_accept_precision": (auto & same & F.coalesce(g == "accepted", F.lit(False)), auto),
-        "unsafe_auto_accept_rate": (auto & F.coalesce(g != "accepted", F.lit(True)), auto), "review_capture": (review_gold & same & F.coalesce(p == "requires_human_review", F.lit(False)), review_gold),
-        "status_accuracy": (F.col("in_gold") & same & F.coalesce(p == g, F.lit(False)), F.col("in_gold")),
+        "candidate_precision": (candidate & wanted & same, candidate), "candidate_recall": (candidate & wanted & same, wanted), "auto_accept_precision": (auto & auto_gold & same, auto), "auto_accept_recall": (auto & auto_gold & same, auto_gold),
+        "unsafe_auto_accept_rate": (auto & ~(auto_gold & same), auto), "review_capture_rate": (review_gold & same, review_gold), "review_status_accuracy": (F.col("in_gold") & same, F.col("in_gold")),
     }
-    one = joined.agg(*[F.count_if(h).alias(f"h_{m}") for m, (h, _) in pairs.items()], *[F.count_if(t).alias(f"t_{m}") for m, (_, t) in pairs.items()])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"h_{m}").alias("hits"), F.col(f"t_{m}").alias("total")) for m in pairs])).alias("x")).select("x.*")
-    low, high = wilson(F.col("hits"), F.col("total"))
-    return long.withColumns({"value": F.round(ratio(F.col("hits"), F.col("total")), 6), "low": low, "high": high, "undefined_reason": F.when(F.col("total") == 0, "zero_denominator")})
+    counts = joined.agg(*[F.count_if(h).alias(f"h_{m}") for m, (h, _) in pairs.items()], *[F.count_if(t).alias(f"t_{m}") for m, (_, t) in pairs.items()])
+    # derived of both, so without an interval: 2 tp / (2 tp + fp + fn), where tp + fp and tp + fn are the two totals
+    whole = F.col("t_candidate_precision") + F.col("t_candidate_recall")
+    f1 = counts.select(F.lit("candidate_f1").alias("metric"), (2 * F.col("h_candidate_precision")).alias("hits"), whole.alias("total"))
+    f1 = f1.withColumns({"value": F.round(ratio(F.col("hits"), F.col("total")), 3), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "undefined_reason": F.when(F.col("total") == 0, "zero_denominator")})
+    return _rates(counts, list(pairs)).unionByName(f1)
+
+
+def quality_metrics(joined: DataFrame, tolerance: str = "0.15", provided: bool = True) -> DataFrame:
+    """Score agreement within an inclusive decimal tolerance, and accuracy of the scope; a missing prediction is a failure."""
+    gold, pred, scope = F.col("g_overall_score").cast("decimal(10,6)"), F.col("p_overall_score").cast("decimal(10,6)"), F.col("g_scope_status")
+    scored = F.col("in_gold") & F.coalesce(scope != "out_of_scope_non_human", F.lit(True))
+    declared = F.col("in_gold") & F.coalesce(scope != "not_declared", F.lit(False))
+    pairs = {
+        f"quality_score_agreement_within_{tolerance}": (scored & F.coalesce(F.abs(pred - gold) <= F.lit(tolerance).cast("decimal(10,6)"), F.lit(False)), scored),
+        "scope_status_accuracy": (declared & F.coalesce(F.col("p_scope_status") == scope, F.lit(False)), declared),
+    }
+    names = [m.replace(".", "_") for m in pairs]
+    counts = joined.agg(*[F.count_if(h).alias(f"h_{n}") for n, (h, _) in zip(names, pairs.values())], *[F.count_if(t).alias(f"t_{n}") for n, (_, t) in zip(names, pairs.values())], F.count_if("in_gold").alias("gold"))
+    none = F.when(F.lit(not provided), "quality_inputs_not_provided").when((F.col("total") == 0) & (F.col("metric") == names[1]) & (F.col("gold") > 0), "scope_status_not_declared_in_gold").otherwise(F.col("undefined_reason"))
+    rates = _rates(counts, names, "gold").withColumn("undefined_reason", none).drop("gold")
+    return rates.withColumn("metric", F.when(F.col("metric") == names[0], list(pairs)[0]).otherwise(F.col("metric")))
 
 
-def quality_agreement(joined: DataFrame, tolerance: str = "0.15") -> DataFrame:
-    """Scores within an inclusive decimal tolerance; out-of-scope rows don't count, a missing prediction is a failure."""
-    gold, pred = F.col("g_overall_score").cast("decimal(10,6)"), F.col("p_overall_score").cast("decimal(10,6)")
-    counts = F.col("in_gold") & (F.coalesce("g_scope_status", F.lit("in_scope_human")) != "out_of_scope_non_human") & gold.isNotNull()
-    hit = F.coalesce(F.abs(pred - gold) <= F.lit(tolerance).cast("decimal(10,6)"), F.lit(False))
-    return joined.agg(F.count_if(counts & hit).alias("hits"), F.count_if(counts).alias("total")).withColumn("value", F.round(ratio(F.col("hits"), F.col("total")), 6))
+def benchmark_metrics(mappings: DataFrame, quality: DataFrame) -> DataFrame:
+    """All ten metrics of a benchmark run."""
+    return mapping_metrics(mappings).unionByName(quality_metrics(quality))
 
 
 def gate_rollup(tests: DataFrame, gate: str, outcome: str) -> DataFrame:

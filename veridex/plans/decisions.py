@@ -37,14 +37,28 @@ d AS (SELECT *, CASE WHEN 'non_combinable' IN (quant, qa) THEN 'non_combinable'
 
 
 @query("assay_pair_decision", _PAIR + """
-SELECT lpad(a::VARCHAR, 12, '0') AS left_id, lpad(b::VARCHAR, 12, '0') AS right_id, status, ident AS identity_status, quant AS quantity_status, qa AS qaqc_status,
+, i AS (SELECT d.*, lpad(a::VARCHAR, 12, '0') AS l, lpad(b::VARCHAR, 12, '0') AS r, a % 5 <> 0 AND b % 5 <> 0 AS exact, a % 7 <> 0 AND b % 7 <> 0 AS proven, a % 11 <> 0 AND b % 11 <> 0 AS absolute, a % 13 <> 0 AND b % 13 <> 0 AS linear,
+ (a % 17 = 0) = (b % 17 = 0) AS one_dimension, (a % 19 = 0) = (b % 19 = 0) AS one_matrix, a % 2 = b % 2 OR (a % 3 = 0 AND b % 3 = 0) AS methods, 'inchikey:' || upper(p_brand || '-' || replace(p_type, ' ', '') || '-' || p_size) AS canonical FROM d JOIN part ON p_partkey = a),
+g AS (SELECT *, [CASE WHEN a % 10 > 4 THEN l || ':missingness_requires_sensitivity_analysis' END, CASE WHEN b % 10 > 4 THEN r || ':missingness_requires_sensitivity_analysis' END] AS gaps,
+ [CASE WHEN a % 25 > 20 THEN l || ':qc_cv_exceeds_threshold' END, CASE WHEN b % 25 > 20 THEN r || ':qc_cv_exceeds_threshold' END] AS qc, [CASE WHEN NOT exact THEN 'isomer_or_stereochemistry_unresolved' END, CASE WHEN NOT proven THEN 'msi_level_1_evidence_required' END] AS who FROM i),
+w AS (SELECT *, CASE WHEN NOT absolute THEN list_concat([CASE WHEN (a % 11 = 0) <> (b % 11 = 0) THEN 'quantitation_type_incompatible' ELSE 'non_absolute_values_not_poolable' END], gaps) WHEN NOT linear THEN ['nonlinear_or_unknown_scale']
+  WHEN NOT one_dimension THEN ['concentration_dimension_mismatch'] WHEN NOT one_matrix THEN ['biospecimen_matrix_incompatible'] ELSE list_concat(gaps, [CASE WHEN NOT methods THEN 'unbridged_assay_methods' END]) END AS much FROM g),
+c AS (SELECT *, least(CASE WHEN exact AND proven THEN 0.98 WHEN exact THEN 0.72 ELSE 0.55 END,
+ CASE WHEN NOT absolute THEN 0.10 WHEN NOT linear THEN 0.45 WHEN NOT one_dimension THEN 0.35 WHEN NOT one_matrix THEN 0.10 WHEN len(list_filter(much, lambda x: x IS NOT NULL)) > 0 THEN 0.60 ELSE 0.94 END, CASE WHEN qa = 'accepted' THEN 0.95 ELSE 0.20 END) AS least FROM w)
+SELECT l AS left_id, r AS right_id, status, ident AS identity_status, quant AS quantity_status, qa AS qaqc_status, canonical AS canonical_identity,
+ CAST(CASE status WHEN 'accepted' THEN greatest(least, 0.90) WHEN 'requires_human_review' THEN least(least, 0.79) ELSE least(least, 0.39) END AS DOUBLE) AS confidence,
+ array_to_string(list_sort(list_distinct(list_filter(list_concat(who, much, qc), lambda x: x IS NOT NULL))), ';') AS blockers,
  CASE WHEN status = 'accepted' THEN 'pooled_individual_values' WHEN ident = 'accepted' AND qa = 'accepted' THEN 'study_specific_effects_meta_analysis' WHEN status = 'requires_human_review' THEN 'none_pending_review' ELSE 'none' END AS permitted_analysis,
- CASE WHEN status = 'accepted' THEN CASE WHEN a % 17 = 0 THEN 'mg/L' ELSE 'umol/L' END END AS common_unit, CASE WHEN status = 'accepted' THEN round(greatest(1.0 + a % 3, 1.0 + b % 3) * CASE WHEN a % 17 = 0 THEN 10.0 ELSE 1.0 END, 6)::DOUBLE END AS common_loq FROM d""")
+ CASE WHEN status = 'accepted' THEN CASE WHEN a % 17 = 0 THEN 'mg/L' ELSE 'umol/L' END END AS common_unit, CASE WHEN status = 'accepted' THEN round(greatest(1.0 + a % 3, 1.0 + b % 3) * CASE WHEN a % 17 = 0 THEN 10.0 ELSE 1.0 END, 6)::DOUBLE END AS common_loq,
+ CASE WHEN status = 'accepted' THEN 'pooled_values_with_study_and_platform_sensitivity_analysis' WHEN ident = 'accepted' AND qa = 'accepted' THEN 'study_specific_effects_random_effects_meta_analysis' ELSE 'no_cross_study_combination_until_blockers_are_resolved' END AS analysis_level FROM c""")
 def assay_pair_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs by shared structure, each with three assessments and what is permitted."""
+    """Candidate pairs by shared structure, each with three assessments, all blockers, a confidence and what is permitted."""
     records = assay_records(spark, sf_dir)
     d = assay.decide(assay.candidates(records), records, from_candidates=True)
-    return d.select("left_id", "right_id", "status", "identity_status", "quantity_status", "qaqc_status", "permitted_analysis", "common_unit", F.round("common_loq", 6).alias("common_loq"))
+    return d.select(
+        "left_id", "right_id", "status", "identity_status", "quantity_status", "qaqc_status", "canonical_identity", "confidence", F.array_join("blockers", ";").alias("blockers"), "permitted_analysis", "common_unit",
+        F.round("common_loq", 6).alias("common_loq"), "analysis_level",
+    )
 
 
 @query("assay_plan_summary", _PAIR + " SELECT count(*) AS pairs, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'requires_human_review') AS requires_human_review, count(*) FILTER (status = 'non_combinable') AS non_combinable FROM d")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.collections import year_of
-from ..operators import evaluate
-from ..operators.relational import union_of_keys
 from ..registry import query, table
 from ..sources import responses
 
@@ -69,16 +67,3 @@ def release_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years of dates in text, some of them with words after the year."""
     text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.concat(F.year("o_orderdate"), F.lit(" Spring")))
     return table(spark, sf_dir, "orders").groupBy(year_of(text).alias("year")).agg(F.count("*").alias("n"))
-
-
-@query("quality_agreement", """
-WITH g AS (SELECT s_suppkey AS k, CAST(round((s_suppkey % 90) / 100.0, 6) AS DECIMAL(10, 6)) AS s, CASE WHEN s_suppkey % 8 = 0 THEN 'out_of_scope_non_human' ELSE 'in_scope_human' END AS sc FROM supplier), p AS (SELECT s_suppkey AS k, CAST(round((s_suppkey % 90) / 100.0 + (s_suppkey % 4) * 0.05, 6) AS DECIMAL(10, 6)) AS s FROM supplier WHERE s_suppkey % 5 <> 0)
-SELECT count(*) FILTER (coalesce(abs(p.s - g.s) <= 0.15, false)) AS hits, count(*) AS total, round(count(*) FILTER (coalesce(abs(p.s - g.s) <= 0.15, false)) / CAST(count(*) AS DOUBLE), 6) AS value FROM g LEFT JOIN p USING (k) WHERE sc <> 'out_of_scope_non_human'""")
-def quality_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores within an inclusive decimal tolerance: 0.15 is a hit, which doubles would get wrong."""
-    k = F.col("s_suppkey")
-    score = (k % 90).cast("decimal(10,6)") / 100
-    s = table(spark, sf_dir, "supplier")
-    gold = s.select(k.alias("k"), score.cast("decimal(10,6)").alias("overall_score"), F.when(k % 8 == 0, "out_of_scope_non_human").otherwise("in_scope_human").alias("scope_status"))
-    predicted = s.filter(k % 5 != 0).select(k.alias("k"), (score + (k % 4).cast("decimal(10,6)") * F.lit("0.05").cast("decimal(4,2)")).cast("decimal(10,6)").alias("overall_score"))
-    return evaluate.quality_agreement(union_of_keys(predicted, gold, ["k"]))

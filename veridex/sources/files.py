@@ -174,12 +174,14 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> d
 
 
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A report's table: at most ``limit`` rows, bars in cells replaced."""
+    """A report's table for people, bars in cells replaced: the first ``limit`` rows, and a line that says how many more there are."""
     cell = lambda v: ("" if v is None else str(v)).replace("|", "/")
-    rows = df.limit(limit).collect()
+    rows = df.limit(limit + 1).collect()
+    more = f"\n_{df.count() - limit} more rows._\n" if len(rows) > limit else ""
+    rows = rows[:limit]
     if not rows:
         return "_None._\n"
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |", *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)]) + "\n"
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |", *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)]) + "\n" + more
 
 
 def agreeing(df: DataFrame, *aliases: str) -> tuple[Column, DataFrame]:
