@@ -29,7 +29,7 @@ def modalities_from_flags(flags: dict[str, Column]) -> Column:
 def split_list(x: Column, separator: str = ";") -> Column:
     """Trimmed parts of a separated cell, without blanks; an empty array for NULL."""
     parts = F.split(F.coalesce(x, F.lit("")), separator if separator.strip() else r"\s+")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def joined_set(x: Column, joiner: str = "; ") -> Column:

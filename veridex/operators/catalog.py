@@ -177,37 +177,60 @@ APPROVED_TRANSFORMS = ("identity", "multiply_by_18.0182")
 NOT_ALIKE = {"vo2max": ("vo2peak", "peak_vo2"), "sex": ("gender",)}
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` bound to a name: however often it is used, and filtered by, it is one expression."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def crosswalk(cards: DataFrame, variables=COMMON_VARIABLES) -> DataFrame:
     """Variable cards with a proposed common variable, transform, confidence and review status.
 
     The synonym table is small and fixed, so it is a chain of conditions inside the scan: no join at all.
     """
-    name, label = norm_name(F.coalesce(F.col("source_variable"), F.lit(""))), norm_name(F.coalesce(F.col("label"), F.lit("")))
-    rows = cards.withColumn("_n", name).withColumn("_l", label)
-    n, l = F.col("_n"), F.col("_l")  # noqa: E741
+    pick = lambda tests: F.coalesce(*[F.when(c, F.lit(v)) for v, c in tests.items()])
     wrap = lambda c: F.concat(F.lit("_"), c, F.lit("_"))
     near = lambda c, s: F.contains(wrap(c), F.lit(f"_{s}_")) | ((c != "") & F.contains(F.lit(f"_{s}_"), wrap(c)))
-    exact = {v: n.isin(*s) | l.isin(*s) for v, (s, _, _) in variables.items()}
-    partial = {v: reduce(lambda a, b: a | b, [near(n, x) | near(l, x) for x in s]) for v, (s, _, _) in variables.items()}
-    pick = lambda tests: F.coalesce(*[F.when(c, F.lit(v)) for v, c in tests.items()])
-    common = F.coalesce(pick(exact), pick(partial), F.lit("not_mapped"))
-    rows = rows.withColumn("common_variable", common).withColumn("evidence_kind", F.when(pick(exact).isNotNull(), "name_or_label_synonym").when(pick(partial).isNotNull(), "partial_name_similarity").otherwise("no_supported_synonym"))
-    v = F.col("common_variable")
-    of = lambda value: reduce(lambda c, kv: F.when(v == kv[0], value(kv[1])).otherwise(c), variables.items(), F.lit(None))
-    unit, target = F.lower(F.trim(F.coalesce("unit", F.lit("unknown")))), F.lower(of(lambda x: F.lit(x[1])))
-    conversion = reduce(lambda c, kv: F.when((v == kv[0][0]) & (unit == kv[0][1]) & (target == kv[0][2]), F.lit(kv[1])).otherwise(c), UNIT_CONVERSIONS.items(), F.lit(None).cast("string"))
-    transform = F.when(v == "not_mapped", "not_available").when(unit.isin("", "unknown", "not_reported"), "not_available").when(unit == target, "identity").otherwise(F.coalesce(conversion, F.lit("unit_conversion_requires_review")))
-    rows = rows.withColumn("common_unit", F.coalesce(of(lambda x: F.lit(x[1])), F.lit("not_available"))).withColumn("transform", transform)
-    unit_ok = F.col("transform").isin(*APPROVED_TRANSFORMS)
-    modality_ok = F.coalesce(of(lambda x: F.col("modality").isin(*x[2])).cast("boolean"), F.lit(False))
+    either = lambda tests: reduce(lambda a, b: a | b, tests)
+    of = lambda v, value: reduce(lambda c, kv: F.when(v == kv[0], value(kv[1])).otherwise(c), variables.items(), F.lit(None))
+    unit = F.lower(F.trim(F.coalesce("unit", F.lit("unknown"))))
     timing_ok = ~F.lower(F.coalesce("timing", F.lit("unknown"))).isin("", "unknown", "not_reported")
-    confidence = 0.50 + F.when(n == v, 0.20).otherwise(0.12) + F.when(unit_ok, 0.12).otherwise(-0.12) + F.when(modality_ok, 0.10).otherwise(-0.22) + F.when(timing_ok, 0.04).otherwise(-0.08)
-    caveat = ((v == "vo2max") & n.isin(*NOT_ALIKE["vo2max"])) | ((v == "sex") & (n.isin(*NOT_ALIKE["sex"]) | l.isin(*NOT_ALIKE["sex"])))
-    capped = F.when(caveat, F.least(confidence, F.lit(0.78))).otherwise(confidence)
-    rows = rows.withColumn("confidence", F.when(v == "not_mapped", 0.20).otherwise(F.greatest(F.lit(0.0), F.least(F.round(capped, 2), F.lit(0.99)))))
-    sure = (F.col("confidence") >= 0.90) & unit_ok & timing_ok & ((v != "vo2max") | (n == "vo2max"))
-    status = F.when(v == "not_mapped", "rejected").when(~modality_ok, "rejected").when(sure, "accepted").when(F.col("confidence") >= 0.40, "requires_human_review").otherwise("rejected")
-    return rows.withColumn("review_status", status).withColumn("construct_caveat", F.coalesce(caveat, F.lit(False))).drop("_n", "_l")
+
+    def named(x: Column) -> Column:
+        """The variable by exact synonyms, else by near ones."""
+        exact = {v: x["n"].isin(*s) | x["l"].isin(*s) for v, (s, _, _) in variables.items()}
+        partial = {v: either([near(x["n"], y) | near(x["l"], y) for y in s]) for v, (s, _, _) in variables.items()}
+        return _let(F.struct(x["n"].alias("n"), x["l"].alias("l"), pick(exact).alias("exact"), pick(partial).alias("partial")), found)
+
+    def found(x: Column) -> Column:
+        v = F.coalesce(x["exact"], x["partial"], F.lit("not_mapped"))
+        kind = F.when(x["exact"].isNotNull(), "name_or_label_synonym").when(x["partial"].isNotNull(), "partial_name_similarity").otherwise("no_supported_synonym")
+        return _let(F.struct(x["n"].alias("n"), x["l"].alias("l"), v.alias("v"), kind.alias("kind")), converted)
+
+    def converted(x: Column) -> Column:
+        v, target = x["v"], F.lower(of(x["v"], lambda y: F.lit(y[1])))
+        conversion = reduce(lambda c, kv: F.when((v == kv[0][0]) & (unit == kv[0][1]) & (target == kv[0][2]), F.lit(kv[1])).otherwise(c), UNIT_CONVERSIONS.items(), F.lit(None).cast("string"))
+        transform = F.when((v == "not_mapped") | unit.isin("", "unknown", "not_reported"), "not_available").when(unit == target, "identity").otherwise(F.coalesce(conversion, F.lit("unit_conversion_requires_review")))
+        modality_ok = F.coalesce(of(v, lambda y: F.col("modality").isin(*y[2])).cast("boolean"), F.lit(False))
+        caveat = ((v == "vo2max") & x["n"].isin(*NOT_ALIKE["vo2max"])) | ((v == "sex") & (x["n"].isin(*NOT_ALIKE["sex"]) | x["l"].isin(*NOT_ALIKE["sex"])))
+        own = {"n": x["n"], "v": v, "kind": x["kind"], "unit": F.coalesce(of(v, lambda y: F.lit(y[1])), F.lit("not_available")), "transform": transform, "modality_ok": modality_ok, "caveat": F.coalesce(caveat, F.lit(False))}
+        return _let(F.struct(*[c.alias(n) for n, c in own.items()]), weighed)
+
+    def weighed(x: Column) -> Column:
+        unit_ok = x["transform"].isin(*APPROVED_TRANSFORMS)
+        points = 0.50 + F.when(x["n"] == x["v"], 0.20).otherwise(0.12) + F.when(unit_ok, 0.12).otherwise(-0.12) + F.when(x["modality_ok"], 0.10).otherwise(-0.22) + F.when(timing_ok, 0.04).otherwise(-0.08)
+        sure = F.greatest(F.lit(0.0), F.least(F.round(F.when(x["caveat"], F.least(points, F.lit(0.78))).otherwise(points), 2), F.lit(0.99)))
+        own = {**{c: x[c] for c in ("n", "v", "kind", "unit", "transform", "modality_ok", "caveat")}, "unit_ok": unit_ok, "confidence": F.when(x["v"] == "not_mapped", 0.20).otherwise(sure)}
+        return _let(F.struct(*[c.alias(n) for n, c in own.items()]), judged)
+
+    def judged(x: Column) -> Column:
+        v, confidence = x["v"], x["confidence"]
+        accepted = (confidence >= 0.90) & x["unit_ok"] & timing_ok & ((v != "vo2max") | (x["n"] == "vo2max"))
+        status = F.when((v == "not_mapped") | ~x["modality_ok"], "rejected").when(accepted, "accepted").when(confidence >= 0.40, "requires_human_review").otherwise("rejected")
+        own = {"common_variable": v, "evidence_kind": x["kind"], "common_unit": x["unit"], "transform": x["transform"], "confidence": confidence, "review_status": status, "construct_caveat": x["caveat"]}
+        return F.struct(*[c.alias(n) for n, c in own.items()])
+
+    names = F.struct(norm_name(F.coalesce(F.col("source_variable"), F.lit(""))).alias("n"), norm_name(F.coalesce(F.col("label"), F.lit(""))).alias("l"))
+    return cards.withColumn("_mapped", _let(names, named)).select(*cards.columns, "_mapped.*")
 
 
 def review_reason(mapped: DataFrame) -> DataFrame:
@@ -222,6 +245,11 @@ def review_reason(mapped: DataFrame) -> DataFrame:
     return mapped.withColumn("review_reason", reason)
 
 
+def approved() -> Column:
+    """Whether a mapping is accepted and has an approved transform."""
+    return F.coalesce((F.col("review_status") == "accepted") & F.col("transform").isin(*APPROVED_TRANSFORMS), F.lit(False))
+
+
 def transform_plan(mapped: DataFrame) -> DataFrame:
-    """Only mappings that are accepted and have an approved transform."""
-    return mapped.filter((F.col("review_status") == "accepted") & F.col("transform").isin(*APPROVED_TRANSFORMS))
+    """Only mappings that may be transformed."""
+    return mapped.filter(approved())

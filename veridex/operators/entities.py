@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.collections import compact
 from .components import components
+from .ranks import row_numbers
 
 FILLED = ("doi", "pmid", "pmcid", "linked_published_doi", "cited_by_count", "abstract", "publication_types")
 COMPARED = ("title", "publication_year", "journal")
@@ -33,7 +34,7 @@ def merge(assigned: DataFrame) -> DataFrame:
     """One row per entity: the best member (no preprint, longest abstract, source name), blanks filled from the next
     best, disagreements listed, and a preprint only if all members are. Reads is_preprint as boolean."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rank = F.struct(F.coalesce("is_preprint", F.lit(False)).cast("int"), -F.length(text("abstract")), text("source_system"))
+    rank = F.struct(F.coalesce("is_preprint", F.lit(False)).cast("int"), -F.length(text("abstract")), text("source_system"), text("title"), text("publication_year"), text("journal"), text("doi"), text("pmid"))  # equal members are told apart by their own values
     filled = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in FILLED]
     first = lambda c, value: F.min_by(value, F.when(value.isNotNull(), rank)).alias(c)
     squeezed = {c: F.nullif(F.lower(F.trim(F.regexp_replace(text(c), r"\s+", " "))), F.lit("")) for c in COMPARED}
@@ -50,5 +51,4 @@ def review_order(screened: DataFrame, classes, key: str = "entity", out: str = "
     """Rows numbered by class order, citations, year and key."""
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("screen_class"))
     number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0))
-    w = Window.orderBy(place, F.desc(number("cited_by_count")), F.desc(number("publication_year")), key)
-    return screened.withColumn(out, F.row_number().over(w).cast("bigint"))
+    return row_numbers(screened, [place, -number("cited_by_count"), -number("publication_year"), F.col(key)], out)

@@ -107,11 +107,13 @@ def similarity(left: DataFrame, right: DataFrame, left_contrast: str, right_cont
     return found.withColumn("score", score)
 
 
-def reference_contrast(ranked: DataFrame, requested: str | None = None) -> str | None:
-    """The requested left contrast (it must exist), else that of the best pair, else None."""
+def reference_contrast(ranked: DataFrame, requested: str | None = None, contrasts: DataFrame | None = None) -> str | None:
+    """The requested left contrast (it must exist), else that of the best pair, else the first of all ``contrasts``, else None."""
     if requested is not None:
         if ranked.filter(F.col("left_contrast") == requested).isEmpty():
             raise ValueError(f"no contrast {requested!r}")
         return requested
     best = ranked.orderBy(F.desc("score"), F.desc("n_overlap"), F.desc("left_contrast"), F.desc("right_contrast")).first()
+    if best is None and contrasts is not None:
+        return contrasts.agg(F.min("left_contrast")).first()[0]
     return best.left_contrast if best else None

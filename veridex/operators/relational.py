@@ -23,7 +23,10 @@ def left_unique(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 
 
 def one_to_many(left: DataFrame, right: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
-    """Each left row with an ordered array of its right rows; an empty array where there are none."""
+    """Each left row with an ordered array of its right rows; an empty array where there are none.
+
+    The array is the result, so a key's right rows must fit into one row; a plain join has no such bound.
+    """
     struct = F.struct(*order, *[c for c in right.columns if c not in (*order, key)])
     grouped = right.groupBy(key).agg(F.array_sort(F.collect_list(struct)).alias(out))
     return left.join(grouped, key, "left").withColumn(out, F.coalesce(out, F.filter(F.array(F.lit(None).cast(grouped.schema[out].dataType.elementType)), lambda _: F.lit(False))))
@@ -126,6 +129,22 @@ def pairs_by_shared(df: DataFrame, key: str, shared: str) -> DataFrame:
     return a.join(b, shared).filter("left_key < right_key").select("left_key", "right_key").distinct()
 
 
+def best_candidate(df: DataFrame, keys: list[str], kind: str, score: str, index: str, priorities: dict[str, int]) -> DataFrame:
+    """One row of each key: of the kind of highest priority, then of the highest score, then the first by index. A kind
+    without a priority has 0, a NULL score is under all others."""
+    place = F.coalesce(*[F.when(F.col(kind) == k, F.lit(v)) for k, v in priorities.items()], F.lit(0))
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(place, F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))), -F.col(index))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+
+
+def precursors(df: DataFrame, names: list[str], tissues: list[str], numbers: list[str], name: str = "refmet_name", tissue: str = "tissue") -> DataFrame:
+    """Rows of listed names in listed tissues, in any case; what is no number in the number columns is NULL."""
+    low = lambda c, wanted: F.lower(F.col(c).cast("string")).isin(*wanted)
+    number = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double"))
+    return df.filter(low(name, names) & low(tissue, tissues)).withColumns({c: number(c) for c in numbers})
+
+
 def ranked(df: DataFrame, by: list[str], order, out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.collections import compact, when_flag
@@ -92,16 +92,19 @@ def enrichment(rows: DataFrame, stratum: str, label: str, significant: Column, e
     Background counts come from the class counts, so rows are shuffled once, pre-aggregated.
     """
     flagged = rows.filter(F.col(label).isNotNull() & (F.trim(label) != "")).withColumn("_s", F.coalesce(significant, F.lit(False)))
-    best = F.when(F.col("_s"), F.struct(F.col(p).alias("p"), F.col(name).alias("name")))
+    # the first examples of a class are found by a window that keeps as many in each task, never all
+    first = Window.partitionBy(stratum, label).orderBy("_p", "_name")
+    named = flagged.filter("_s").select(stratum, label, F.col(p).alias("_p"), F.col(name).alias("_name")).distinct().withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= examples)
+    shown = named.groupBy(stratum, label).agg(F.array_sort(F.collect_list(F.struct("_p", "_name"))).alias("_examples"))
     by = flagged.groupBy(stratum, label).agg(
         F.count("*").alias("class_rows"), F.count_if("_s").alias("class_significant"), F.count_if(F.col("_s") & (F.col(effect) > 0)).alias("up_significant"), F.count_if(F.col("_s") & (F.col(effect) < 0)).alias("down_significant"),
-        F.array_sort(F.collect_set(best)).alias("_examples"),
     )
     total = by.groupBy(stratum).agg(F.sum("class_rows").alias("background_rows"), F.sum("class_significant").alias("background_significant"))
     out = by.join(total, stratum)
     share = ratio(F.col("background_significant"), F.col("background_rows"))
     out = out.withColumn("enrichment_ratio", F.when(share > 0, (F.col("class_significant") / F.col("class_rows")) / share)).withColumn("p_value", fisher_right_p(F.col("class_significant"), F.col("class_rows"), F.col("background_significant"), F.col("background_rows")))
-    out = adjust(out, by=[stratum]).withColumn("examples", F.array_join(F.slice(F.transform("_examples", lambda e: e["name"]), 1, examples), ";"))
+    names = F.array_join(F.transform("_examples", lambda e: e["_name"]), ";")
+    out = adjust(out, by=[stratum]).join(shown, [stratum, label], "left").withColumn("examples", F.coalesce(names, F.lit("")))
     flags = compact(when_flag(F.col("class_rows") < 3, "fewer_than_three_rows"), when_flag(F.col("background_significant") == 0, "no_significant_rows"))
     return out.withColumn("significant", F.col("q_value") < 0.05).withColumn("flags", F.array_join(flags, ";")).drop("_examples")
 

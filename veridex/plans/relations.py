@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import relational as R
+from ..operators.ranks import average_ranks
 from ..registry import query, table
 
 
@@ -174,8 +175,7 @@ SELECT count(*) AS n, round(corr(x, y), 9) AS pearson_r, round(corr(rx, ry), 9)
 def spearman_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pearson, Spearman (average ranks) and least squares over participants."""
     k = two_measures(spark, sf_dir)
-    average = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-    r = k.withColumn("rx", average("x")).withColumn("ry", average("y"))
+    r = average_ranks(average_ranks(k, "x", "rx"), "y", "ry")
     return r.agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 9).alias("pearson_r"), F.round(F.corr("rx", "ry"), 9).alias("spearman_rho"), F.round(F.regr_slope("y", "x"), 9).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"))
 
 

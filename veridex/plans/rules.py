@@ -109,7 +109,7 @@ def _sql_list(values) -> str:
 _SYN = ", ".join(f"({i}, '{v}', '{s}', '{u}', {_sql_list(m)})" for i, (v, (syn, u, m)) in enumerate(catalog.COMMON_VARIABLES.items()) for s in syn)
 
 
-@query("crosswalk_tokens", f"""
+_CROSSWALK = f"""
 WITH c AS (SELECT p_partkey AS card_id, {_sql_list(_NAMES)}[1 + p_partkey % {len(_NAMES)}] AS source_variable, p_name AS label, {_sql_list(_UNITS)}[1 + (p_partkey // 13) % {len(_UNITS)}] AS unit, {_sql_list(_MODS)}[1 + (p_partkey // 7) % {len(_MODS)}] AS modality, CASE WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE 'baseline' END AS timing FROM part),
 n AS (SELECT *, trim(regexp_replace(replace(lower(trim(source_variable)), 'vo₂', 'vo2'), '[^a-z0-9]+', '_', 'g'), '_') AS nv, trim(regexp_replace(lower(trim(label)), '[^a-z0-9]+', '_', 'g'), '_') AS nl FROM c),
 syn(prio, v, s, u, mods) AS (VALUES {_SYN}),
@@ -117,18 +117,29 @@ hit AS (SELECT card_id, v, u, mods, prio, CASE WHEN nv = s OR nl = s THEN 0 WHEN
 best AS (SELECT card_id, arg_min(v, kind * 100 + prio) AS v, arg_min(u, kind * 100 + prio) AS u, arg_min(mods, kind * 100 + prio) AS mods FROM hit WHERE kind IS NOT NULL GROUP BY ALL),
 j AS (SELECT n.*, coalesce(v, 'not_mapped') AS v, mods, CASE WHEN v IS NULL OR unit = '' THEN 'not_available' WHEN lower(unit) = lower(u) THEN 'identity' WHEN v = 'fasting_glucose' AND lower(unit) = 'mmol/l' THEN 'multiply_by_18.0182' ELSE 'unit_conversion_requires_review' END AS transform FROM n LEFT JOIN best USING (card_id)),
 k AS (SELECT *, transform IN ('identity', 'multiply_by_18.0182') AS uok, coalesce(list_contains(mods, modality), false) AS mok, timing <> 'unknown' AS tok, (v = 'vo2max' AND nv IN ('vo2peak', 'peak_vo2')) OR (v = 'sex' AND (nv = 'gender' OR nl = 'gender')) AS cav FROM j),
-s AS (SELECT *, CAST(CASE WHEN v = 'not_mapped' THEN 0.20 ELSE greatest(0, least(round(least(0.50 + CASE WHEN nv = v THEN 0.20 ELSE 0.12 END + CASE WHEN uok THEN 0.12 ELSE -0.12 END + CASE WHEN mok THEN 0.10 ELSE -0.22 END + CASE WHEN tok THEN 0.04 ELSE -0.08 END, CASE WHEN cav THEN 0.78 ELSE 9 END), 2), 0.99)) END AS DOUBLE) AS confidence FROM k)
-SELECT card_id, v AS common_variable, transform, confidence, CASE WHEN v = 'not_mapped' OR NOT mok THEN 'rejected' WHEN confidence >= 0.90 AND uok AND tok AND (v <> 'vo2max' OR nv = 'vo2max') THEN 'accepted' WHEN confidence >= 0.40 THEN 'requires_human_review' ELSE 'rejected' END AS review_status FROM s""")
+s AS (SELECT *, CAST(CASE WHEN v = 'not_mapped' THEN 0.20 ELSE greatest(0, least(round(least(0.50 + CASE WHEN nv = v THEN 0.20 ELSE 0.12 END + CASE WHEN uok THEN 0.12 ELSE -0.12 END + CASE WHEN mok THEN 0.10 ELSE -0.22 END + CASE WHEN tok THEN 0.04 ELSE -0.08 END, CASE WHEN cav THEN 0.78 ELSE 9 END), 2), 0.99)) END AS DOUBLE) AS confidence FROM k),
+x AS (SELECT card_id, v AS common_variable, transform, confidence, CASE WHEN v = 'not_mapped' OR NOT mok THEN 'rejected' WHEN confidence >= 0.90 AND uok AND tok AND (v <> 'vo2max' OR nv = 'vo2max') THEN 'accepted' WHEN confidence >= 0.40 THEN 'requires_human_review' ELSE 'rejected' END AS review_status , v, cav FROM s)"""
+
+
+@query("crosswalk_tokens", _CROSSWALK + " SELECT card_id, common_variable, transform, confidence, review_status FROM x")
 def crosswalk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.crosswalk(cards(spark, sf_dir)).select("card_id", "common_variable", "transform", "confidence", "review_status")
 
 
-@query("crosswalk_review_queue")
+@query("crosswalk_review_queue", _CROSSWALK + """,
+y AS (SELECT *, CASE WHEN review_status = 'accepted' THEN 'none' WHEN v = 'vo2max' AND cav THEN 'confirm_exercise_protocol' WHEN v = 'sex' AND cav THEN 'confirm_sex_or_gender' WHEN transform = 'unit_conversion_requires_review' THEN 'confirm_unit_conversion'
+ WHEN review_status = 'rejected' THEN 'rejected_by_guardrail' ELSE 'insufficient_confidence_or_metadata' END AS review_reason FROM x)
+SELECT review_status, review_reason, count(*) AS n, count(*) FILTER (review_status = 'accepted' AND transform IN ('identity', 'multiply_by_18.0182')) AS planned FROM y GROUP BY ALL""")
 def crosswalk_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review reasons by status, and how many mappings the transform plan lets through."""
     m = catalog.review_reason(catalog.crosswalk(cards(spark, sf_dir)))
-    planned = F.coalesce((F.col("review_status") == "accepted") & F.col("transform").isin(*catalog.APPROVED_TRANSFORMS), F.lit(False))
-    return m.groupBy("review_status", "review_reason").agg(F.count("*").alias("n"), F.count_if(planned).alias("planned"))
+    return m.groupBy("review_status", "review_reason").agg(F.count("*").alias("n"), F.count_if(catalog.approved()).alias("planned"))
+
+
+@query("transform_plan", _CROSSWALK + " SELECT card_id, common_variable, transform FROM x WHERE review_status = 'accepted' AND transform IN ('identity', 'multiply_by_18.0182')")
+def transform_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only mappings that may be transformed."""
+    return catalog.transform_plan(catalog.crosswalk(cards(spark, sf_dir))).select("card_id", "common_variable", "transform")
 
 
 # Bibliographic records from documents: titles and notes by key, identifiers that some of them share.
@@ -149,21 +160,32 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("entity_dedup", f"""
+_ENTITIES = f"""
 WITH RECURSIVE {_RECORD},
 keys AS (SELECT doc_id, 'doi:' || doi AS k FROM records WHERE doi IS NOT NULL UNION ALL SELECT doc_id, 'pmid:' || pmid FROM records WHERE pmid IS NOT NULL
  UNION ALL SELECT doc_id, 'title:' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || '|' || publication_year FROM records WHERE doi IS NULL AND pmid IS NULL),
 near AS (SELECT DISTINCT a.k AS a, b.k AS b FROM keys a JOIN keys b USING (doc_id)),
 reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
-comp AS (SELECT a, min(b) AS entity FROM reach GROUP BY a)
-SELECT doc_id, min(entity) AS entity FROM keys JOIN comp ON a = k GROUP BY doc_id""")
+comp AS (SELECT a, min(b) AS entity FROM reach GROUP BY a),
+e AS (SELECT doc_id, min(entity) AS entity FROM keys JOIN comp ON a = k GROUP BY doc_id)"""
+
+
+@query("entity_dedup", _ENTITIES + " SELECT doc_id, entity FROM e")
 def entity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.assign(records(spark, sf_dir)).select("doc_id", "entity")
 
 
-@query("entity_merge")
+@query("entity_merge", _ENTITIES + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY is_preprint, -length(abstract), source_system, title, publication_year, journal, coalesce(doi, ''), coalesce(pmid, '')) AS k FROM records JOIN e USING (doc_id)),
+c AS (SELECT entity, [CASE WHEN count(DISTINCT lower(title)) > 1 THEN 'title: ' || array_to_string(list_sort(list(DISTINCT lower(title))), ' != ') END, CASE WHEN count(DISTINCT publication_year) > 1 THEN 'publication_year: ' || array_to_string(list_sort(list(DISTINCT publication_year)), ' != ') END,
+ CASE WHEN count(DISTINCT lower(journal)) > 1 THEN 'journal: ' || array_to_string(list_sort(list(DISTINCT lower(journal))), ' != ') END] AS found FROM o GROUP BY entity)
+SELECT entity, count(*) AS member_count, arg_min(title, k) AS title, arg_min(publication_year, k) AS publication_year, arg_min(journal, k) AS journal, arg_min(doi, k) FILTER (doi IS NOT NULL) AS doi, arg_min(pmid, k) FILTER (pmid IS NOT NULL) AS pmid,
+ arg_min(abstract, k) FILTER (trim(abstract) <> '') AS abstract, arg_min(publication_types, k) FILTER (trim(publication_types) <> '') AS publication_types, bool_and(is_preprint) AS is_preprint, bool_or(is_preprint) AS has_preprint_version,
+ array_to_string(list_sort(list(DISTINCT source_system)), '; ') AS source_systems, any_value(array_to_string(list_filter(found, lambda x: x IS NOT NULL), '; ')) AS conflicts FROM o JOIN c USING (entity) GROUP BY entity""")
 def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.merge(entities.assign(records(spark, sf_dir)))
+    """Merged records: the best member, blanks filled from the others, disagreements listed."""
+    m = entities.merge(entities.assign(records(spark, sf_dir)))
+    return m.select("entity", "member_count", "title", "publication_year", "journal", "doi", "pmid", "abstract", "publication_types", "is_preprint", "has_preprint_version", "source_systems", "conflicts")
 
 
 _BANK_SQL = ", ".join(f"regexp_matches(txt, '{'|'.join('(?:' + p + ')' for p in screening.BANKS[b])}') AS x_{b}" for b in ("human", "rodent", "exercise", "metabolomics", "material", "biological"))
