@@ -9,6 +9,7 @@ import pytest
 
 from veridex.llm import near_dedup, repeats, substring_dedup, suffix_dedup
 from veridex.llm.common import stage
+from veridex.llm.repeats import SALTED
 from veridex.llm.sketches import SEGMENT, cells, cells_for, count_min, decode_counts, encode_counts, estimate, segment_of
 from veridex.llm.textkit import encode, gram_hashes, hash_words, minimisers, mix
 from veridex.operators.components import components
@@ -75,7 +76,7 @@ def test_long_runs_of_equal_suffixes(spark, sizes, partitions):
         ends = np.cumsum(sizes)
         for end, n in zip(ends, sizes):
             own = [salts[d] for d in range(end - n, end) if d in salts]
-            assert len(own) == (n if n > 1 else 0) and all((s > 0) == (n >= 200) and s <= -(-n // 2000) for s in own)
+            assert len(own) == (n if n > 1 else 0) and all((s > 0) == (n >= 200) and s <= -(-n // SALTED) for s in own)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

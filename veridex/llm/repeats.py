@@ -25,7 +25,7 @@ from .common import map_arrow, parts, release, stage, to_batch
 from .textkit import Words, gram_hashes, inside, minimisers
 
 #: Rows of a hot gram in one part of a join, about.
-SALTED = 2_000
+SALTED = 250
 CANDIDATES = "doc_id bigint, start int, gram bigint, salts int, windows binary"
 CANDIDATE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("gram", pa.int64()), ("salts", pa.int32()), ("windows", pa.binary())])
 SPANS = "doc_id bigint, a int, b int"
