@@ -4,7 +4,7 @@ Candidates are runs of consecutive windows that one minimiser n-gram stands for:
 Equal windows have the same gram, so grouping by gram brings all occurrences of a window together. Grams of moderate
 count (salts = 0) are grouped where they land. Of hot ones, which may stand in a third of all rows, equal runs are first
 reduced to one with partial aggregation; windows are counted over these, and the verdicts are joined back. ``salts`` says
-into how many parts the rows of a hot gram are dealt in those joins, about SALTED rows to a part.
+into how many chunks the rows of a hot gram are dealt, about SALTED rows of equal runs to a chunk.
 
 Edge cases: texts without a window (null, empty and short ones) give no candidates; a repeated row is another occurrence; a
 null doc_id is counted with the others and nothing of it is cut; rows that share a doc_id share their spans, cut off at
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, parts, release, stage, to_batch
 from .textkit import Words, gram_hashes, inside, minimisers
 
-#: Rows of a hot gram in one part of a join, about.
+#: Equal runs of a hot gram in one chunk, about.
 SALTED = 250
 CANDIDATES = "doc_id bigint, start int, gram bigint, salts int, windows binary"
 CANDIDATE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("gram", pa.int64()), ("salts", pa.int32()), ("windows", pa.binary())])
@@ -155,30 +155,36 @@ def repeated_spans(candidates: DataFrame, width: int, keep_first: bool = False)
 
 
 def frequent_spans(frequent: DataFrame, width: int, keep_first: bool = False) -> DataFrame:
-    """The same for candidates of hot grams, by partial aggregation and joins that are dealt into parts."""
-    part = lambda *c: F.pmod(F.xxhash64(*c), F.col("salts")).cast("int").alias("salt")
-    parts_of = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    weights = [F.count("*").alias("c"), F.max("salts").alias("salts")] + ([F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else [])
-    # a gram's rows have one number of parts
-    kinds = stage(frequent.groupBy("gram", "windows").agg(*weights), "kinds")  # equal runs of windows, once each
+    """The same for candidates of hot grams, by partial aggregation.
+
+    Equal runs of windows meet in chunks of about SALTED rows first, so a run that stands in a third of all documents is
+    one row for each SALTED of them wherever it is a join's key; nothing is copied to meet it.
+    """
+    salt = F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int").alias("salt")
+    chunks = stage(frequent.groupBy("gram", "windows", salt).agg(F.collect_list(F.struct("doc_id", "start")).alias("rows")), "chunks")
+    weights = [F.sum(F.size("rows")).alias("c")] + ([F.min(F.array_min("rows")).alias("first")] if keep_first else [])
+    kinds = stage(chunks.groupBy("gram", "windows").agg(*weights), "kinds")  # equal runs of windows, once each
     numbered = kinds.withColumn("w", F.expr("explode(transform(sequence(0, cast(length(windows) div 8 as int) - 1), i -> struct(i as i, substring(windows, 8 * i + 1, 8) as value)))"))
-    numbered = numbered.select("gram", "windows", "salts", "w.i", "w.value", "c", *([F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("w.i")).alias("at")).alias("first")] if keep_first else []))
-    measures = [F.sum("c").alias("n"), F.max("salts").alias("salts")] + ([F.min("first").alias("least")] if keep_first else [])
+    numbered = numbered.select("gram", "windows", "w.i", "w.value", "c", *([F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("w.i")).alias("at")).alias("first")] if keep_first else []))
+    measures = [F.sum("c").alias("n")] + ([F.min("first").alias("least")] if keep_first else [])
+    # staged tables, so that both sides of a join are plain exchanges, and a key of many rows can be split
     known = stage(numbered.groupBy("gram", "value").agg(*measures).filter("n > 1").drop("n"), "known")
-    verdict = numbered.select("gram", "windows", "salts", "i", "value", part("windows", "i")).join(known.select("*", parts_of).drop("salts"), ["gram", "value", "salt"])
+    verdict = numbered.select("gram", "windows", "i", "value").join(known, ["gram", "value"])
     mark = F.struct("i", *(["least"] if keep_first else []))
-    marks = stage(verdict.groupBy("gram", "windows").agg(F.max("salts").alias("salts"), F.array_sort(F.collect_list(mark)).alias("marks")), "marks")  # a run has as many as windows
+    marks = stage(verdict.groupBy("gram", "windows").agg(F.array_sort(F.collect_list(mark)).alias("marks")), "marks")  # a run has as many as windows
     release(kinds, known)
-    found = frequent.withColumn("salt", part("doc_id", "start")).join(marks.select("gram", "windows", "marks", parts_of), ["gram", "windows", "salt"]).select("doc_id", "start", "marks")
+    found = chunks.join(marks, ["gram", "windows"]).select("rows", "marks")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ats = [], []
-            for k, (doc, start, marks) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                on = [start + m["i"] for m in marks if not keep_first or m["least"] != {"doc_id": doc, "at": start + m["i"]}]
-                rows += [k] * len(on)
-                ats += on
-            yield span_rows(batch.column(0), np.array(rows, np.int64), np.array(ats, np.int64), width)
+            docs, rows, ats = [], [], []
+            for members, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for r in members:
+                    on = [r["start"] + m["i"] for m in marks if not keep_first or m["least"] != {"doc_id": r["doc_id"], "at": r["start"] + m["i"]}]
+                    rows += [len(docs)] * len(on)
+                    ats += on
+                    docs.append(r["doc_id"])
+            yield span_rows(pa.array(docs, pa.int64()), np.array(rows, np.int64), np.array(ats, np.int64), width)
 
     return map_arrow(found, merge, SPANS)
 
