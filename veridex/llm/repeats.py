@@ -33,19 +33,24 @@ SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("a", pa.int32()), ("b", pa.int
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, doc_key) of docs. The key says which rows share marked places: rows of one doc_id, and without one
-    those of equal text. A key that others share only adds candidates, which are compared exactly."""
+    """(doc_id, text, doc_key) of docs. The key says which rows share marks: rows of one doc_id, and without one those of
+    equal text. Marks name their gram, so a row takes only those that it made, or would have made."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return own.withColumn("doc_key", F.coalesce("doc_id", F.xxhash64("text")))
 
 
-def placed_salts(words: Words, at: np.ndarray, marked: list[list[dict]]) -> np.ndarray:
-    """For each minimiser place ``at`` its salts, or -1 if it isn't among the marked places of its text."""
+def placed_salts(words: Words, at: np.ndarray, marked: list[list[dict]], gram: int) -> np.ndarray:
+    """For each minimiser place ``at`` its salts, or -1 if it isn't among the marked places of its text.
+
+    A mark holds for its own gram only: texts that share a key may have a hot gram and another one at the same place.
+    """
     state = np.full(len(words.hashes), -1, np.int64)
+    keys = gram_hashes(words.hashes, gram).view(np.int64)
     for i, places in enumerate(marked):
+        begin, end = words.offsets[i], min(words.offsets[i + 1], len(keys))
         for p in places:
-            k = words.offsets[i] + p["place"]
-            if k < words.offsets[i + 1]:
+            k = begin + p["place"]
+            if k < end and keys[k] == p["gram"]:
                 state[k] = max(state[k], p["salts"])
     return state[at]
 

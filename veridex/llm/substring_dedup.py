@@ -76,6 +76,8 @@ def _candidates(docs: DataFrame, sketch: DataFrame, width: int, window: int, gra
     ask = pa.schema([("segment", pa.int32()), ("counters", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("n", pa.binary())])
     ask_type = "segment int, counters binary, keys binary, docs binary, places binary, n binary"
 
+    found_schema = pa.schema([("doc_key", pa.int64()), ("place", pa.int32()), ("gram", pa.int64()), ("salts", pa.int32())])
+
     def by_segment(keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
         """A row for each segment: its keys with their documents and places; very hot ones have their counts already."""
         hot_cells, hot_counts = known.value
@@ -125,15 +127,15 @@ def _candidates(docs: DataFrame, sketch: DataFrame, width: int, window: int, gra
                 most = np.frombuffer(row["n"], "<i8") if row["n"] else sketches.estimate(counters, keys)
                 on = np.flatnonzero(most >= 2)
                 if len(on):
-                    yield to_batch({"doc_key": np.frombuffer(row["docs"], "<i8")[on], "place": np.frombuffer(row["places"], "<i4")[on], "salts": salts_for(most[on], hot)}, pa.schema([("doc_key", pa.int64()), ("place", pa.int32()), ("salts", pa.int32())]))
+                    yield to_batch({"doc_key": np.frombuffer(row["docs"], "<i8")[on], "place": np.frombuffer(row["places"], "<i4")[on], "gram": keys[on].view(np.int64), "salts": salts_for(most[on], hot)}, found_schema)
 
     dealt = map_arrow(keyed(docs), deal, ask_type)
     held = sketch.select("segment", "counters", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "docs", "places", "n")])
     # very hot keys (segment -1) are answered anywhere
     lane = F.when(F.col("segment") < 0, F.xxhash64("docs")).otherwise(F.col("segment").cast("bigint"))
     met = dealt.unionByName(held).repartition(lane).sortWithinPartitions("segment", F.asc_nulls_last("counters"))
-    found = stage(map_arrow(met, answer, "doc_key bigint, place int, salts int"), "repeated-keys")
-    marked = found.groupBy("doc_key").agg(F.collect_list(F.struct("place", "salts")).alias("places"))  # at most as many as the document has words
+    found = stage(map_arrow(met, answer, "doc_key bigint, place int, gram bigint, salts int"), "repeated-keys")
+    marked = found.groupBy("doc_key").agg(F.collect_list(F.struct("place", "gram", "salts")).alias("places"))  # at most as many as the document has words
     near = keyed(docs).join(marked, "doc_key").select("doc_id", "text", "places")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def _candidates(docs: DataFrame, sketch: DataFrame, width: int, window: int, gra
             words = hash_words(encode(part.column("text").to_pylist()))
             first, count, at = runs(words, window, gram)
             if len(first):
-                salts = placed_salts(words, at, part.column("places").to_pylist())
+                salts = placed_salts(words, at, part.column("places").to_pylist(), gram)
                 on = np.flatnonzero(salts >= 0)
                 if len(on):
                     yield to_batch(candidate_rows(words, part.column("doc_id").to_pylist(), window, first[on], count[on], gram_keys(words, at[on], gram), salts[on]), CANDIDATE_SCHEMA)

@@ -116,11 +116,11 @@ def marked_places(sorted_: DataFrame, hot: int) -> DataFrame:
     not hot there are joined with what lies next door, so no frequent suffix is a join's key.
     """
     salts = lambda n: F.when(n >= hot, F.ceil(n / SALTED)).otherwise(0).cast("int").alias("salts")
-    known = sorted_.filter(f"same >= {hot} or not edge").select("doc_key", "place", salts(F.col("same")))
+    known = sorted_.filter(f"same >= {hot} or not edge").select("doc_key", "place", "gram", salts(F.col("same")))
     next_door = sorted_.filter("edge").groupBy("gram").agg(F.count("*").alias("n"), F.max("same").alias("most"))
-    border = sorted_.filter(f"same < {hot} and edge").join(next_door, "gram").filter("same > 1 or n > 1").select("doc_key", "place", salts(F.col("most")))
+    border = sorted_.filter(f"same < {hot} and edge").join(next_door, "gram").filter("same > 1 or n > 1").select("doc_key", "place", "gram", salts(F.col("most")))
     # at most as many as the document has words
-    return known.unionByName(border).groupBy("doc_key").agg(F.collect_list(F.struct("place", "salts")).alias("places"))
+    return known.unionByName(border).groupBy("doc_key").agg(F.collect_list(F.struct("place", "gram", "salts")).alias("places"))
 
 
 def class_numbers(order: np.ndarray, gram: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
@@ -188,7 +188,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
             first, count, at = runs(words, length, gram)
             if not len(first):
                 continue
-            salts = placed_salts(words, at, part.column("places").to_pylist())
+            salts = placed_salts(words, at, part.column("places").to_pylist(), gram)
             on = np.flatnonzero(salts >= 0)
             if not len(on):
                 continue
