@@ -97,7 +97,7 @@ class Lexicon:
         if self.matcher is None:
             self._build()
         best: dict[int, float] = {}
-        safe: list[tuple[int, int]] = []
+        safe: list[tuple[int, int]] = []  # spans of phrases, by their ends
         for end, (size, weight) in self.matcher.iter(folded):
             start = end - size + 1
             if weight is None:
@@ -105,7 +105,13 @@ class Lexicon:
             elif best.get(start, -math.inf) < weight:
                 best[start] = weight
         if safe:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in safe)}
+            # both ascend, so one pass does: of the phrases that end after a hit starts, the one that starts first decides
+            ends = [b for _, b in safe]
+            reach = np.minimum.accumulate([a for a, _ in reversed(safe)])[::-1]
+            starts = np.array(sorted(best), np.int64)
+            first = np.searchsorted(ends, starts, side="right")
+            inside = (first < len(ends)) & (np.append(reach, 0)[first] <= starts)
+            best = {s: best[s] for s in starts[~inside].tolist()}
         return sum(best.values()), len(best)
 
     def raw(self, text: str | None) -> tuple[float, int]:
