@@ -11,12 +11,14 @@ from ..functions.collections import compact, when_flag
 from ..functions.kernels import fisher_right_p
 from ..functions.stats import ratio
 from .bh import adjust
+from .ranks import quantiles
 from .relational import complete_grid
 
 #: Statuses that count as reviewed.
 ACCEPTED_MAPPING = ("accepted", "exact", "curated", "not_required")
 ACCEPTED_ANNOTATION = ("accepted", "accepted_curated", "curated")
 HIGH_FRACTION = 0.20
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def quality_flags(missing_fraction: Column, below_lod_fraction: Column, limit: float = HIGH_FRACTION) -> Column:
@@ -40,6 +42,13 @@ def heatmap(cells: DataFrame, feature: str, contrast: str, effect: str, several_
     return grid.select(feature, contrast, status.alias("cell_status"), F.when(~closed, F.col(effect)).alias("value"))
 
 
+def _with_quartiles(found: DataFrame, rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``found``, one row a group, with the exact quartiles ``_q`` of ``value`` over ``rows``, groups of any size."""
+    q = quantiles(rows, by, value, QUARTILES, "_q").select(*[F.col(c).alias(f"{c}_q") for c in by], "_q")
+    same = reduce(lambda a, b: a & b, [found[c].eqNullSafe(q[f"{c}_q"]) for c in by])
+    return found.join(q, same, "left").drop(*[f"{c}_q" for c in by])
+
+
 def trajectory(df: DataFrame, group: str, timepoint: str, value: str, lod: Column, flagged: Column, exclude_flagged: bool = True) -> DataFrame:
     """Per group and timepoint of the full grid: n, missing, below LOD, mean, sd, se, quartiles. Nothing is imputed.
 
@@ -47,11 +56,12 @@ def trajectory(df: DataFrame, group: str, timepoint: str, value: str, lod: Colum
     """
     low = F.coalesce(flagged, F.lit(False)) | F.coalesce(F.col(value) < lod, F.lit(False))
     used = F.when(~low, F.col(value)) if exclude_flagged else F.col(value)
-    found = df.withColumn("_low", low).withColumn("_used", used).groupBy(group, timepoint).agg(
+    marked = df.withColumn("_low", low).withColumn("_used", used)
+    found = marked.groupBy(group, timepoint).agg(
         F.count("*").alias("n"), F.count_if(F.col(value).isNull()).alias("n_missing"), F.count_if("_low").alias("n_below_lod"), F.count("_used").alias("n_used"),
-        F.avg("_used").alias("mean"), F.stddev_samp("_used").alias("sd"), F.percentile("_used", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
+        F.avg("_used").alias("mean"), F.stddev_samp("_used").alias("sd"),
     )
-    grid = complete_grid(found, df.select(group), df.select(timepoint))
+    grid = complete_grid(_with_quartiles(found, marked, [group, timepoint], "_used"), df.select(group), df.select(timepoint))
     none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     return grid.select(
         group, timepoint, none("n"), none("n_missing"), none("n_below_lod"), none("n_used"), "mean", "sd", (F.col("sd") / F.sqrt("n_used")).alias("se"), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
@@ -71,12 +81,13 @@ def hierarchy(rows: DataFrame, levels: list[str], contrast: str, effect: str, si
     )
     places = F.array(*[F.struct(F.lit(lv).alias("level"), F.col(lv).cast("string").alias("category")) for lv in levels])
     long = rows.withColumn("_why", why).withColumn("_e", F.when(F.col("_why").isNull(), F.col(effect))).withColumn("_s", significant & F.col("_e").isNotNull()).withColumn("_p", F.explode(places)).filter("_p.category is not null")
+    long = long.select(F.col("_p.level").alias("level"), F.col("_p.category").alias("category"), contrast, "_why", "_e", "_s")
     counters = [F.count_if(F.col("_why") == w).alias(f"excluded_{w}") for w in ("mapping", "annotation", "missingness", "lod", "no_effect")]
-    found = long.groupBy("_p.level", "_p.category", contrast).agg(
-        F.count("_e").alias("observed"), F.percentile("_e", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.count_if(F.col("_e") > 0).alias("up"), F.count_if(F.col("_e") < 0).alias("down"), F.count_if("_s").alias("significant"), *counters
+    found = long.groupBy("level", "category", contrast).agg(
+        F.count("_e").alias("observed"), F.count_if(F.col("_e") > 0).alias("up"), F.count_if(F.col("_e") < 0).alias("down"), F.count_if("_s").alias("significant"), *counters
     )
     sizes = expected if expected is not None else found.select("level", "category").distinct().withColumn("expected", F.lit(None).cast("bigint"))
-    out = found.join(sizes, ["level", "category"], "left")
+    out = _with_quartiles(found, long, ["level", "category", contrast], "_e").join(sizes, ["level", "category"], "left")
     coverage = ratio(F.col("observed"), F.col("expected"))
     status = F.when(F.col("observed") < min_features, "insufficient_feature_count").when(F.col("expected").isNull(), "coverage_denominator_unknown").when(coverage < min_coverage, "insufficient_coverage").otherwise("eligible_descriptive_summary")
     return out.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import relational as R
-from ..operators.ranks import average_ranks
+from ..operators.ranks import average_ranks, quantiles
 from ..registry import query, table
 
 
@@ -37,9 +37,10 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct counts, per-source category, and median size: partial aggregation throughout, texts are never read."""
     docs = table(spark, sf_dir, "documents").select("source", "lang", "n_chars")
     summary = docs.agg(F.count("*").alias("documents"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("languages"), F.count_if(F.coalesce(F.col("n_chars"), F.lit(0)) == 0).alias("blank"),
-                       F.min("n_chars").alias("min_chars"), F.percentile("n_chars", 0.5).alias("median_chars"), F.max("n_chars").alias("max_chars"))
+                       F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars"))
+    median = quantiles(docs, [], "n_chars", [0.5], "_q").agg(F.max(F.col("_q")[0]).alias("median_chars"))  # NULL without rows
     several = docs.groupBy("source").agg(F.count_distinct("lang").alias("k")).agg(F.count_if(F.col("k") > 1).alias("multilingual_sources"))
-    return summary.join(several)  # one row each
+    return summary.join(median).join(several)  # one row each
 
 
 @query("species_distribution", """
