@@ -55,4 +55,52 @@ n AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id
 s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
-SQL = {"op3_host_rules": OP3, "op7_near_dedup": OP7, "op8_substring_dedup": repeats(35), "op9_decontaminate": OP9, "op10_suffix_dedup": repeats(50)}
+OP11 = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{_WORDS}') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, {{'A': len(ws) < 50, 'B': 100 * list_unique(ws) < 65 * len(ws), 'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+  'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > least, false)}} AS fails FROM w LEFT JOIN l USING (doc_id)),
+x AS (SELECT part, good, bad, list_filter(['A', 'B', 'C', 'D', 'E'], lambda c: CASE c WHEN 'A' THEN fails.A WHEN 'B' THEN fails.B WHEN 'C' THEN fails.C WHEN 'D' THEN fails.D ELSE fails.E END) AS failed FROM f),
+n AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM x GROUP BY ALL),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM c a, c b, c d, c e, c g WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, string_split(substr(filter_order, 1, step - 1), '') AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT list_has_any(failed, list_append(before, own))) AS kept, sum(n) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, before)) AS removed,
+  sum(n) FILTER (list_contains(failed, own) AND list_has_any(failed, before)) AS redundant, sum(n) FILTER (failed = [own]) AS unique_fails,
+  sum(good) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, before)) AS good_lost, sum(bad) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, before)) AS toxic_lost FROM n, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+  coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS shapley FROM r"""
+
+# crc32 with its table of 256 remainders
+_TABLE = "SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"
+_BYTES = "list_transform(range(octet_length(encode(s))::BIGINT), lambda i: ('0x' || substr(hex(encode(s)), 2 * i + 1, 2))::BIGINT)"
+_CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+OP12 = rf"""
+WITH RECURSIVE tab AS ({_TABLE}),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents),
+k AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {_CRC} AS h FROM k, tab),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+g AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM d, unnest(range(1, length(word) + 1)) t(i)),
+e AS (SELECT DISTINCT a.word AS a, b.word AS b FROM g a JOIN g b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT DISTINCT g.word, d.word FROM g JOIN d ON g.rest = d.word UNION SELECT DISTINCT d.word, g.word FROM g JOIN d ON g.rest = d.word),
+c AS (SELECT a AS word, count(*) AS n_near, min(struct_pack(less := -d.n, other := d.word)) AS best FROM e JOIN d ON d.word = e.b GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * n THEN best.other END AS form, CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n FROM d LEFT JOIN c USING (word)),
+p AS (SELECT word, word AS root, 0 AS far FROM f UNION ALL SELECT p.word, f.form, far + 1 FROM p JOIN f ON f.word = p.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, far) AS root FROM p GROUP BY word) USING (word)"""
+
+OP13 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+SQL = {
+    "op3_host_rules": OP3,
+    "op7_near_dedup": OP7,
+    "op8_substring_dedup": repeats(35),
+    "op9_decontaminate": OP9,
+    "op10_suffix_dedup": repeats(50),
+    "op11_filter_audit": OP11,
+    "op12_spelling": OP12,
+    "op13_exact_search": OP13,
+}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_rules, language_id, near_dedup, oracles, quality_fm, sentencepiece_bpe, substring_dedup, suffix_dedup, token_store, toxicity
+from . import decontaminate, exact_search, filter_audit, host_rules, language_id, near_dedup, oracles, quality_fm, sentencepiece_bpe, spelling, substring_dedup, suffix_dedup, token_store, toxicity
 from .common import isolated, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -96,6 +96,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per source, order of the five filters and step."""
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of the dictionary."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the five best rows of every fiftieth vector."""
+    return exact_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after another."""
