@@ -241,12 +241,6 @@ def frobenius_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.frobenius(linalg.to_long(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")).select(F.round("norm", 6).alias("norm"))
 
 
-@query("pca_scores")
-def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First two component scores of all embeddings."""
-    return linalg.principal_scores(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-
-
 @query("f_tail", f"""
 WITH RECURSIVE g AS (SELECT event_type, count(*) AS n, var_samp(value) AS v FROM events GROUP BY ALL), pr AS (SELECT a.event_type || '/' || b.event_type AS pair, a.v / b.v AS f, a.n - 1 AS d1, b.n - 1 AS d2 FROM g a JOIN g b ON a.event_type < b.event_type),
 src AS (SELECT pair, d2 / 2.0 AS a, d1 / 2.0 AS b, d2 / (d2 + d1 * f) AS x FROM pr), {betainc_cte('src', 'pair')}
