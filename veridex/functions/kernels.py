@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tails import fisher_right_tail, sign_two_sided
+
 FLOOR = 1e-300
 #: Members of a group up to which rank tests count orderings exactly.
 MAX_EXACT = 25
@@ -142,28 +144,24 @@ def normal_quantile_two_sided(p) -> np.ndarray:
     return bisect(lambda z: 2 * normal_upper(z), p, 0.0)
 
 
-#: Exact integers up to this many items; log-space sums beyond.
-EXACT_ITEMS = 5_000
+#: Signs up to which the sign test's p is given as a fraction; its digits grow with them.
+FRACTION_SIGNS = 10_000
 
 
 def fisher_right(hits: int, drawn: int, marked: int, total: int) -> float:
-    """P(at least ``hits`` marked among ``drawn`` of ``total``, ``marked`` of them marked); NaN for an impossible table."""
-    if min(hits, drawn, marked, total) < 0 or drawn > total or marked > total or hits > min(drawn, marked) or drawn - hits > total - marked:
-        return math.nan
-    top = range(hits, min(drawn, marked) + 1)
-    if total <= EXACT_ITEMS:
-        return sum(math.comb(marked, k) * math.comb(total - marked, drawn - k) for k in top if drawn - k <= total - marked) / math.comb(total, drawn)
-    lc = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    base = lc(total, drawn)
-    return min(1.0, math.fsum(math.exp(lc(marked, k) + lc(total - marked, drawn - k) - base) for k in top if drawn - k <= total - marked))
+    """One tail of :func:`tails.fisher_right_tail`."""
+    return float(fisher_right_tail(np.array([hits]), np.array([drawn]), np.array([marked]), np.array([total]))[0])
 
 
 def sign_test(positive: int, negative: int) -> tuple[float, str]:
-    """Exact two-sided sign test: p, and p as a reduced fraction."""
+    """Exact two-sided sign test: p, and p as a reduced fraction of integers."""
     n = positive + negative
     if n == 0:
         return 1.0, "1/1"
-    tail = sum(math.comb(n, k) for k in range(min(positive, negative) + 1))
+    tail = term = 1
+    for k in range(min(positive, negative)):
+        term = term * (n - k) // (k + 1)
+        tail += term
     top, bottom = min(2 * tail, 1 << n), 1 << n
     g = math.gcd(top, bottom)
     return top / bottom, f"{top // g}/{bottom // g}"
@@ -239,11 +237,11 @@ def t_quantile(p: Column, df: Column) -> Column:
 
 
 def fisher_right_p(hits: Column, drawn: Column, marked: Column, total: Column) -> Column:
-    return _over(lambda *v: np.array([fisher_right(*map(int, row)) for row in zip(*v)]), hits, drawn, marked, total)
+    return _over(fisher_right_tail, hits, drawn, marked, total)
 
 
 def sign_test_p(positive: Column, negative: Column) -> Column:
-    return _over(lambda *v: np.array([sign_test(*map(int, row))[0] for row in zip(*v)]), positive, negative)
+    return _over(sign_two_sided, positive, negative)
 
 
 def mann_whitney_two_sided_p(u: Column, n1: Column, n2: Column, ties: Column) -> Column:
@@ -251,10 +249,10 @@ def mann_whitney_two_sided_p(u: Column, n1: Column, n2: Column, ties: Column) ->
 
 
 def sign_test_fraction(positive, negative) -> Column:
-    """p of the sign test as "numerator/denominator" of exact integers."""
+    """p of the sign test as "numerator/denominator" of exact integers; NULL over FRACTION_SIGNS signs, where sign_test_p has it."""
 
     @F.pandas_udf("string")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) or pd.isna(y) else sign_test(int(x), int(y))[1] for x, y in zip(a, b)])
+        return pd.Series([None if pd.isna(x) or pd.isna(y) or x + y > FRACTION_SIGNS else sign_test(int(x), int(y))[1] for x, y in zip(a, b)])
 
     return run(positive, negative)

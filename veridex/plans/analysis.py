@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import chi2_upper_p, f_upper_p, mann_whitney_two_sided_p
+from ..functions.kernels import chi2_upper_p, f_upper_p, fisher_right_p, mann_whitney_two_sided_p
 from ..functions.stats import ratio
 from ..operators import evaluate, linalg, views
 from ..operators.bh import adjust_global
@@ -41,6 +41,20 @@ def class_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("l_returnflag", "p_type", "class_rows", "class_significant", "background_rows", "background_significant", F.round("enrichment_ratio", 8).alias("enrichment_ratio"), F.round("p_value", 7).alias("p_value"), F.round("q_value", 7).alias("q_value"))
 
 
+@query("enrichment_all_lines", """
+WITH r AS (SELECT l_returnflag, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey), n AS (SELECT count(*) AS total FROM r),
+d AS (SELECT l_returnflag, count(*) AS drawn FROM r GROUP BY 1), m AS (SELECT p_brand, count(*) AS marked FROM r GROUP BY 1), h AS (SELECT l_returnflag, p_brand, count(*) AS hits FROM r GROUP BY ALL)
+SELECT l_returnflag, p_brand, hits, drawn, marked, total, round((SELECT sum(exp(lgamma(total - marked + 1) - lgamma(drawn - k + 1) - lgamma(total - marked - drawn + k + 1) + lgamma(marked + 1) - lgamma(k + 1) - lgamma(marked - k + 1)
+  - lgamma(total + 1) + lgamma(drawn + 1) + lgamma(total - drawn + 1))) FROM range(hits, least(marked, drawn) + 1) t(k) WHERE drawn - k <= total - marked), 6) AS p_value FROM h JOIN d USING (l_returnflag) JOIN m USING (p_brand), n""")
+def enrichment_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands enriched among lines of each return flag: classes as large as the table."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    hits = rows.groupBy("l_returnflag", "p_brand").agg(F.count("*").alias("hits"))  # a few rows: margins come from them
+    margin = lambda *by: F.sum("hits").over(Window.partitionBy(*by))
+    told = hits.withColumns({"drawn": margin("l_returnflag"), "marked": margin("p_brand"), "total": margin()})
+    return told.withColumn("p_value", F.round(fisher_right_p(F.col("hits"), F.col("drawn"), F.col("marked"), F.col("total")), 6))
+
+
 @query("enrichment_label_filter", f"""
 WITH {_ITEMS}, c AS (SELECT l_returnflag, p_type, count(*) FILTER (p_value < 0.05) AS class_significant, count(*) FILTER (p_value < 0.05 AND effect > 0) AS up_significant FROM items GROUP BY ALL)
 SELECT l_returnflag, p_type, class_significant, up_significant FROM c WHERE p_type = (SELECT min(p_type) FROM part)""")
