@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_identifier, norm_scheme, norm_unit
 from ..schemas import ASSAY_MISSING
+from .blocking import shared_pairs
 from .constraints import enforce
 
 FIELDS = (
@@ -74,10 +75,9 @@ def normalised(records: DataFrame) -> DataFrame:
 
 
 def candidates(records: DataFrame) -> DataFrame:
-    """Pairs of feature ids that share an identifier."""
-    ids = records.select("feature_id", F.explode("ids").alias("x")).select("feature_id", norm_scheme(F.col("x.scheme")).alias("s"), norm_identifier(F.col("x.scheme"), F.col("x.value")).alias("v"))
-    a, b = ids.withColumnRenamed("feature_id", "left_id"), ids.withColumnRenamed("feature_id", "right_id")
-    return a.join(b, ["s", "v"]).filter("left_id < right_id").select("left_id", "right_id").distinct()
+    """Pairs of feature ids that share an identifier, each once; a hot identifier is cut into tiles (blocking.py)."""
+    ids = records.select("feature_id", F.explode("ids").alias("x")).select("feature_id", F.concat(norm_scheme(F.col("x.scheme")), F.lit("\t"), norm_identifier(F.col("x.scheme"), F.col("x.value"))).alias("identifier"))
+    return shared_pairs(ids, "feature_id", "identifier").select(F.col("left_key").alias("left_id"), F.col("right_key").alias("right_id"))
 
 
 def paired(pairs: DataFrame, records: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocking import shared_pairs
 from .constraints import duplicates, enforce, same_universe
 
 #: Rows up to which a dimension may be broadcast; a larger one is left to the planner.
@@ -123,10 +124,8 @@ def symmetric_difference(left: DataFrame, right: DataFrame, *keys: str) -> DataF
 
 
 def pairs_by_shared(df: DataFrame, key: str, shared: str) -> DataFrame:
-    """Unordered pairs of keys that share a value: candidates by equi-join instead of all pairs."""
-    a = df.select(F.col(key).alias("left_key"), shared).distinct()
-    b = df.select(F.col(key).alias("right_key"), shared).distinct()
-    return a.join(b, shared).filter("left_key < right_key").select("left_key", "right_key").distinct()
+    """Unordered pairs of keys that share a value: candidates from blocks, see blocking.py, instead of all pairs."""
+    return shared_pairs(df, key, shared).select("left_key", "right_key")
 
 
 def best_candidate(df: DataFrame, keys: list[str], kind: str, score: str, index: str, priorities: dict[str, int]) -> DataFrame:
