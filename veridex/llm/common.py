@@ -87,6 +87,18 @@ def parts(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[p
         yield from slices(batch, column)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of the operator's own that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

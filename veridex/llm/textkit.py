@@ -46,11 +46,12 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
 
-def hash_words(texts: list[bytes]) -> Words:
+def hash_words(texts: list[bytes], between: np.ndarray = _SPACE) -> Words:
+    """Words of the texts; ``between`` says which of 256 bytes stand between words, a newline among them."""
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     at = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[data]
+    space = between[data]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(data) and not space[0]:
         edges = np.concatenate([[0], edges])
