@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import sketches
 from .common import Shared, map_arrow, parts, release, stage, to_batch
-from .repeats import CANDIDATE_SCHEMA, CANDIDATES, candidate_rows, digests, gram_keys, keyed, placed_salts, removed, repeated_spans, runs, salts_for
+from .repeats import CANDIDATE_SCHEMA, CANDIDATES, candidate_rows, digests, gram_keys, keyed, marked, placed_salts, removed, repeated_spans, runs, salts_for
 from .textkit import encode, hash_words
 
 WINDOW = 35
@@ -135,8 +135,7 @@ def _candidates(docs: DataFrame, sketch: DataFrame, width: int, window: int, gra
     lane = F.when(F.col("segment") < 0, F.xxhash64("docs")).otherwise(F.col("segment").cast("bigint"))
     met = dealt.unionByName(held).repartition(lane).sortWithinPartitions("segment", F.asc_nulls_last("counters"))
     found = stage(map_arrow(met, answer, "doc_key bigint, place int, gram bigint, salts int"), "repeated-keys")
-    marked = found.groupBy("doc_key").agg(F.collect_list(F.struct("place", "gram", "salts")).alias("places"))  # at most as many as the document has words
-    near = keyed(docs).join(marked, "doc_key").select("doc_id", "text", "places")
+    near = keyed(docs).join(marked(found), "doc_key").select("doc_key", "doc_id", "text", "places")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
@@ -146,13 +145,13 @@ def _candidates(docs: DataFrame, sketch: DataFrame, width: int, window: int, gra
                 salts = placed_salts(words, at, part.column("places").to_pylist(), gram)
                 on = np.flatnonzero(salts >= 0)
                 if len(on):
-                    yield to_batch(candidate_rows(words, part.column("doc_id").to_pylist(), window, first[on], count[on], gram_keys(words, at[on], gram), salts[on]), CANDIDATE_SCHEMA)
+                    yield to_batch(candidate_rows(words, part.column("doc_key"), part.column("doc_id"), window, first[on], count[on], gram_keys(words, at[on], gram), salts[on]), CANDIDATE_SCHEMA)
 
     return map_arrow(near, choose, CANDIDATES), found
 
 
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int | None = None, hot: int = HOT, keep_first: bool = False, very_hot: int = VERY_HOT) -> DataFrame:
-    """(doc_id, a, b) of words in repeated windows. ``width``, the cells of the sketch, follows from the keys if not given."""
+    """(doc_key, a, b) of words in repeated windows. ``width``, the cells of the sketch, follows from the keys if not given."""
     keys = stage(minimiser_keys(docs, window, gram), "keys")
     width = width or sketches.cells_for(sketches.key_count(keys))
     sketch = stage(sketches.count_segments(keys, width), "sketch")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, parts, release, stage, to_batch
-from .repeats import SALTED, SPANS, digests, frequent_spans, gram_keys, keyed, placed_salts, removed, runs, span_rows, whole_grams, window_keys
+from .repeats import SALTED, SPANS, cut_keys, digests, frequent_spans, gram_keys, keyed, marked, placed_salts, removed, runs, span_rows, whole_grams, window_keys
 from .textkit import encode, hash_words
 
 #: Words of the shortest passage; first words that suffixes are sorted by.
@@ -105,7 +105,10 @@ def neighbours(kept: DataFrame, held_rows: int = HELD) -> DataFrame:
         if held is not None:
             yield from emit(held, True)
 
-    ranged = kept.repartitionByRange("gram", "doc_key", "place").sortWithinPartitions("gram", "doc_key", "place")
+    # rows that repeat a text are told apart by a number, so they don't meet in one partition
+    numbered = kept.withColumn("number", F.monotonically_increasing_id())
+    order = ("gram", "doc_key", "place", "number")
+    ranged = numbered.repartitionByRange(*order).sortWithinPartitions(*order).drop("number")
     return map_arrow(ranged, compare, "gram bigint, doc_key bigint, place int, same int, edge boolean")
 
 
@@ -119,8 +122,7 @@ def marked_places(sorted_: DataFrame, hot: int) -> DataFrame:
     known = sorted_.filter(f"same >= {hot} or not edge").select("doc_key", "place", "gram", salts(F.col("same")))
     next_door = sorted_.filter("edge").groupBy("gram").agg(F.count("*").alias("n"), F.max("same").alias("most"))
     border = sorted_.filter(f"same < {hot} and edge").join(next_door, "gram").filter("same > 1 or n > 1").select("doc_key", "place", "gram", salts(F.col("most")))
-    # at most as many as the document has words
-    return known.unionByName(border).groupBy("doc_key").agg(F.collect_list(F.struct("place", "gram", "salts")).alias("places"))
+    return marked(known.unionByName(border))
 
 
 def class_numbers(order: np.ndarray, gram: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
@@ -174,12 +176,12 @@ def matches(gram: np.ndarray, lead: np.ndarray, tail: np.ndarray, left: np.ndarr
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, hot: int | None = None) -> DataFrame:
-    """(doc_id, a, b) of words in passages of ``length`` words or more that occur more than once."""
+    """(doc_key, a, b) of words in passages of ``length`` words or more that occur more than once."""
     kept = stage(suffixes(docs, length, gram), "suffixes")
     sorted_ = stage(neighbours(kept), "neighbours")
     release(kept)
-    near = keyed(docs).join(marked_places(sorted_, HOT if hot is None else hot), "doc_key").select("doc_id", "text", "places")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("gram", pa.int64()), ("salts", pa.int32()), ("lead", pa.int32()), ("body", pa.binary())])
+    near = keyed(docs).join(marked_places(sorted_, HOT if hot is None else hot), "doc_key").select("doc_key", "doc_id", "text", "places")
+    schema = pa.schema([("doc_key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("gram", pa.int64()), ("salts", pa.int32()), ("lead", pa.int32()), ("body", pa.binary())])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each marked suffix with the bytes of its words, ``lead`` words to its left first; a hot one with keys of its windows."""
@@ -197,9 +199,9 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
             value, data = window_keys(words, length), words.data
             end = words.ends[first + count + length - 2]
             body = [value[a : a + n].tobytes() if s else data[b:e].tobytes() for a, n, s, b, e in zip(first, count, salts, words.starts[first], end)]
-            yield to_batch({"doc_id": part.column("doc_id").take(pa.array(doc)), "start": first - words.offsets[doc], "gram": gram_keys(words, at, gram).view(np.int64), "salts": salts, "lead": at - first, "body": body}, schema)
+            yield to_batch({"doc_key": part.column("doc_key").take(pa.array(doc)), "doc_id": part.column("doc_id").take(pa.array(doc)), "start": first - words.offsets[doc], "gram": gram_keys(words, at, gram).view(np.int64), "salts": salts, "lead": at - first, "body": body}, schema)
 
-    found = stage(map_arrow(near, extend, "doc_id bigint, start int, gram bigint, salts int, lead int, body binary"), "repeated-suffixes")
+    found = stage(map_arrow(near, extend, "doc_key bigint, doc_id bigint, start int, gram bigint, salts int, lead int, body binary"), "repeated-suffixes")
     release(sorted_)
     side = length - gram
 
@@ -227,14 +229,14 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
             ats.append(at)
         row, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, ats))
         order = np.lexsort((at, row))
-        return span_rows(table.column("doc_id"), row[order], at[order], length)
+        return span_rows(cut_keys(table.column("doc_key"), table.column("doc_id")), row[order], at[order], length)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_grams(batches, BLOCK):
             yield solve(table)
 
     usual = map_arrow(found.filter("salts = 0").repartition("gram").sortWithinPartitions("gram"), compare, SPANS)
-    frequent = found.filter("salts > 0").select("doc_id", "start", "gram", "salts", F.col("body").alias("windows"))
+    frequent = found.filter("salts > 0").select("doc_key", "doc_id", "start", "gram", "salts", F.col("body").alias("windows"))
     return usual.unionByName(frequent_spans(frequent, length, keep_first))
 
 
