@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 
 #: A host is rejected if its shrunk failure rate is over this.
 HOST_LIMIT = 0.8
@@ -126,6 +126,7 @@ def keep(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     per_host = lambda df, name: df.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias(name))
     passed = per_host(good, "passed").withColumnRenamed("source", "host")
     by = per_host(docs, "docs").join(passed, F.col("source").eqNullSafe(F.col("host")), "left").select("source", "docs", (F.col("docs") - F.coalesce("passed", F.lit(0))).alias("failed"))
-    bad = shrunk(by, limit).filter("rejected").select(F.col("source").alias("veridex_host"))
+    (host,) = fresh(docs, "host")
+    bad = shrunk(by, limit).filter("rejected").select(F.col("source").alias(host))
     few = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    return good.join(F.broadcast(bad) if few else bad, F.col("source").cast("string").eqNullSafe(F.col("veridex_host")), "left_anti")
+    return good.join(F.broadcast(bad) if few else bad, F.col("source").cast("string").eqNullSafe(F.col(host)), "left_anti")

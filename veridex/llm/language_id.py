@@ -5,13 +5,14 @@ normalised. A bounded sample of each language is clustered into a few centroids
 the language of the centroid of highest cosine. A document whose cosine is under the reach of that centroid (a low
 quantile of its own members) is marked ``rejected``: far from everything that was learned.
 
-Every language of the training rows is learned. The model, which the driver and each worker hold, takes 64 KB a language:
-0.5 GB for all of the 8,000 or so that have a code.
+Every language of the training rows is learned, up to LANGUAGES of them, those of most ids. The model, which the driver and
+each worker hold, takes 64 KB a language: 256 MB at that bound.
 
 Edge cases: null texts and texts without a letter are "und" with score 0; with no training rows every document is "und";
 a language with fewer rows than centroids gets one centroid per distinct row; of centroids that are equally near, the
-first by language name counts; of rows that repeat an id and language the one of least text is learned from; a text of any
-length takes time in proportion to its length.
+first by language name counts; rows that repeat an id and language count once, by the one of least text, in samples and
+sizes alike, so a language has a row in the sample however its rows repeat; a text of any length takes time in
+proportion to its length.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .toxicity import remainder
 
 #: Rows of a language that its centroids are fitted to, about; centroids of a language; bins of the n-gram hash.
 SAMPLE = 1_000
+#: Languages that are learned at most.
+LANGUAGES = 4_000
 CENTROIDS = 4
 BINS = 4096
 REACH = 0.005
@@ -88,16 +91,17 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
     return c.astype(np.float32), reach
 
 
-def learn(docs: DataFrame, per_language: int = SAMPLE, k: int = CENTROIDS) -> dict:
+def learn(docs: DataFrame, per_language: int = SAMPLE, k: int = CENTROIDS, languages: int = LANGUAGES) -> dict:
     """idf, centroids, their languages and reaches, from rows with a language whose crc32(doc_id) mod 4 is not 2."""
     doc = F.col("doc_id").cast("bigint")
     rows = docs.select(doc.alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(doc, 4) != 2))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    # by the hash of an id: a row of least hash stands for its language whatever the share
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
+    sizes = rows.select("doc_id", "lang").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(chance).alias("least")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not sizes:
         return {"idf": np.zeros(BINS, np.float32), "centroids": np.zeros((0, BINS), np.float32), "langs": [], "reach": np.zeros(0)}
-    share = docs.sparkSession.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in sizes.items()], "lang string, share double")
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.join(F.broadcast(share), "lang").filter(chance < F.col("share")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # an id counts once
+    share = docs.sparkSession.createDataFrame([(r.lang, max(min(1.0, per_language / r.n), r.least + 2.0**-21)) for r in sizes], "lang string, share double")
+    chosen = rows.join(F.broadcast(share), "lang").filter(chance < F.col("share")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("bins", pa.binary()), ("tf", pa.binary())])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
-from .common import Shared, map_arrow, release, slices, stage, to_batch
+from .common import Shared, fresh, map_arrow, release, slices, stage, to_batch
 from .sketches import cells_for, count_min, estimate, key_count
 from .textkit import encode, gram_hashes, hash_words, mix
 
@@ -246,17 +246,16 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     return placed_rows(docs, shingle, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
-def fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs with size and fingerprint of the shingle set in veridex_n, veridex_f1 and veridex_f2."""
-    extra = ("veridex_n", "veridex_f1", "veridex_f2")
+def fingerprinted(docs: DataFrame, shingle: int, names: list[str]) -> DataFrame:
+    """docs with size and fingerprint of the shingle set in three columns of these names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 values = sizes_and_prints(shingle_sets(part.column("text").to_pylist(), shingle))
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v, pa.int64()) for v in values]], names=[*part.schema.names, *extra])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v, pa.int64()) for v in values]], names=[*part.schema.names, *names])
 
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in extra]]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in names]]))
 
 
 def keep(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -266,23 +265,23 @@ def keep(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     lesser document. A row without an id goes if it copies one with an id, or another one without; blank ones copy nothing.
     """
     rows = stage(placed_rows(docs, shingle, percent), "placed")
+    again_, kept_, key_, stay_, blank_, place_, *prints = fresh(docs, "again", "whole", "key", "stay", "blank", "place", "size", "print1", "print2")
     # staged, as its size is then known to the planner, and a small side costs no exchange of the texts
-    marks = stage(rows.filter("doc_id is not null").groupBy(F.col("doc_id").alias("veridex_key")).agg((F.count("*") > 1).alias("veridex_again"), F.bool_and("kept").alias("veridex_kept")), "marks")
-    key = F.col("doc_id").cast("bigint") == F.col("veridex_key")
-    usual = docs.filter("doc_id is not null").join(marks.filter("veridex_again or not veridex_kept").select("veridex_key"), key, "left_anti")
+    marks = stage(rows.filter("doc_id is not null").groupBy(F.col("doc_id").alias(key_)).agg((F.count("*") > 1).alias(again_), F.bool_and("kept").alias(kept_)), "marks")
+    key = F.col("doc_id").cast("bigint") == F.col(key_)
+    usual = docs.filter("doc_id is not null").join(marks.filter(F.col(again_) | ~F.col(kept_)).select(key_), key, "left_anti")
 
-    again = stage(marks.filter("veridex_again").select("veridex_key"), "again")
+    again = stage(marks.filter(again_).select(key_), "again")
     odd = docs.filter("doc_id is not null").join(again, key, "left_semi").unionByName(docs.filter("doc_id is null"))
-    stay = rows.join(again, F.col("doc_id") == F.col("veridex_key"), "left").filter("kept and (doc_id is null or veridex_key is not null)")
-    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("n").alias("veridex_n"), F.col("f1").alias("veridex_f1"), F.col("f2").alias("veridex_f2")).distinct()
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("stay_id"))
-    prints = ["veridex_n", "veridex_f1", "veridex_f2"]
-    marked = fingerprinted(odd, shingle)
+    stay = rows.join(again, F.col("doc_id") == F.col(key_), "left").filter(F.col("kept") & (F.col("doc_id").isNull() | F.col(key_).isNotNull()))
+    stay = stay.select(F.col("doc_id").alias(stay_), *[F.col(c).alias(name) for c, name in zip(("n", "f1", "f2"), prints)]).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(stay_))
+    found = fingerprinted(odd, shingle, prints)
     for c in prints:
-        same = same & (marked[c] == stay[c])
-    left = marked.join(stay, same, "left_semi")
+        same = same & (found[c] == stay[c])
+    left = found.join(stay, same, "left_semi")
     # a number of its own for each blank row without an id
-    blank = F.when(F.col("doc_id").isNull() & (F.col("veridex_n") == 0), F.monotonically_increasing_id())
-    one = [F.col("doc_id"), *[F.when(F.col("doc_id").isNull(), F.col(c)) for c in prints], F.col("veridex_blank")]
-    numbered = left.withColumn("veridex_blank", blank).withColumn("veridex_place", F.row_number().over(Window.partitionBy(*one).orderBy("text", *prints)))
-    return usual.unionByName(numbered.filter("veridex_place = 1").select(docs.columns))
+    blank = F.when(F.col("doc_id").isNull() & (F.col(prints[0]) == 0), F.monotonically_increasing_id())
+    one = [F.col("doc_id"), *[F.when(F.col("doc_id").isNull(), F.col(c)) for c in prints], F.col(blank_)]
+    numbered = left.withColumn(blank_, blank).withColumn(place_, F.row_number().over(Window.partitionBy(*one).orderBy("text", *prints)))
+    return usual.unionByName(numbered.filter(F.col(place_) == 1).select(docs.columns))

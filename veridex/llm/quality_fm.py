@@ -2,8 +2,8 @@
 
 score = logistic(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)): the sum-of-squares identity takes
 all pairwise interactions in time linear in the features. Inputs are the damped, normalised counts of hashed words, and
-standardised statistics of the text's structure. It is fitted by mini-batch Adam to a bounded, class-balanced sample of
-labelled rows whose crc32(doc_id) mod 3 is not 1.
+standardised statistics of the text's structure. It is fitted by mini-batch Adam to a class-balanced sample, bounded in rows
+and in words, of labelled rows whose crc32(doc_id) mod 3 is not 1.
 
 Edge cases: null and empty texts have no words and zero statistics, and get a score like any other; without labelled
 rows, or with one class, the score is the smoothed share of label 1; an id with both labels counts as label 1; of rows
@@ -18,15 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, map_arrow, slices, to_batch
+from .common import Shared, map_arrow, release, slices, stage, to_batch
 from .textkit import encode, gram_hashes, hash_words, inside
 from .toxicity import remainder, sample
 
 #: Labelled rows of each class that the model is fitted to, at most; bins of the word hash; factors.
 SAMPLE = 4_000
+#: Word bins of a class's sample at most: what the driver holds of it, whatever the length of its texts.
+ENTRIES = 4_000_000
 BINS = 1 << 15
 FACTORS = 8
 EPOCHS = 8
@@ -150,7 +152,7 @@ def fit(row, bins, value, stats, y: np.ndarray, base: float, seed: int = 5) -> M
     return m
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, entries: int = ENTRIES) -> Machine:
     held = remainder(F.col("doc_id"), 3) == 1
     rows = sample(docs, labels, "quality", per_class, held)
 
@@ -163,7 +165,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Machin
                 cut = lambda x: [x[a:b].tobytes() for a, b in zip(at, at[1:])]  # noqa: E731, B023
                 yield to_batch({"doc_id": part.column("doc_id"), "label": part.column("label"), "bins": cut(bins.astype("<u2")), "value": cut(value.astype("<f4")), "stats": [s.tobytes() for s in stats]}, schema)
 
-    got = map_arrow(rows, measure, "doc_id bigint, label int, bins binary, value binary, stats binary").collect()  # 2 * per_class rows at most
+    measured = stage(map_arrow(rows, measure, "doc_id bigint, label int, bins binary, value binary, stats binary"), "quality-sample")
+    # in the order that the sample was chosen in, as many rows as have ``entries`` word bins in all, one at least
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = measured.select("doc_id", "label", (F.length("bins") / 2).alias("n"))  # 2 * per_class narrow rows at most
+    fits = sizes.withColumn("so_far", F.sum("n").over(order)).filter((F.col("so_far") <= entries) | (F.col("so_far") == F.col("n")))
+    got = measured.join(fits.select("doc_id", "label"), ["doc_id", "label"], "left_semi").collect()  # 12 * entries bytes, about, at most
+    release(measured)
     got.sort(key=lambda r: r.doc_id)
     y = np.array([r.label for r in got], float)
     base = labels.filter(F.col("quality").isNotNull() & ~held).agg(F.avg("quality").alias("r"), F.count("*").alias("n")).first()
