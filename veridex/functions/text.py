@@ -209,6 +209,11 @@ def adduct_core(x: Column) -> Column:
     return F.regexp_replace(F.upper(F.when(inner == "", F.trim(x)).otherwise(inner)), r"[.+ ]+", "+")
 
 
+def adduct_matches(requested: Column, echoed: Column) -> Column:
+    """Whether an echoed ion label is the requested one; a blank echo is none."""
+    return F.coalesce((F.trim(echoed) != "") & (adduct_core(requested) == adduct_core(echoed)), F.lit(False))
+
+
 # Labels of time factors, and whole tokens that stand for a time where no factor does.
 TIME_PRE, TIME_NONE = ("1p", "pre", "baseline", "preexercise", "before", "b"), ("", "blank", "qc", "unknown")
 TIME_TOKENS = (

@@ -25,12 +25,23 @@ FIELDS = (
 )
 # Policy limits.
 POLICY = {"missing": 0.20, "hard_missing": 0.50, "cv_targeted": 20.0, "cv_other": 30.0}
-# Units as dimension, factor to its base, and common unit with its factor.
+# Each unit with its dimension, the factor to the dimension's base, and the common unit.
 UNITS = {
-    "mol/l": ("molar", 1.0), "mmol/l": ("molar", 1e-3), "umol/l": ("molar", 1e-6), "nmol/l": ("molar", 1e-9), "pmol/l": ("molar", 1e-12),
-    "g/l": ("mass", 1.0), "mg/l": ("mass", 1e-3), "ug/l": ("mass", 1e-6), "ng/l": ("mass", 1e-9), "mg/dl": ("mass", 1e-2), "ug/ml": ("mass", 1e-3), "ng/ml": ("mass", 1e-6),
+    "mol/l": ("molar_concentration", 1.0, "umol/L"),
+    "mmol/l": ("molar_concentration", 1e-3, "umol/L"),
+    "umol/l": ("molar_concentration", 1e-6, "umol/L"),
+    "nmol/l": ("molar_concentration", 1e-9, "umol/L"),
+    "pmol/l": ("molar_concentration", 1e-12, "umol/L"),
+    "g/l": ("mass_concentration", 1.0, "mg/L"),
+    "mg/l": ("mass_concentration", 1e-3, "mg/L"),
+    "ug/l": ("mass_concentration", 1e-6, "mg/L"),
+    "ng/l": ("mass_concentration", 1e-9, "mg/L"),
+    "mg/dl": ("mass_concentration", 1e-2, "mg/L"),
+    "ug/ml": ("mass_concentration", 1e-3, "mg/L"),
+    "ng/ml": ("mass_concentration", 1e-6, "mg/L"),
 }
-COMMON = {"molar": ("umol/L", 1e-6), "mass": ("mg/L", 1e-3)}
+#: Of each dimension its common unit and that one's factor.
+COMMON = {dimension: (unit, UNITS[unit.lower()][1]) for dimension, _, unit in UNITS.values()}
 # Ranks of resolutions and of identifier schemes.
 RESOLUTION = ("feature_only", "chemical_class", "lipid_species", "positional_isomer_unresolved", "stereochemistry_unresolved", "exact_structure")
 SCHEMES = ("refmet", "kegg", "lipidmaps", "pubchem_cid", "hmdb", "chebi", "inchikey")

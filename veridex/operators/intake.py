@@ -121,6 +121,12 @@ def resolve(value: str, table: dict[str, str], what: str) -> str:
     return table[key]
 
 
+def resolved(value: Column, table: dict[str, str]) -> Column:
+    """The same for a column; unknown aliases are NULL for a constraint to report."""
+    key = F.regexp_replace(F.lower(F.trim(value)), "[- ]", "_")
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
 def in_scope(df: DataFrame, scope: str, tissue: str = "tissue", contrasts: list[str] | None = None, targeted: str | None = None) -> DataFrame:
     """Rows of a tissue scope, of listed contrasts, and targeted, untargeted or all."""
     out = df.filter(F.lower(tissue).rlike("blood|plasma")) if resolve(scope, SCOPES, "scope") == "blood_plasma" else df

@@ -10,6 +10,8 @@ from .constraints import duplicates, enforce, same_universe
 
 #: Rows up to which a dimension may be broadcast; a larger one is left to the planner.
 DIMENSION_ROWS = 500_000
+#: Column values of a complete grid.
+GRID_COLUMNS = 10_000
 
 
 def dimension(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
@@ -106,8 +108,10 @@ def last_by_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def complete_grid(cells: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Every row value with every column value, joined with what was measured. Both sides are display dimensions: the
-    product is the size of the result, and the smaller one is checked before it is broadcast."""
-    grid = rows.distinct().join(dimension(columns.distinct(), 10_000))
+    product is the size of the result. Over GRID_COLUMNS column values there is no such grid, and it is refused."""
+    wide = columns.distinct()
+    enforce(wide.agg(F.count("*").alias("column_values")).filter(F.col("column_values") > GRID_COLUMNS), "too many column values for a grid")
+    grid = rows.distinct().join(F.broadcast(wide))
     return grid.join(cells, [*rows.columns, *columns.columns], "left")
 
 
@@ -144,6 +148,13 @@ def precursors(df: DataFrame, names: list[str], tissues: list[str], numbers: lis
     return df.filter(low(name, names) & low(tissue, tissues)).withColumns({c: number(c) for c in numbers})
 
 
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, value, n) of several columns: rows are counted by all of them first, so each is taken apart once a combination."""
+    kept = df.groupBy(*columns).agg(F.count("*").alias("n"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")
+    return kept.select("n", cells).groupBy("x.field", "x.value").agg(F.sum("n").alias("n"))
+
+
 def ranked(df: DataFrame, by: list[str], order, out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
 

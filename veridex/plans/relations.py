@@ -131,7 +131,10 @@ def flatten_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_cases(spark, sf_dir).filter("outcome <> 'correct'").select("doc_id", "outcome", F.col("p_quality").alias("predicted"), F.col("g_quality").alias("gold"))
 
 
-@query("exact_universe_gate", "SELECT CAST(NULL AS BIGINT) AS pairs, CAST(NULL AS DOUBLE) AS agreement, 'blocked' AS status")
+@query("exact_universe_gate", """
+WITH d AS (SELECT doc_id, 1 AS q FROM documents), u AS (SELECT count(*) AS differing FROM d FULL JOIN labels l USING (doc_id) WHERE d.q IS NULL OR l.doc_id IS NULL OR l.quality IS NULL AND l.toxic IS NULL),
+m AS (SELECT count(*) AS pairs, avg(CASE WHEN d.q = l.quality THEN 1.0 ELSE 0.0 END) AS agreement FROM d JOIN labels l USING (doc_id))
+SELECT CASE WHEN differing = 0 THEN pairs END AS pairs, CASE WHEN differing = 0 THEN agreement END AS agreement, CASE WHEN differing = 0 THEN 'compared' ELSE 'blocked' END AS status FROM u, m""")
 def exact_universe_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unequal key sets block the comparison: metrics are NULL, not partial."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("quality"))
@@ -268,12 +271,26 @@ def distinct_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("counts_by_columns", """
-SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2""")
+WITH d AS (SELECT lang, source, CASE WHEN n_chars IS NULL THEN 'unknown' WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'middle' ELSE 'long' END AS size, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
+SELECT 'lang' AS field, lang AS value, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'size', size, count(*) FROM d GROUP BY 2
+UNION ALL SELECT 'quality', CAST(quality AS VARCHAR), count(*) FROM d GROUP BY 2 UNION ALL SELECT 'toxic', CAST(toxic AS VARCHAR), count(*) FROM d GROUP BY 2""")
 def counts_by_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value counts of several columns in one scan and one shuffle, by grouping sets."""
-    docs = table(spark, sf_dir, "documents").select("lang", "source")
-    long = docs.select(F.explode(F.array(F.struct(F.lit("lang").alias("field"), F.col("lang").alias("value")), F.struct(F.lit("source").alias("field"), F.col("source").alias("value")))).alias("x"))
-    return long.groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+    """Value counts of five columns in one scan and one shuffle."""
+    n = F.col("n_chars")
+    size = F.when(n.isNull(), "unknown").when(n < 500, "short").when(n < 5000, "middle").otherwise("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", size.alias("size")).join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    return R.value_counts(docs, ["lang", "source", "size", "quality", "toxic"])
+
+
+@query("namespace_counts", """
+WITH a AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'chebi' WHEN 1 THEN 'kegg_compound' WHEN 2 THEN 'hmdb' ELSE 'unrecognised' END AS namespace FROM part) SELECT 'namespace' AS field, namespace AS value, count(*) AS n FROM a GROUP BY 2""")
+def namespace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers by the namespace that their grammar tells; what fits none is counted too."""
+    from ..functions.text import namespace
+
+    k = F.col("p_partkey")
+    identifier = F.when(k % 4 == 0, F.concat(F.lit("CHEBI:"), k + 1)).when(k % 4 == 1, F.concat(F.lit("C"), F.lpad((k % 99999).cast("string"), 5, "0"))).when(k % 4 == 2, F.concat(F.lit("HMDB"), F.lpad(k.cast("string"), 7, "0"))).otherwise(F.lit("?"))
+    return R.value_counts(table(spark, sf_dir, "part").select(F.coalesce(namespace(identifier), F.lit("unrecognised")).alias("namespace")), ["namespace"])
 
 
 @query("ambiguous_keys", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 from functools import reduce
@@ -23,12 +24,12 @@ def scan_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
 def scan_csv_strict(spark: SparkSession, path: str, required: tuple[str, ...], exact: bool = False) -> DataFrame:
     """A CSV that has a unique, non-blank header with the required columns, rows of its width, and at least one row.
 
-    The header is one line, read on the driver; row widths are checked by the parser against an explicit schema.
+    The header is one line, read on the driver, where names may be quoted and have commas; row widths are checked by the parser against an explicit schema.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ConstraintError(f"{path}: no header")
-    names = [n.strip().strip('"').lstrip("﻿") for n in first[0].value.split(",")]
+    names = [n.strip().lstrip("\ufeff") for n in next(csv.reader([first[0].value.lstrip("\ufeff")]), [])]
     if any(not n for n in names):
         raise ConstraintError(f"{path}: a column has no name")
     if len(set(names)) != len(names):
