@@ -104,6 +104,27 @@ def f_upper(f, d1, d2) -> np.ndarray:
     return betainc(d2 / 2, d1 / 2, d2 / (d2 + d1 * np.maximum(f, 0)))
 
 
+def gammainc_p(a, x) -> np.ndarray:
+    """Regularised lower incomplete gamma; by its own series where it is small, so it keeps its digits there."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    out = 1 - gammainc_q(a, x)
+    low = (a > 0) & (x > 0) & (x < a + 1)
+    if low.any():
+        s, z = a[low], x[low]
+        term = total = 1 / s
+        for n in range(1, 2000):
+            term = term * z / (s + n)
+            total = total + term
+            if np.all(term < total * 1e-16):
+                break
+        out[low] = total * np.exp(s * np.log(z) - z - _lg(s))
+    return out
+
+
+def chi2_lower(x, df) -> np.ndarray:
+    return gammainc_p(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
+
+
 def chi2_upper(x, df) -> np.ndarray:
     return gammainc_q(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
 
@@ -228,6 +249,10 @@ def chi2_upper_p(x: Column, df: Column) -> Column:
     return _over(chi2_upper, x, df)
 
 
+def chi2_lower_p(x: Column, df: Column) -> Column:
+    return _over(chi2_lower, x, df)
+
+
 def normal_two_sided_p(z: Column) -> Column:
     return _over(lambda v: 2 * normal_upper(np.abs(v)), z)
 

@@ -22,10 +22,18 @@ def with_change(paired: DataFrame, exact: bool = False) -> DataFrame:
     return paired.withColumn("log2fc", stats.log2_change(F.col("before"), F.col("after")) if exact else plain)
 
 
-def effects(changes: DataFrame, keys: list[str], min_pairs: int = 1, floor: float = stats.FLOOR) -> DataFrame:
-    """Per group: n_pairs, mean_log2fc, mean_pre, mean_post, p_value. Groups under ``min_pairs`` are left out."""
+def single_label(c: str) -> Column:
+    """An aggregate: the only value of a group that isn't blank, '' where there are none or several."""
+    filled = F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    return F.when(F.min(filled) == F.max(filled), F.min(filled)).otherwise("")
+
+
+def effects(changes: DataFrame, keys: list[str], min_pairs: int = 1, floor: float = stats.FLOOR, labels: tuple[str, ...] = ()) -> DataFrame:
+    """Per group: n_pairs, mean_log2fc, mean_pre, mean_post, p_value. Groups under ``min_pairs`` are left out. Of each label
+    column a group has the value that all its complete pairs share."""
     found = changes.filter("log2fc is not null").groupBy(*keys).agg(
-        F.count("*").alias("n_pairs"), F.avg("log2fc").alias("mean_log2fc"), F.stddev_samp("log2fc").alias("_sd"), F.avg("before").alias("mean_pre"), F.avg("after").alias("mean_post")
+        F.count("*").alias("n_pairs"), F.avg("log2fc").alias("mean_log2fc"), F.stddev_samp("log2fc").alias("_sd"), F.avg("before").alias("mean_pre"), F.avg("after").alias("mean_post"),
+        *[single_label(c).alias(c) for c in labels],
     )
     found = found.filter(F.col("n_pairs") >= min_pairs)
     return found.withColumn("p_value", stats.paired_t_p(F.col("n_pairs"), F.col("mean_log2fc"), F.coalesce("_sd", F.lit(0.0)), floor)).drop("_sd")
@@ -107,6 +115,21 @@ def similarity(left: DataFrame, right: DataFrame, left_contrast: str, right_cont
     return found.withColumn("score", score)
 
 
+def overlap_report(left: DataFrame, right: DataFrame, left_contrast: str, right_contrast: str, key: str, least: int = 5) -> DataFrame:
+    """For contrast pairs with ``least`` shared unambiguous keys or more: n_overlap, the ambiguous keys of each side, and how many
+    keys that both have were left out because they are ambiguous on a side, with their names in order."""
+
+    def counted(df: DataFrame, contrast: str, name: str) -> DataFrame:
+        n = df.filter(F.col(key) != "").groupBy(F.col(contrast).alias(name), F.col(key).alias("_k")).agg((F.count("*") > 1).alias(f"_{name}"))
+        return n
+
+    l, r = counted(left, left_contrast, "left_contrast"), counted(right, right_contrast, "right_contrast")  # noqa: E741
+    odd = lambda df, name: df.groupBy(name).agg(F.count_if(f"_{name}").alias(f"{name.split('_')[0]}_ambiguous"))
+    either = F.col("_left_contrast") | F.col("_right_contrast")
+    met = l.join(r, "_k").groupBy("left_contrast", "right_contrast").agg(F.count_if(~either).alias("n_overlap"), F.count_if(either).alias("excluded_overlap"), F.array_join(F.array_sort(F.collect_list(F.when(either, F.col("_k")))), ";").alias("excluded_keys"))
+    return met.filter(F.col("n_overlap") >= least).join(odd(l, "left_contrast"), "left_contrast").join(odd(r, "right_contrast"), "right_contrast")
+
+
 def reference_contrast(ranked: DataFrame, requested: str | None = None, contrasts: DataFrame | None = None) -> str | None:
     """The requested left contrast (it must exist), else that of the best pair, else the first of all ``contrasts``, else None."""
     if requested is not None:

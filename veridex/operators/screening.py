@@ -107,6 +107,35 @@ def escalations(screened: DataFrame, key: str) -> DataFrame:
     return screened.select(key, F.explode(kinds).alias("escalation"))
 
 
+# Evidence that names the subject, and designs that can replicate a finding.
+SUBJECT_CONFIRMED = ("subject_name_in_title", "subject_name_in_abstract")
+REPLICATION_DESIGNS = ("randomized_controlled_trial", "interventional_exercise_bout_or_program")
+
+
+def literature_stats(screened: DataFrame, key: str) -> DataFrame:
+    """(metric, value, n) of screened records: counts, confirmed records by class, distinct years of the confirmed ones, and
+    escalations of each kind with their total. A count that is 0 is a row; years and kinds have rows where they occur."""
+    confirmed = F.col("subject_term_evidence").isin(*SUBJECT_CONFIRMED)
+    kind, tier = F.col("screen_class"), F.col("evidence_tier")
+    human = confirmed & (kind == "direct_human_exercise")
+    primary = human & (tier == "peer_reviewed_primary")
+    counts = {
+        "record_count": F.lit(True), "confirmed_count": confirmed, "human_exercise_count": human, "human_exercise_primary_count": primary, "replication_count": primary & F.col("intervention_design").isin(*REPLICATION_DESIGNS),
+        "mechanistic_count": confirmed & (kind == "animal_or_invitro_mechanistic"), "reviews_count": confirmed & (kind == "secondary_synthesis"), "non_exercise_count": confirmed & (kind == "human_non_exercise_context"),
+        "retracted_count": tier == "retracted_or_retraction_notice", "preprint_count": tier == "preprint_not_peer_reviewed", "human_exercise_with_accession": human & (F.size("accessions") > 0),
+        "subject_absent": F.col("subject_term_evidence") == "subject_name_absent_from_title_and_abstract", "no_abstract": F.col("subject_term_evidence") == "unknown_no_abstract_retrieved",
+        "homonym_flagged": F.col("homonym_risk") == "flagged_non_metabolite_homonym_context", "homonym_mixed": F.col("homonym_risk") == "mixed_material_and_biological_context", "uncertain_total": kind == "screening_uncertain_insufficient_text",
+    }
+    row = screened.agg(*[F.count_if(c).alias(m) for m, c in counts.items()])
+    out = row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(None).cast("string").alias("value"), F.col(m).alias("n")) for m in counts])).alias("x")).select("x.*")
+    year = F.nullif(F.trim("publication_year"), F.lit(""))
+    years = screened.filter(confirmed & year.isNotNull()).groupBy(year.alias("value")).agg(F.count("*").alias("n")).select(F.lit("year").alias("metric"), "value", "n")
+    raised = escalations(screened, key)
+    kinds = raised.groupBy(F.col("escalation").alias("value")).agg(F.count("*").alias("n")).select(F.lit("escalation").alias("metric"), "value", "n")
+    total = raised.agg(F.count("*").alias("n")).select(F.lit("escalation_total").alias("metric"), F.lit(None).cast("string").alias("value"), "n")
+    return out.unionByName(years).unionByName(kinds).unionByName(total)
+
+
 def source_escalations(sources: DataFrame) -> DataFrame:
     """Escalations of retrieval: unavailable is not zero hits, truncated is not complete."""
     kind = F.when(F.col("status") == "unavailable", "retrieval_source_unavailable").when((F.col("status") == "ok") & ~F.coalesce("pagination_complete", F.lit(False)), "retrieval_truncated")

@@ -11,6 +11,7 @@ from ..functions.collections import compact, when_flag
 from ..functions.kernels import fisher_right_p
 from ..functions.stats import ratio
 from .bh import adjust
+from .constraints import enforce
 from .ranks import quantiles
 from .relational import complete_grid
 
@@ -127,3 +128,43 @@ def match_search(rows: DataFrame, query_id: str, query_name: str, id_column: str
     inside = reduce(lambda a, b: a | b, [F.contains(n, F.lit(query_name.lower())) for n in low])
     kind = F.when(F.col(id_column) == query_id, "exact_id").when(exact, "exact_name").when(inside, "substring")
     return rows.withColumn("match_kind", kind).filter("match_kind is not null")
+
+
+# What a view says of intervals that no source reports, and of its inference.
+NO_INTERVAL, INFERENCE = "not_reported; no interval inferred by plotting layer", "feature-level source model; no cross-contrast pooling"
+
+
+def interval_violations(rows: DataFrame) -> DataFrame:
+    """Rows with half an interval, or with one whose ends are the wrong way round."""
+    low, high = F.col("ci_low"), F.col("ci_high")
+    why = F.when(low.isNull() != high.isNull(), "half_interval").when(low > high, "ends_reversed")
+    return rows.withColumn("violation", why).filter("violation is not null")
+
+
+def single_feature(rows: DataFrame, contrasts: DataFrame, feature: str) -> DataFrame:
+    """One feature's effects in the display order of their contrasts, intervals as their source reports them. The feature is a
+    row's canonical id, or its own where it has none. Rows whose interval is broken stop the view."""
+    own = F.coalesce(F.nullif(F.trim("canonical_feature_id"), F.lit("")), F.col("feature_id"))
+    chosen = rows.filter(own == feature)
+    enforce(interval_violations(chosen).select("feature_id", "contrast_id", "violation"), "broken intervals")
+    met = chosen.join(contrasts.select("contrast_id", "display_order"), "contrast_id")
+    said = F.coalesce(F.nullif(F.trim("ci_semantics"), F.lit("")), F.lit(NO_INTERVAL))
+    order = F.row_number().over(Window.orderBy("display_order", "contrast_id", "feature_id"))  # a row for each contrast
+    return met.withColumns({"ci_semantics": said, "single_feature_inference": F.lit(INFERENCE), "contrast_order": order})
+
+
+# The fields of an analysis stratum, in order.
+STRATUM_FIELDS = ("source_system", "study_id", "species", "sample_matrix", "assay_panel", "accession_or_contrast", "sex_or_subgroup")
+
+
+def stratum_value(fields: dict[str, Column]) -> Column:
+    """``field=value`` of all seven fields; one that is blank, or isn't given, is not_reported."""
+    value = lambda f: F.coalesce(F.nullif(F.trim(F.regexp_replace(fields[f].cast("string"), r"\s+", " ")), F.lit("")), F.lit("not_reported")) if f in fields else F.lit("not_reported")
+    return F.concat_ws(" | ", *[F.concat(F.lit(f"{f}="), value(f)) for f in STRATUM_FIELDS])
+
+
+def mixed_strata(rows: DataFrame, stratum: str, columns: list[str]) -> DataFrame:
+    """(stratum, column, values) of strata in which a column has several values, or none, where one is required."""
+    counts = rows.groupBy(stratum).agg(*[F.count_distinct(c).alias(c) for c in columns])
+    long = counts.select(stratum, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("values")) for c in columns])).alias("x")).select(stratum, "x.*")
+    return long.filter("values <> 1")
