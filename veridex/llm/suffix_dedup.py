@@ -180,7 +180,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
     kept = stage(suffixes(docs, length, gram), "suffixes")
     sorted_ = stage(neighbours(kept), "neighbours")
     release(kept)
-    near = keyed(docs).join(marked_places(sorted_, HOT if hot is None else hot), "doc_key").select("doc_key", "doc_id", "text", "places")
+    places = stage(marked_places(sorted_, HOT if hot is None else hot), "places")  # their aggregation isn't in the tasks that hold the texts
+    near = keyed(docs).join(places, "doc_key").select("doc_key", "doc_id", "text", "places")
     schema = pa.schema([("doc_key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("gram", pa.int64()), ("salts", pa.int32()), ("lead", pa.int32()), ("body", pa.binary())])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: b
             yield to_batch({"doc_key": part.column("doc_key").take(pa.array(doc)), "doc_id": part.column("doc_id").take(pa.array(doc)), "start": first - words.offsets[doc], "gram": gram_keys(words, at, gram).view(np.int64), "salts": salts, "lead": at - first, "body": body}, schema)
 
     found = stage(map_arrow(near, extend, "doc_key bigint, doc_id bigint, start int, gram bigint, salts int, lead int, body binary"), "repeated-suffixes")
-    release(sorted_)
+    release(sorted_, places)
     side = length - gram
 
     def solve(table: pa.Table) -> pa.RecordBatch:
