@@ -107,8 +107,8 @@ def f_upper(f, d1, d2) -> np.ndarray:
 def gammainc_p(a, x) -> np.ndarray:
     """Regularised lower incomplete gamma; by its own series where it is small, so it keeps its digits there."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
-    out = 1 - gammainc_q(a, x)
-    low = (a > 0) & (x > 0) & (x < a + 1)
+    out = np.array(1 - gammainc_q(a, x))
+    low = np.asarray((a > 0) & (x > 0) & (x < a + 1))
     if low.any():
         s, z = a[low], x[low]
         term = total = 1 / s
