@@ -18,13 +18,14 @@ def rows():
     return out + [("one", "x", 7.0), ("none", "x", None), ("ties", "x", None)]
 
 
+@pytest.mark.parametrize("small", [0, 1_000_000], ids=["ranges", "groups"])
 @pytest.mark.parametrize("partitions", [1, 7])
-def test_quantiles_of_groups(spark, rows, partitions):
+def test_quantiles_of_groups(spark, rows, partitions, small):
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
         df = spark.createDataFrame(rows, "a string, b string, v double")
         for by in (["a", "b"], ["a"], []):
-            got = {tuple(r[c] for c in by): r.q for r in quantiles(df, by, "v", AT, "q").collect()}
+            got = {tuple(r[c] for c in by): r.q for r in quantiles(df, by, "v", AT, "q", small).collect()}
             held = {}
             for a, b, v in rows:
                 if v is not None:
@@ -38,5 +39,6 @@ def test_quantiles_of_groups(spark, rows, partitions):
 
 def test_quantiles_without_rows(spark):
     empty = spark.createDataFrame([], "a string, v double")
-    assert quantiles(empty, ["a"], "v", AT, "q").collect() == []
-    assert [r.q for r in quantiles(empty, [], "v", AT, "q").collect()] in ([], [[None] * len(AT)])
+    for small in (-1, 0, 10):
+        assert quantiles(empty, ["a"], "v", AT, "q", small).collect() == []
+        assert [r.q for r in quantiles(empty, [], "v", AT, "q", small).collect()] in ([], [None], [[None] * len(AT)])

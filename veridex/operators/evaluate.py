@@ -70,6 +70,20 @@ def split_leaks(train: DataFrame, test: DataFrame, keys: list[str], vector: list
     return ids.unionByName(vectors)
 
 
+def shared_values(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, shared): how many distinct values of a column both splits have; NULL is no value. Values are told apart by
+    their SHA-256, so that long texts cost as much as ids; both splits are taken apart in one scan."""
+
+    def cells(df: DataFrame, side: str) -> DataFrame:
+        held = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.unhex(F.sha2(F.col(c).cast("string"), 256)).alias("value")) for c in columns])).alias("x")
+        return df.select(held).select("x.*").filter("value is not null").withColumn("side", F.lit(side))
+
+    met = cells(train, "train").unionByName(cells(test, "test")).groupBy("column", "value").agg((F.min("side") != F.max("side")).alias("both"))
+    counts = met.groupBy("column").agg(F.count_if("both").alias("shared"))
+    named = train.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return F.broadcast(named).join(counts, "column", "left").select("column", F.coalesce("shared", F.lit(0).cast("bigint")).alias("shared"))
+
+
 def label_copies(long: DataFrame, label: str, feature: str, value: str) -> DataFrame:
     """Features that are constant within each class and differ between them: copies of the label."""
     by = long.groupBy(feature, label).agg(F.count_distinct(value).alias("k"), F.min(value).alias("v"))

@@ -140,3 +140,15 @@ def reference_contrast(ranked: DataFrame, requested: str | None = None, contrast
     if best is None and contrasts is not None:
         return contrasts.agg(F.min("left_contrast")).first()[0]
     return best.left_contrast if best else None
+
+
+def reference_rows(ranked: DataFrame, requested: Column | None = None, contrasts: DataFrame | None = None) -> DataFrame:
+    """The same as one row of a plan: (left_contrast), NULL where there is no contrast, or not the requested one."""
+    if requested is not None:
+        return ranked.agg(F.max(F.when(F.col("left_contrast") == requested, F.col("left_contrast"))).alias("left_contrast"))
+    order = F.struct("score", "n_overlap", "left_contrast", "right_contrast")
+    best = ranked.agg(F.max_by("left_contrast", order).alias("left_contrast"))
+    if contrasts is None:
+        return best
+    first = contrasts.agg(F.min("left_contrast").alias("_first"))
+    return best.join(F.broadcast(first)).select(F.coalesce("left_contrast", "_first").alias("left_contrast"))  # one row each

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..staging import stage
 
 _PART, _BEFORE = "_part", "_before"
+#: Distinct values of a group that one aggregation may hold: some 10 MB.
+SMALL = 100_000
 
 
 def _offsets(ranged: DataFrame, weight: Column) -> DataFrame:
@@ -43,16 +45,22 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
-def quantiles(df: DataFrame, by: list[str], column: str, at: list[float], out: str) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], column: str, at: list[float], out: str, small: int = SMALL) -> DataFrame:
     """The ``by`` columns and an array of exact quantiles, interpolated between neighbours as SQL's percentile does.
 
     Distinct values are counted with partial aggregation and range-partitioned by group and value, so a group of any size
-    lies in many partitions, each of which knows how many values of its groups come before it. NULL values don't count, a
+    lies in many partitions, each of which knows how many values of its groups come before it. If no group has more than
+    ``small`` distinct values, as counted first, they are aggregated group by group instead. NULL values don't count, a
     group of NULLs only has no row; NaN is over all numbers; NULL is a group like others.
     """
     keys = [f"_by{i}" for i in range(len(by))]
     value = F.col(column).cast("double")
     counts = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], value.alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    counts = stage(counts, "counts")
+    widest = counts.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    if widest <= small:  # then a group's distinct values fit into one aggregation buffer, and the same result needs no sorting
+        found = counts.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in at]), F.col("_n")).alias(out))
+        return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], out)
     ranged = stage(counts.repartitionByRange(*keys, "_v").withColumn(_PART, F.spark_partition_id()), "values")
     # a group has a row for each partition that it reaches into
     sizes = ranged.groupBy(*keys, _PART).agg(F.sum("_n").alias("_size"))

@@ -179,6 +179,15 @@ def leakage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.split_leaks(e.filter("label = 0"), e.filter("label = 1"), ["vec_id"], ["v"]).agg(F.count("*").alias("leaks"))
 
 
+@query("document_split_leaks", """
+WITH t AS (SELECT doc_id, source, text, doc_id % 3 = 0 AS test FROM documents WHERE text IS NOT NULL)
+SELECT 'text' AS "column", count(*) AS shared FROM (SELECT text FROM t WHERE test INTERSECT SELECT text FROM t WHERE NOT test) UNION ALL SELECT 'source', count(*) FROM (SELECT source FROM t WHERE test INTERSECT SELECT source FROM t WHERE NOT test) UNION ALL SELECT 'doc_id', 0""")
+def document_split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that training and test rows share, by column: texts that were copied, sources, and no ids."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", "text")
+    return evaluate.shared_values(docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 3 = 0"), ["text", "source", "doc_id"])
+
+
 _MAPS = """
 p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'not_mapped' ELSE p_brand END AS cv, CASE p_size % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'requires_human_review' ELSE 'rejected' END AS st FROM part WHERE p_partkey % 11 <> 0),
 g AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 8 = 0 THEN 'Brand#99' ELSE p_brand END AS cv, CASE WHEN p_size % 3 = 0 AND p_partkey % 6 <> 0 THEN 'accepted' WHEN p_size % 3 = 1 OR p_partkey % 6 = 0 THEN 'requires_human_review' ELSE 'rejected' END AS st FROM part WHERE p_partkey % 7 <> 0),

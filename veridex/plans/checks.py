@@ -115,26 +115,27 @@ def invalid_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("label_copies", """
-WITH l AS (SELECT label, 'f' || i AS feature, CASE WHEN i = 1 THEN label * 2.5 WHEN i = 2 THEN 7.0 WHEN i = 3 THEN vec_id % 3 ELSE CAST(embedding[i] AS DOUBLE) END AS v FROM embeddings, range(1, 9) t(i)),
+WITH l AS (SELECT label, 'f' || i AS feature, CASE WHEN i = 1 THEN label * 2.5 WHEN i = 2 THEN 7.0 WHEN i = 3 THEN vec_id % 3 ELSE CAST(embedding[i] AS DOUBLE) END AS v FROM embeddings, range(1, len(embedding) + 1) t(i)),
 b AS (SELECT feature, label, count(DISTINCT v) AS k, min(v) AS v FROM l GROUP BY ALL)
 SELECT feature FROM b GROUP BY feature HAVING max(k) = 1 AND count(DISTINCT v) = count(*) AND count(*) > 1""")
 def label_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features that only repeat the label."""
     e = table(spark, sf_dir, "embeddings")
     v = F.when(F.col("i") == 1, F.col("label") * 2.5).when(F.col("i") == 2, F.lit(7.0)).when(F.col("i") == 3, (F.col("vec_id") % 3).cast("double")).otherwise(F.element_at("embedding", F.col("i")).cast("double"))
-    long = e.select("vec_id", "label", "embedding", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("i")).select("label", F.concat(F.lit("f"), "i").alias("feature"), v.alias("v"))
+    long = e.select("vec_id", "label", "embedding", F.explode(F.sequence(F.lit(1), F.size("embedding"))).alias("i")).select("label", F.concat(F.lit("f"), "i").alias("feature"), v.alias("v"))
     return evaluate.label_copies(long, "label", "feature", "v")
 
 
 @query("reference_contrast", """
 WITH c AS (SELECT o_orderpriority AS l, o_orderstatus AS r, count(*) AS n, avg(o_totalprice) AS s FROM orders GROUP BY ALL)
-SELECT (SELECT l FROM c ORDER BY s DESC, n DESC, l DESC, r DESC LIMIT 1) AS best, (SELECT min(l) FROM c) AS requested, (SELECT min(l) FROM c) AS first""")
+SELECT (SELECT l FROM c ORDER BY s DESC, n DESC, l DESC, r DESC LIMIT 1) AS best, (SELECT max(l) FROM c WHERE l = '1-URGENT') AS requested, (SELECT min(l) FROM c) AS first""")
 def reference_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference contrast: the best-ranked, the requested one, and the first where nothing is ranked."""
     c = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("left_contrast"), F.col("o_orderstatus").alias("right_contrast")).agg(F.count("*").alias("n_overlap"), F.avg("o_totalprice").alias("score"))
-    first = c.agg(F.min("left_contrast")).first()[0]
-    row = (paired.reference_contrast(c), paired.reference_contrast(c, first), paired.reference_contrast(c.filter("false"), None, c))
-    return spark.createDataFrame([row], "best string, requested string, first string")
+    best = paired.reference_rows(c).select(F.col("left_contrast").alias("best"))
+    asked = paired.reference_rows(c, F.lit("1-URGENT")).select(F.col("left_contrast").alias("requested"))
+    first = paired.reference_rows(c.filter("false"), contrasts=c).select(F.col("left_contrast").alias("first"))
+    return best.join(F.broadcast(asked)).join(F.broadcast(first))  # one row each
 
 
 @query("exact_universe_equal", """
