@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_identifier, norm_scheme, norm_unit
 from ..schemas import ASSAY_MISSING
-from ..staging import stage
+from ..staging import release, stage
 from .blocking import shared_pairs
 from .constraints import enforce
 
@@ -204,8 +204,10 @@ def decide(pairs: DataFrame, records: DataFrame, from_candidates: bool = False)
     if not from_candidates:
         enforce(pairs.filter("left_id = right_id"), "a feature cannot be harmonised with itself")
     parts_of = {**_identity(), **_quantity(), **_qaqc()}
+    known = stage(normalised(records), "records")  # a pair reads it twice
     # staged: what follows reads each assessment several times, and would build it again each time
-    rows = stage(paired(pairs, normalised(records)).select("left_id", "right_id", *[c.alias(n) for n, c in parts_of.items()]), "assessments")
+    rows = stage(paired(pairs, known).select("left_id", "right_id", *[c.alias(n) for n, c in parts_of.items()]), "assessments")
+    release(known)
     parts = [F.col(f"{p}_status") for p in ("identity", "quantity", "qaqc")]
     any_of = lambda s: reduce(lambda a, b: a | b, [p == s for p in parts])
     status = F.when(any_of("non_combinable"), "non_combinable").when(any_of("requires_human_review"), "requires_human_review").otherwise("accepted")

@@ -122,6 +122,40 @@ def mapping_cases(joined: DataFrame) -> DataFrame:
     return joined.withColumn("reason_codes", F.array_join(reasons, ";")).withColumn("outcome", F.when(F.size(reasons) > 0, reasons[0]).otherwise("correct"))
 
 
+# A scope that nobody declared, and the one that has no score.
+NOT_DECLARED, OUT_OF_SCOPE = "not_declared", "out_of_scope_non_human"
+
+
+def quality_cases(joined: DataFrame, tolerance: str = "0.15") -> DataFrame:
+    """Each joined study with its reasons, outcome, absolute_difference and within_tolerance. Where the expert put a study out of
+    scope only the scopes are compared; a scope that a side doesn't declare can't differ."""
+    both, scope = F.col("in_predicted") & F.col("in_gold"), lambda side: F.coalesce(F.col(f"{side}_scope_status"), F.lit(NOT_DECLARED))
+    compared = both & (scope("g") != OUT_OF_SCOPE)
+    scores = [F.col(f"{side}_overall_score").cast("decimal(10,6)") for side in "pg"]
+    difference = F.when(compared, F.abs(scores[0] - scores[1]))
+    within = difference <= F.lit(tolerance).cast("decimal(10,6)")
+    found = {
+        "missing_prediction": ~F.col("in_predicted"), "unexpected_prediction": ~F.col("in_gold"), "scope_status_mismatch": both & (scope("g") != NOT_DECLARED) & (scope("p") != NOT_DECLARED) & (scope("g") != scope("p")),
+        "quality_score_not_reported": compared & scores[0].isNull(), "quality_score_outside_tolerance": F.coalesce(~within, F.lit(False)),
+    }
+    reasons = F.array_compact(F.array(*[F.when(found[o], F.lit(o)) for o in OUTCOMES if o in found]))
+    return joined.withColumns({"reason_codes": F.array_join(reasons, ";"), "outcome": F.when(F.size(reasons) > 0, reasons[0]).otherwise("correct"), "absolute_difference": difference, "within_tolerance": within})
+
+
+def disagreements(mappings: DataFrame, quality: DataFrame, study: Column, variable: Column) -> DataFrame:
+    """The cases that aren't correct as one table of 16 columns; what a kind of case doesn't have is NULL. ``study`` and
+    ``variable`` name a mapping case; a quality case's study is its key ``study``."""
+    none = lambda kind: F.lit(None).cast(kind)
+    scores, pair = ("gold_overall_score", "predicted_overall_score"), lambda c: (F.col(f"g_{c}").alias(f"gold_{c}"), F.col(f"p_{c}").alias(f"predicted_{c}"))
+    maps = mappings.filter("outcome <> 'correct'").select(
+        F.lit("mapping").alias("case_type"), study.alias("source_study"), variable.alias("source_variable"), F.coalesce("g_common_variable", "p_common_variable").alias("common_variable"), "outcome", "reason_codes", *pair("common_variable"), *pair("review_status"),
+        *[none("decimal(10,6)").alias(c) for c in scores], none("string").alias("gold_scope_status"), none("string").alias("predicted_scope_status"), none("decimal(10,6)").alias("absolute_difference"), none("boolean").alias("within_tolerance"))
+    studies = quality.filter("outcome <> 'correct'").select(
+        F.lit("quality").alias("case_type"), study.alias("source_study"), none("string").alias("source_variable"), none("string").alias("common_variable"), "outcome", "reason_codes", *[none("string").alias(c) for c in ("gold_common_variable", "predicted_common_variable", "gold_review_status", "predicted_review_status")],
+        *[F.col(f"{c[0]}_overall_score").cast("decimal(10,6)").alias(c) for c in scores], *pair("scope_status"), F.col("absolute_difference").cast("decimal(10,6)").alias("absolute_difference"), "within_tolerance")
+    return maps.unionByName(studies)
+
+
 def _rates(counts: DataFrame, names: list[str], *more: str) -> DataFrame:
     """(metric, hits, total, value, low, high, undefined_reason) of count columns h_ and t_; the value has three decimals."""
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"h_{m}").alias("hits"), F.col(f"t_{m}").alias("total")) for m in names])

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import chi2_lower_p, chi2_upper_p
-from ..operators import linalg, paired, screening, views
+from ..operators import evaluate, linalg, paired, screening, views
 from ..registry import query, table
-from . import rules
+from . import analysis, rules
 from .effects import CUT, event_pairs
 
 
@@ -119,3 +119,18 @@ def chi2_both_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count("*")
     g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg((2 * (1 + n % 9)).alias("df"), (1 + n % 30).cast("double").alias("x"))
     return g.select("l_returnflag", "l_linestatus", "df", "x", F.round(chi2_upper_p(F.col("x"), F.col("df")), 9).alias("upper"), F.round(chi2_lower_p(F.col("x"), F.col("df")), 9).alias("lower"))
+
+
+@query("benchmark_disagreements", "WITH " + analysis._MAPS.replace("j AS (SELECT p.k IS NOT NULL", "j AS (SELECT k, p.k IS NOT NULL") + "," + analysis._QUALITY + """,
+r AS (SELECT *, list_filter([CASE WHEN NOT inp THEN 'missing_prediction' END, CASE WHEN NOT ing THEN 'unexpected_prediction' END, CASE WHEN inp AND ing AND pc <> gc THEN 'common_variable_mismatch' END, CASE WHEN inp AND ing AND ps <> gs THEN 'review_status_mismatch' END,
+ CASE WHEN inp AND ps = 'accepted' AND pc <> 'not_mapped' AND NOT coalesce(ing AND gs = 'accepted' AND pc = gc, false) THEN 'unsafe_auto_accept' END], lambda x: x IS NOT NULL) AS reasons FROM j),
+w AS (SELECT q.*, psc IS NOT NULL AS inp, CASE WHEN psc IS NOT NULL AND gsc <> 'out_of_scope_non_human' THEN abs(ps - gs) END AS off FROM q),
+x AS (SELECT *, list_filter([CASE WHEN NOT inp THEN 'missing_prediction' END, CASE WHEN inp AND gsc <> 'not_declared' AND gsc <> psc THEN 'scope_status_mismatch' END, CASE WHEN inp AND gsc <> 'out_of_scope_non_human' AND ps IS NULL THEN 'quality_score_not_reported' END, CASE WHEN off > 0.15 THEN 'quality_score_outside_tolerance' END], lambda x: x IS NOT NULL) AS reasons FROM w)
+SELECT 'mapping' AS case_type, CAST(k AS VARCHAR) AS source_study, 'v' || k AS source_variable, coalesce(gc, pc) AS common_variable, reasons[1] AS outcome, array_to_string(reasons, ';') AS reason_codes, gc AS gold_common_variable, pc AS predicted_common_variable, gs AS gold_review_status, ps AS predicted_review_status,
+ CAST(NULL AS DECIMAL(10, 6)) AS gold_overall_score, CAST(NULL AS DECIMAL(10, 6)) AS predicted_overall_score, CAST(NULL AS VARCHAR) AS gold_scope_status, CAST(NULL AS VARCHAR) AS predicted_scope_status, CAST(NULL AS DECIMAL(10, 6)) AS absolute_difference, CAST(NULL AS BOOLEAN) AS within_tolerance FROM r WHERE len(reasons) > 0
+UNION ALL SELECT 'quality', CAST(k AS VARCHAR), NULL, NULL, reasons[1], array_to_string(reasons, ';'), NULL, NULL, NULL, NULL, gs, ps, gsc, psc, off, off <= 0.15 FROM x WHERE len(reasons) > 0""")
+def benchmark_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mapping and quality case that isn't correct, in one table of 16 columns."""
+    k = F.col("k").cast("string")
+    maps = evaluate.mapping_cases(analysis.mappings(spark, sf_dir))
+    return evaluate.disagreements(maps, evaluate.quality_cases(analysis.qualities(spark, sf_dir)), k, F.concat(F.lit("v"), k))
