@@ -80,3 +80,14 @@ def test_quoted_headers(spark, tmp_path):
 def test_unknown_aliases_are_null(spark):
     got = [r.s for r in spark.createDataFrame([("Blood",), ("nowhere",), (None,)], "a string").select(intake.resolved(F.col("a"), intake.SCOPES).alias("s")).collect()]
     assert got == ["blood_plasma", None, None]
+
+
+def test_letters_and_blanks_beyond_ascii(spark):
+    from veridex.functions import text
+    from veridex.operators import ledger
+
+    row = spark.createDataFrame([(" CHEBI:12 ", "a  　b", "maſs index", "ＳＴ")], "a string, b string, c string, d string")
+    got = row.select(text.namespace(F.col("a")).alias("a"), text.norm_space(F.col("b")).alias("b"), text.norm_unit(F.lit("mg / dL")).alias("u")).first()
+    assert (got.a, got.b, got.u) == ("chebi", "a b", "mg/dl")
+    packets = spark.createDataFrame([(1, '{"detail": "the ACCEPTED candidate; reject this Study"}'), (2, '{"detail": "Étude réussie"}')], "id int, body string")
+    assert {r.id for r in ledger.packet_violations(packets, "id", "body").collect()} == {1}

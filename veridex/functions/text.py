@@ -38,7 +38,7 @@ def norm_metabolite(x: Column, missing=("", "na", "nan", "none", "null", "unknow
 
 
 def norm_space(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"(?U)\s+", " "))
 
 
 def norm_alnum(x: Column) -> Column:
@@ -63,7 +63,7 @@ def slug(x: Column, joiner: str = "_") -> Column:
 
 def norm_unit(x: Column) -> Column:
     """Units in one spelling: lower case, micro signs as u, no blanks, "per" as "/", litre as l."""
-    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), "µμ", "uu"), r"\s+", "")
+    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(x, F.lit(""))), "µμ", "uu"), r"(?U)\s+", "")
     return F.regexp_replace(F.replace(bare, F.lit("per"), F.lit("/")), "lit(?:re|er)", "l")
 
 
@@ -79,7 +79,7 @@ def norm_scheme(scheme: Column) -> Column:
 
 def norm_identifier(scheme: Column, value: Column) -> Column:
     """An identifier without blanks, in the case of its scheme; bare ChEBI numbers get their prefix."""
-    kind, bare = norm_scheme(scheme), F.regexp_replace(value, r"\s+", "")
+    kind, bare = norm_scheme(scheme), F.regexp_replace(value, r"(?U)\s+", "")
     cased = F.when(kind.isin(*UPPER_SCHEMES), F.upper(bare)).otherwise(bare)
     return F.when((kind == "chebi") & cased.rlike(r"^\d+$"), F.concat(F.lit("CHEBI:"), cased)).otherwise(cased)
 
@@ -123,8 +123,8 @@ NAMESPACES = (
 
 def namespace(x: Column, grammars=NAMESPACES) -> Column:
     """The namespace of an identifier without blanks around it, or NULL."""
-    bare = F.regexp_replace(x, r"^\s+|\s+$", "")
-    return F.coalesce(*[F.when(bare.rlike(rf"(?i)\A(?:{pattern})\z"), F.lit(name)) for name, pattern in grammars])
+    bare = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.coalesce(*[F.when(bare.rlike(rf"(?iu)\A(?:{pattern})\z"), F.lit(name)) for name, pattern in grammars])
 
 
 # Repository accessions as they are written, upper and lower case told apart.
@@ -193,13 +193,13 @@ PATH_HOSTILE = r"[/?#%&;\\]"
 
 def path_encode(x: Column) -> Column:
     """A path segment with runs of blanks as "+"; NULL where a character would break the path, and for NULL."""
-    bare = F.regexp_replace(x, r"^\s+|\s+$", "")
-    return F.when(~bare.rlike(PATH_HOSTILE), F.regexp_replace(bare, r"\s+", "+"))
+    bare = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.when(~bare.rlike(PATH_HOSTILE), F.regexp_replace(bare, r"(?U)\s+", "+"))
 
 
 def single_gene(x: Column) -> Column:
     """Whether a value is one gene identifier: several in one request answer with a mixed body."""
-    bare = F.regexp_replace(x, r"^\s+|\s+$", "")
+    bare = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     return F.coalesce(bare.rlike(r"\A[A-Za-z0-9._:-]+\z") & ~F.contains(bare, F.lit("__")), F.lit(False))
 
 
@@ -226,7 +226,7 @@ TIME_TOKENS = (
 def timepoint(text: Column) -> Column:
     """pre, time_<label> or unknown, of a factor string or a sample id: a ``Time:`` factor first, then whole tokens."""
     whole = F.coalesce(text, F.lit(""))
-    factor = F.regexp_replace(F.lower(F.regexp_extract(whole, r"(?i)(?:^|\|)\s*time\s*:\s*([^|]+)", 1)), "[^a-z0-9]+", "")
+    factor = F.regexp_replace(F.lower(F.regexp_extract(whole, r"(?iu)(?:^|\|)\s*time\s*:\s*([^|]+)", 1)), "[^a-z0-9]+", "")
     explicit = F.when(factor.isin(*TIME_PRE), F.lit("pre")).when(~factor.isin(*TIME_NONE), F.concat(F.lit("time_"), factor))
     return F.coalesce(explicit, *[F.when(F.lower(whole).rlike(p), F.lit(name)) for name, p in TIME_TOKENS], F.lit("unknown"))
 
@@ -237,7 +237,7 @@ def sample_timepoint(factors: Column, sample: Column) -> Column:
 
 
 def _token(label: Column, token: str) -> Column:
-    return label.rlike(f"(?i)(^|[^A-Za-z0-9]){token}([^A-Za-z0-9]|$)")
+    return label.rlike(f"(?iu)(^|[^A-Za-z0-9]){token}([^A-Za-z0-9]|$)")
 
 
 def _letters(label: Column) -> Column:
@@ -258,7 +258,7 @@ def sex_label(label: Column) -> Column:
     """female or male of an explicit label, else ''."""
     text = F.coalesce(label, F.lit(""))
     short = [F.when(_letters(text).isin(sex, f"{sex}s") | _token(text, sex[0]), F.lit(sex)) for sex in ("female", "male")]
-    inside = [F.when(text.rlike(f"(?i)(^|[^a-z]){sex}(s)?([^a-z]|$)"), F.lit(sex)) for sex in ("female", "male")]
+    inside = [F.when(text.rlike(f"(?iu)(^|[^a-z]){sex}(s)?([^a-z]|$)"), F.lit(sex)) for sex in ("female", "male")]
     return F.coalesce(*short, *inside, F.lit(""))
 
 

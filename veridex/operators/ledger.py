@@ -98,7 +98,7 @@ FORBIDDEN_TOGETHER = (
 TIME_FIELDS = ("created_at", "generated_at", "updated_at", "timestamp")
 # Fields of prose, what is left out of it before it is read, and statements of authority in the rest.
 PROSE_FIELDS = ("intended_use", "detail", "description")
-NEGATED = r"(?i)\b(?:without|cannot|never|must not|do not|does not|did not)\b[^.;!?]*"
+NEGATED = r"(?iu)\b(?:without|cannot|never|must not|do not|does not|did not)\b[^.;!?]*"
 STATEMENTS = (
     ("acceptance or rejection decision", r"\b(?:accept|reject)(?:s|ed|ing)?\s+(?:(?:this|the|a|an)\s+)?(?:mapping|dataset|study|evidence|candidate)\b|\b(?:mapping|dataset|study|evidence|candidate)\s+(?:(?:is|was|has been|should be|must be|can be|may be|will be)\s+)?(?:accepted|rejected)\b|\b(?:acceptance|rejection)\s+(?:is\s+)?(?:recommended|approved|authorized|final|warranted)\b"),
     ("confidence score", r"\bconfidence(?:\s+score)?\s*(?:(?:is|=|:)\s*)?(?:0(?:\.\d+)?|1(?:\.0+)?|high|medium|low)\b"),
@@ -125,7 +125,7 @@ def packet_violations(packets: DataFrame, key: str, body: str) -> DataFrame:
     prose = F.regexp_extract_all(text, F.lit(rf'"(?:{"|".join(PROSE_FIELDS)})"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
     said = F.transform(prose, lambda v: F.regexp_replace(F.element_at(F.from_json(F.concat(F.lit('["'), v, F.lit('"]')), "array<string>"), 1), NEGATED, ""))
     tagged = lambda kind, names: F.transform(names, lambda n: F.concat(F.lit(f"{kind}:"), n))
-    states = lambda pattern: F.exists(said, lambda v: v.rlike(f"(?i)(?:{pattern})"))
+    states = lambda pattern: F.exists(said, lambda v: v.rlike(f"(?iu)(?:{pattern})"))
     statements = F.array_compact(F.array(*[F.when(states(pattern), F.lit(f"statement:{label}")) for label, pattern in STATEMENTS]))
     found = F.concat(tagged("field", F.filter(fields, forbidden)), tagged("time", F.filter(fields, of_time)), statements)
     return packets.select(key, F.explode(F.when(F.try_parse_json(text).isNull(), F.array(F.lit("not_json"))).otherwise(found)).alias("violation"))

@@ -173,12 +173,12 @@ def title_screen(title: Column) -> Column:
     """(class, terms, phrases, sweep) of a title: its inference class, the terms and ambiguous phrases in it, joined by ";"."""
     left, phrases = F.coalesce(title, F.lit("")), []
     for name, pattern in AMBIGUOUS_PHRASES:
-        phrases.append(F.when(left.rlike(f"(?i){pattern}"), F.lit(name)))
-        left = F.regexp_replace(left, f"(?i){pattern}", " ")
-    terms = [F.when(left.rlike(f"(?i)(?:{pattern})"), F.lit(name)) for name, pattern in EXERCISE_TERMS]
+        phrases.append(F.when(left.rlike(f"(?iu){pattern}"), F.lit(name)))
+        left = F.regexp_replace(left, f"(?iu){pattern}", " ")
+    terms = [F.when(left.rlike(f"(?iu)(?:{pattern})"), F.lit(name)) for name, pattern in EXERCISE_TERMS]
     some = lambda found: reduce(lambda a, b: a | b, [c.isNotNull() for c in found])
     kind = F.when(some(terms), "title_supports_exercise_context").when(some(phrases), "title_ambiguous_term_only").otherwise("title_no_exercise_term")
-    sweep = F.coalesce(title.rlike(f"(?i){RETRIEVAL_SWEEP}"), F.lit(False))
+    sweep = F.coalesce(title.rlike(f"(?iu){RETRIEVAL_SWEEP}"), F.lit(False))
     return F.struct(kind.alias("class"), F.concat_ws(";", *terms).alias("terms"), F.concat_ws(";", *phrases).alias("phrases"), sweep.alias("sweep"))
 
 
