@@ -91,3 +91,9 @@ def test_letters_and_blanks_beyond_ascii(spark):
     assert (got.a, got.b, got.u) == ("chebi", "a b", "mg/dl")
     packets = spark.createDataFrame([(1, '{"detail": "the ACCEPTED candidate; reject this Study"}'), (2, '{"detail": "Étude réussie"}')], "id int, body string")
     assert {r.id for r in ledger.packet_violations(packets, "id", "body").collect()} == {1}
+
+
+def test_flags_of_studies_go_by_whole_words(spark):
+    row = spark.createDataFrame([("a dietary study of humans", "cross-training", None)], "a string, b string, c string")
+    flags = row.select(*[c.alias(n) for n, c in screening.publication_flags(F.col("a"), F.col("b"), F.col("c")).items()]).first().asDict()
+    assert flags == {"human": False, "exercise": True, "actigraphy": False, "genetics": False, "cpet": False, "body_composition": False, "diet": False, "metabolomics": True}

@@ -90,6 +90,19 @@ def compound_identifier(x: Column) -> Column:
     return F.when(up.rlike(r"^HMDB\d+$"), F.concat(F.lit("HMDB"), F.lpad(digits, 7, "0"))).when(up.rlike(r"^C\d{1,5}$"), F.concat(F.lit("C"), F.lpad(digits, 5, "0"))).otherwise(F.trim(x))
 
 
+def compound_input(item: Column, value: Column) -> Column:
+    """(value, applied) of an identifier as a service's input item takes it: HMDB numbers to seven digits, ChEBI without its prefix,
+    keys in upper case. ``applied`` says what was changed, from what to what, or none: a formatting fix is no finding."""
+    bare = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)^\s+|\s+$", "")
+    hmdb, chebi = (F.regexp_extract(bare, pattern, 1) for pattern in (r"(?iU)\AHMDB0*(\d+)\z", r"(?iU)\ACHEBI:\s*(\d+)\z"))
+    # of "0000" the last digit is left, as of any number
+    padded = F.concat(F.lit("HMDB"), F.when(F.length(hmdb) >= 7, hmdb).otherwise(F.lpad(hmdb, 7, "0")))
+    upper = F.upper(bare)
+    found = F.when((item == "hmdb_id") & (hmdb != ""), padded).when((item == "chebi_id") & (chebi != ""), chebi).when(item.isin("inchi_key", "kegg_id"), upper).otherwise(bare)
+    name = F.when(item == "hmdb_id", "zero_padded_hmdb_id").when(item == "chebi_id", "stripped_chebi_prefix").otherwise(F.concat(F.lit("upper_cased_"), item))
+    return F.struct(found.alias("value"), F.when(found == bare, "none").otherwise(F.concat(name, F.lit(":"), bare, F.lit("->"), found)).alias("applied"))
+
+
 # Identifier grammars, matched against the whole value in any case; the first that matches names the namespace.
 NAMESPACES = (
     ("inchikey", r"[A-Z]{14}-[A-Z]{10}-[A-Z]"),

@@ -12,7 +12,7 @@ from ..functions.text import first_filled, is_mw_accession
 from ..schemas import AVAILABILITY, MODALITY_FLAGS, REVIEW_STATUS
 from ..sources.files import agreeing
 from .constraints import ConstraintError, duplicates, enforce, outside
-from .screening import modality_text_flags
+from .screening import publication_flags
 
 # Other words for availability.
 AVAILABILITY_ALIASES = {"open": "public", "available": "public", "restricted": "restricted_metadata_only", "controlled": "restricted_metadata_only", "closed": "not_available", "": "unknown"}
@@ -94,7 +94,7 @@ def study_records(summaries: DataFrame, analyses: DataFrame, factors: DataFrame)
     f = factors.groupBy("study_id").agg(joined_set(F.col("sample_source")).alias("sample_matrix"), F.count_distinct("sample_id").alias("sample_size"), joined_set(F.concat_ws(",", F.array_sort(F.map_keys(factor_map(F.col("factors")))))).alias("factor_names"))
     out = summaries.join(a, "study_id", "left").join(f, "study_id", "left")
     text = F.concat_ws(" ", "title", "summary", "factor_names")
-    return out.select("study_id", "title", F.coalesce("assay_platform", F.lit("unknown")).alias("assay_platform"), F.coalesce("sample_matrix", F.lit("unknown")).alias("sample_matrix"), "sample_size", "analyses", *[c.alias(n) for n, c in modality_text_flags(text).items()])
+    return out.select("study_id", "title", F.coalesce("assay_platform", F.lit("unknown")).alias("assay_platform"), F.coalesce("sample_matrix", F.lit("unknown")).alias("sample_matrix"), "sample_size", "analyses", *[c.alias(n) for n, c in publication_flags(text).items()])
 
 
 def assay_scope(indexed: Column, label: Column) -> Column:

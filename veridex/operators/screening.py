@@ -182,7 +182,19 @@ def title_screen(title: Column) -> Column:
     return F.struct(kind.alias("class"), F.concat_ws(";", *terms).alias("terms"), F.concat_ws(";", *phrases).alias("phrases"), sweep.alias("sweep"))
 
 
-def modality_text_flags(text: Column) -> dict[str, Column]:
-    """Six flags from concatenated metadata text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return {m: matches_any(low, BANKS[m]) for m in ("exercise", "actigraphy", "genetics", "cpet", "body_composition", "diet")}
+# What a study's metadata says of it, in lower-cased text.
+PUBLICATION_FLAGS = {
+    "human": (r"\bhomo sapiens\b", r"\bhuman\b"),
+    "exercise": (r"\bexercise\b", r"\bendurance\b", r"\bresistance\b", r"\btraining\b", r"\btreadmill\b", r"\brun\b", r"\brunning\b"),
+    "actigraphy": (r"\bactigraphy\b", r"\bacceleromet"),
+    "genetics": (r"\bgenetic", r"\bgenomic", r"\bgenotype"),
+    "cpet": (r"\bcpet\b", r"cardiopulmonary", r"\bvo2", r"oxygen consumption"),
+    "body_composition": (r"body composition", r"\bdxa\b", r"\bfat mass\b", r"\blean mass\b"),
+    "diet": (r"\bdiet\b", r"\bnutrition\b", r"\bfood\b"),
+}
+
+
+def publication_flags(*parts: Column) -> dict[str, Column]:
+    """Flags of a study from all parts of its metadata; every study of the repository is a metabolomics one."""
+    low = F.lower(F.concat_ws(" ", *parts))
+    return {name: matches_any(low, patterns) for name, patterns in PUBLICATION_FLAGS.items()} | {"metabolomics": F.lit(True)}

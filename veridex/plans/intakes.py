@@ -50,7 +50,7 @@ SELECT s_suppkey AS study_id, coalesce(p, 'unknown') AS assay_platform, coalesce
 def study_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary, analyses and factors of a study as one record with modality flags from its text."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("study_id"), "l_linenumber", "l_returnflag", "l_orderkey")  # noqa: E741
-    summaries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("study_id"), F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 2 == 0, "endurance running").otherwise("dietary intake").alias("summary"))
+    summaries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("study_id"), F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 2 == 0, "endurance running").otherwise("diet and food intake").alias("summary"))
     analyses = l.select("study_id", F.concat(F.lit("mode"), "l_linenumber").alias("analysis_summary"), F.col("l_linenumber").alias("analysis_id"))
     factors = l.select("study_id", F.col("l_returnflag").alias("sample_source"), F.col("l_orderkey").alias("sample_id"), F.lit("Arm:x | Visit:y").alias("factors"))
     return intake.study_records(summaries, analyses, factors).select("study_id", "assay_platform", "sample_matrix", "sample_size", "analyses", "exercise", "diet")

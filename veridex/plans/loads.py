@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as X
-from ..operators import constraints, intake, ledger
+from ..operators import constraints, intake, ledger, screening
 from ..registry import query, table
 from ..schemas import MODALITY_FLAGS
 from ..sources.files import agreeing
@@ -155,3 +155,33 @@ def published_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k == 2, F.lit(-1e-7)).when(k == 3, -F.col("l_discount") / 3).otherwise(F.col("l_extendedprice") / 7)
     out = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", stats.published(x, 4).alias("published"))
     return out.withColumn("negative_zero", F.coalesce((F.col("published") == 0) & (F.col("published").cast("string") == "-0.0"), F.lit(False)))
+
+
+INPUTS = [
+    ("hmdb_id", " hmdb42", "HMDB0000042", "zero_padded_hmdb_id:hmdb42->HMDB0000042"), ("hmdb_id", "HMDB0000042", "HMDB0000042", "none"), ("hmdb_id", "HMDB00123456789", "HMDB123456789", "zero_padded_hmdb_id:HMDB00123456789->HMDB123456789"), ("hmdb_id", "42", "42", "none"), ("hmdb_id", "HMDB000", "HMDB0000000", "zero_padded_hmdb_id:HMDB000->HMDB0000000"),
+    ("chebi_id", "chebi: 17", "17", "stripped_chebi_prefix:chebi: 17->17"), ("chebi_id", "17", "17", "none"), ("inchi_key", "abc-def-g", "ABC-DEF-G", "upper_cased_inchi_key:abc-def-g->ABC-DEF-G"), ("kegg_id", "c00186", "C00186", "upper_cased_kegg_id:c00186->C00186"), ("kegg_id", "C00186", "C00186", "none"),
+    ("pubchem_cid", " 612 ", "612", "none"), ("regno", "", "", "none"),
+]
+
+
+@query("compound_inputs", f"SELECT p_partkey, {_picked([i for i, _, _, _ in INPUTS], 'p_partkey')} AS item, {_picked([v for _, _, v, _ in INPUTS], 'p_partkey')} AS value, {_picked([a for _, _, _, a in INPUTS], 'p_partkey')} AS applied FROM part")
+def compound_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers as a service takes them, each with what was changed."""
+    k = F.col("p_partkey")
+    item = _pick([i for i, _, _, _ in INPUTS], k)
+    return table(spark, sf_dir, "part").select(k, item.alias("item"), X.compound_input(item, _pick([v for _, v, _, _ in INPUTS], k)).alias("r")).select("p_partkey", "item", "r.value", "r.applied")
+
+
+METADATA = [
+    ("Homo sapiens", "treadmill running", "", "human,exercise"), ("humanoid", "trained", "VO2max", "cpet"), ("Human plasma", "Accelerometry; DXA", None, "human,actigraphy,body_composition"), ("mouse", "genotyped; Genetics", "high-fat diet", "genetics,diet"), ("rerun", "outrun", "foods", ""),
+    ("RUN", "lean mass and food", "oxygen consumption", "exercise,cpet,body_composition,diet"), ("", None, "", ""), ("body  composition", "actigraphy.", "Nutrition", "actigraphy,diet"),
+]
+_FLAGS = ("human", "exercise", "actigraphy", "genetics", "cpet", "body_composition", "diet")
+
+
+@query("publication_flags", f"WITH f AS (SELECT s_suppkey, {_picked([f for _, _, _, f in METADATA], 's_suppkey')} AS f FROM supplier) SELECT s_suppkey, " + ", ".join(f"list_contains(string_split(f, ','), '{n}') AS {n}" for n in _FLAGS) + ", true AS metabolomics FROM f")
+def publication_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flags of a study from title, summary and factors."""
+    k = F.col("s_suppkey")
+    parts = [_pick([m[i] for m in METADATA], k) for i in range(3)]
+    return table(spark, sf_dir, "supplier").select(k, *[c.alias(n) for n, c in screening.publication_flags(*parts).items()])
