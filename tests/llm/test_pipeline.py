@@ -35,4 +35,4 @@ def test_stages(spark):
 
 def test_registered():
     names = queries.queries()
-    assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
+    assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names
