@@ -50,3 +50,17 @@ def test_gram_in_blocks(spark, block):
         terms = [p * q for p, q in zip(a, b) if p is not None and q is not None]
         want[i, j] = sum(terms) if terms else None
     assert got == want
+
+
+def test_gram_sends_few_copies_and_gives_batches(spark):
+    """A row was sent to n / 256 blocks: 469 copies of each of 120,000 rows."""
+    n, width = 120_000, 64
+    block = linalg.block_rows(n, width)
+    assert -(-n // block) <= 16 and block * width * 8 <= linalg.BLOCK_BYTES and linalg.block_rows(10, 1 << 24) == 1
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1_200, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k bigint, v array<float>")
+    got = linalg.gram(df, "k", "v", digits=7).toPandas()
+    assert len(got) == 1_200 * 1_201 // 2 and not got.duplicated(["i", "j"]).any() and (got.i <= got.j).all()
+    want = (x.astype(float) @ x.astype(float).T)[got.i, got.j]
+    assert np.abs(got.value - want).max() < 1e-7
