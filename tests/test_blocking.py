@@ -51,3 +51,23 @@ def test_a_hot_value_makes_even_tasks(spark):
 
 def test_no_rows(spark):
     assert blocking.shared_pairs(spark.createDataFrame([], "k int, v string"), "k", "v").count() == 0
+
+
+@pytest.mark.parametrize("deepest", [8, 1])
+def test_totals_are_those_of_all_pairs(spark, deepest):
+    rng = random.Random(deepest)
+    rows = [(rng.randrange(-20, 80), f"v{min(int(rng.expovariate(0.4)), 9)}") for _ in range(240)] + [(k, "hot") for k in range(60)]
+    rows += rows[:20] + [(None, "hot"), (5, None), (7, "alone")]
+    want = {}
+    for low, high, block, records in plain(rows):
+        n, a, b = want.get((block, records), (0, 0, 0))
+        want[block, records] = (n + 1, a + low, b + high)
+    found = blocking.shared_totals(spark.createDataFrame(rows, "k bigint, v string").repartition(5), "k", "v", deepest).collect()
+    assert {(r.block, r.block_records): (r.pairs, r.left_sum, r.right_sum) for r in found} == want
+
+
+def test_copies_of_rows_are_not_broadcast(spark):
+    """A block of n records sends each to n / 256 tiles, which the size of its file doesn't show."""
+    df = spark.range(500).select("id", F.lit("hot").alias("v"))
+    plan = blocking.shared_pairs(df, "id", "v")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
