@@ -163,6 +163,12 @@ def test_text_functions(spark):
     assert row.has and row.tok and not row.notok and row.m == {"a": "3:4", "b": "2"} and row.nan is None and row.i == 12 and row.y == 2021 and row.echo == "no_echo"
 
 
+def test_entities_that_are_cut_off_stay(spark):
+    cases = {"a &amp": "a &amp", "b &quot": "b &quot", "&ampfoo; c": "&ampfoo; c", "d &copy; &#39;e&#x27; &amp;lt;i&amp;gt;": "d © 'e' <i>"}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", X.html_text(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == cases
+
+
 def test_assay_pair_with_itself_raises(spark):
     records = spark.createDataFrame([], assay.FIELDS)
     with pytest.raises(ConstraintError):
