@@ -31,6 +31,19 @@ def wilson(hits: Column, total: Column) -> tuple[Column, Column]:
     return F.when(total > 0, F.round(low, 6)), F.when(total > 0, F.round(high, 6))
 
 
+#: Decimals up to which averages are exact, and the whole numbers that a double holds.
+AVG_DECIMALS, WHOLE = 6, 2.0**53
+
+
+def steady_avg(value: Column) -> Column:
+    """An aggregate: the average of doubles, the same in any order of the rows, and equal for equal averages. Values of up to
+    AVG_DECIMALS decimals are added up as whole numbers while these stay under WHOLE (a sum of 9e9); others by ``avg``."""
+    step = 10.0**AVG_DECIMALS
+    units = F.rint(value * step)
+    whole = (F.count_if(units / step != value) == 0) & (F.sum(F.abs(units)) < WHOLE)
+    return F.when(whole, F.sum(units) / F.count(value) / step).otherwise(F.avg(value))
+
+
 def log2_change(before: Column, after: Column) -> Column:
     """log2(after / before) by log1p, which keeps small changes; NULL unless both are positive."""
     return F.when((before > 0) & (after > 0), F.log1p((after - before) / before) / math.log(2))

@@ -17,10 +17,10 @@ ALPHA, THRESHOLD = 0.05, 0.01
 
 
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean value before and after the cut per event type and user, as log2 change."""
+    """Mean value before and after the cut per event type and user, as log2 change; equal means have none, whatever the order of the rows."""
     events = table(spark, sf_dir, "events").select("event_type", "user_id", "ts", "value")
     before = F.col("ts") < F.lit(CUT).cast("timestamp")
-    return paired.with_change(paired.pairs(events, ["event_type"], "user_id", before, ~before, "value"))
+    return paired.with_change(paired.pairs(events, ["event_type"], "user_id", before, ~before, "value", combine=stats.steady_avg))
 
 
 _PAIRS = f"""
