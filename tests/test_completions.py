@@ -34,6 +34,15 @@ def test_a_broken_interval_stops_the_view(spark):
             views.single_feature(spark.createDataFrame([*good, bad], schema), contrasts, "f")
 
 
+def test_rows_of_one_contrast_and_feature_have_one_order(spark):
+    schema = "feature_id string, canonical_feature_id string, contrast_id string, effect double, ci_low double, ci_high double, ci_semantics string"
+    contrasts = spark.createDataFrame([("c1", 1)], "contrast_id string, display_order int")
+    rows = [("f", None, "c1", e / 10, low, None if low is None else 9.0, said) for e in range(4) for low, said in ((None, "a"), (None, "b"), (1.0, None), (2.0, "a"))]
+    views_ = [views.single_feature(spark.createDataFrame(given, schema), contrasts, "f") for given in (rows, rows[::-1])]
+    first, second = (sorted((r.contrast_order, r.effect, str(r.ci_low), r.ci_semantics) for r in v.collect()) for v in views_)
+    assert first == second and [r[0] for r in first] == list(range(1, 17)) and [r[1] for r in first] == sorted((r[1] for r in first), reverse=True)
+
+
 def test_strata(spark):
     row = spark.createDataFrame([("w  x", None, " ")], "a string, b string, c string")
     assert row.select(views.stratum_value({"source_system": F.col("a"), "study_id": F.col("b"), "species": F.col("c")}).alias("s")).first().s == "source_system=w x | study_id=not_reported | species=not_reported | sample_matrix=not_reported | assay_panel=not_reported | accession_or_contrast=not_reported | sex_or_subgroup=not_reported"

@@ -143,13 +143,15 @@ def interval_violations(rows: DataFrame) -> DataFrame:
 
 def single_feature(rows: DataFrame, contrasts: DataFrame, feature: str) -> DataFrame:
     """One feature's effects in the display order of their contrasts, intervals as their source reports them. The feature is a
-    row's canonical id, or its own where it has none. Rows whose interval is broken stop the view."""
+    row's canonical id, or its own where it has none. Rows of one contrast and id follow by falling effect, then by
+    interval. Rows whose interval is broken stop the view."""
     own = F.coalesce(F.nullif(F.trim("canonical_feature_id"), F.lit("")), F.col("feature_id"))
     chosen = rows.filter(own == feature)
     enforce(interval_violations(chosen).select("feature_id", "contrast_id", "violation"), "broken intervals")
     met = chosen.join(contrasts.select("contrast_id", "display_order"), "contrast_id")
     said = F.coalesce(F.nullif(F.trim("ci_semantics"), F.lit("")), F.lit(NO_INTERVAL))
-    order = F.row_number().over(Window.orderBy("display_order", "contrast_id", "feature_id"))  # a row for each contrast
+    rest = [F.desc(c) if c == "effect" else F.col(c) for c in ("effect", "ci_low", "ci_high", "ci_semantics") if c in rows.columns]
+    order = F.row_number().over(Window.orderBy("display_order", "contrast_id", "feature_id", *rest))  # a row for each contrast
     return met.withColumns({"ci_semantics": said, "single_feature_inference": F.lit(INFERENCE), "contrast_order": order})
 
 
