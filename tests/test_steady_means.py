@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,14 @@ def test_participants_with_equal_means_are_unchanged(spark, tmp_path, parts):
     rows, signs = near_means()
     found = {r.response: r.participants for r in registry.queries()["participant_response"](spark, write_events(spark, tmp_path, rows, parts)).collect()}
     assert found == dict(zip(("increased", "decreased", "unchanged"), signs))
+
+
+def test_participants_without_dates_or_of_far_means_are_counted(spark, tmp_path):
+    """Before, user 1 was dropped and user 2, whose fold is under the least double, was an incomplete pair."""
+    rows = [(1, None, 5.0), (2, EARLY, 1e300), (2, LATE, 1e-300), (3, EARLY, 1.0), (3, None, 9.0), (4, None, None), (None, EARLY, 2.0), (None, LATE, 3.0), (5, EARLY, 0.0), (5, LATE, 1.0)]
+    path = write_events(spark, tmp_path, rows, 1)
+    found = {(r.event_type, r.response, r.participants) for r in registry.queries()["participant_response"](spark, path).collect()}
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/events.parquet/*.parquet')")
+    assert found == {("view", "incomplete_pair", 4), ("view", "decreased", 1), ("view", "increased", 1)} == set(con.execute(registry.oracles()["participant_response"]).fetchall())

@@ -10,9 +10,9 @@ from .bh import adjust
 
 
 def pairs(df: DataFrame, keys: list[str], participant: str, is_before: Column, is_after: Column, value: str, combine=F.avg) -> DataFrame:
-    """One row per keys and participant with ``before`` and ``after``; a side without values is NULL."""
+    """One row per keys and participant with ``before`` and ``after``; a side without values is NULL, both where no row is on a side."""
     v = F.col(value)
-    return df.filter(is_before | is_after).groupBy(*keys, participant).agg(combine(F.when(is_before, v)).alias("before"), combine(F.when(is_after, v)).alias("after"))
+    return df.groupBy(*keys, participant).agg(combine(F.when(is_before, v)).alias("before"), combine(F.when(is_after, v)).alias("after"))
 
 
 def with_change(paired: DataFrame, exact: bool = False) -> DataFrame:

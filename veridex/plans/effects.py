@@ -172,8 +172,9 @@ WITH {_PAIRS}
 SELECT event_type, CASE WHEN before > 0 AND after > 0 THEN CASE WHEN after > before THEN 'increased' WHEN after < before THEN 'decreased' ELSE 'unchanged' END ELSE 'incomplete_pair' END AS response, count(*) AS participants FROM changes GROUP BY ALL""")
 def participant_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many participants of each feature went up or down; incomplete pairs are counted, not dropped."""
-    p = event_pairs(spark, sf_dir)
-    response = F.when(F.col("log2fc").isNull(), "incomplete_pair").when(F.col("after") > F.col("before"), "increased").when(F.col("after") < F.col("before"), "decreased").otherwise("unchanged")
+    p, before, after = event_pairs(spark, sf_dir), F.col("before"), F.col("after")
+    complete = (before > 0) & (after > 0)  # log2fc is also NULL where the fold is under the least double
+    response = F.when(complete, F.when(after > before, "increased").when(after < before, "decreased").otherwise("unchanged")).otherwise("incomplete_pair")
     return p.groupBy("event_type", response.alias("response")).agg(F.count("*").alias("participants"))
 
 
