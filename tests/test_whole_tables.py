@@ -64,3 +64,19 @@ def test_gram_sends_few_copies_and_gives_batches(spark):
     assert len(got) == 1_200 * 1_201 // 2 and not got.duplicated(["i", "j"]).any() and (got.i <= got.j).all()
     want = (x.astype(float) @ x.astype(float).T)[got.i, got.j]
     assert np.abs(got.value - want).max() < 1e-7
+
+
+def test_gram_shuffles_no_rows(spark):
+    """Each row was shuffled once for every block. Now blocks are staged once and read again; keys of any type are packed."""
+    x = np.random.default_rng(4).integers(-9, 9, size=(70, 3)).astype(float)
+    df = spark.createDataFrame([(f"k{i:02}", r.tolist()) for i, r in enumerate(x)], "k string, v array<double>").repartition(5)
+    found = linalg.gram(df, "k", "v", block=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    assert {(r.i, r.j): r.value for r in found.collect()} == {(f"k{i:02}", f"k{j:02}"): x[i] @ x[j] for i in range(70) for j in range(i, 70)}
+    blocks = spark.read.parquet(*found.inputFiles())
+    assert sorted(k for r in blocks.collect() for k in r.key) == [f"k{i:02}" for i in range(70)] and len(found.inputFiles()) == blocks.count()
+
+
+def test_gram_of_no_rows(spark):
+    assert linalg.gram(spark.createDataFrame([(1, None)], "k int, v array<float>"), "k", "v").collect() == []
